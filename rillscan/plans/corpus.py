@@ -8,6 +8,8 @@ our own; ``checks/oracle.py`` states the same derivation for the checking engine
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
+from ..operators.history import with_fingerprint
+
 EXTENSIONS = [".java", ".py", ".sql", ".cs", ".c", ".tsx", ".js", ".txt"]
 
 # Each list has 24 lines; "%" stays inside the text, blanks at the left are added per line.
@@ -74,6 +76,14 @@ TEMPLATES = {
 }
 
 
+def repo_of(number: Column) -> Column:
+    return F.concat(F.lit("repo"), (number % 10).cast("string"))
+
+
+def path_of(doc_id: Column) -> Column:
+    return F.concat(F.lit("src/f"), doc_id.cast("string"), extension_of(doc_id))
+
+
 def extension_of(doc_id: Column) -> Column:
     return F.element_at(F.array(*map(F.lit, EXTENSIONS)), (doc_id % 8 + 1).cast("int"))
 
@@ -91,13 +101,13 @@ def spread(df: DataFrame, *key: str) -> DataFrame:
 def sources(spark: SparkSession, sf_dir: str) -> DataFrame:
     """``repo, path, content``: each document becomes a file, each word a line."""
     docs = spread(
-        table(spark, sf_dir, "documents").select("doc_id", "source", "text"), "doc_id")
+        table(spark, sf_dir, "documents").select("doc_id", "text"), "doc_id")
     ext = extension_of(F.col("doc_id"))
     by_ext = F.create_map(*[
         x for name, lines in TEMPLATES.items()
         for x in (F.lit(name), F.array(*map(F.lit, lines)))])
     docs = docs.select(
-        "doc_id", "source", "text", ext.alias("ext"), F.element_at(by_ext, ext).alias("lines"))
+        "doc_id", "text", ext.alias("ext"), F.element_at(by_ext, ext).alias("lines"))
 
     def line(word, i):
         pick = (F.length(word) * 7 + i * 3 + F.col("doc_id")) % 24 + 1
@@ -107,6 +117,152 @@ def sources(spark: SparkSession, sf_dir: str) -> DataFrame:
 
     words = F.split(F.translate("text", "\n", " "), " ", -1)
     return docs.select(
-        F.col("source").alias("repo"),
-        F.concat(F.lit("src/f"), F.col("doc_id").cast("string"), F.col("ext")).alias("path"),
+        repo_of(F.col("doc_id")).alias("repo"),
+        path_of(F.col("doc_id")).alias("path"),
         F.array_join(F.transform(words, line), "\n").alias("content"))
+
+
+def broken_sources(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """The same files, those of documents not in English without their text."""
+    docs = table(spark, sf_dir, "documents")
+    return docs.select(
+        repo_of(F.col("doc_id")).alias("repo"), path_of(F.col("doc_id")).alias("path"),
+        F.when(F.col("lang") == "en", "pass").alias("content"))
+
+
+RUN_SECONDS = 43_200
+
+
+def findings_log(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Findings of half-day runs in ten repositories, one per event.
+
+    Few files and codes, so that findings recur, vanish and return.
+    """
+    events = table(spark, sf_dir, "events")
+    seconds = F.timestamp_diff("SECOND", F.expr("TIMESTAMP_NTZ '1970-01-01 00:00:00'"), "ts")
+    number = F.col("event_id")
+    kind = F.col("event_type")
+    rows = events.select(
+        "event_id",
+        repo_of(F.col("user_id")).alias("repo"),
+        (F.floor(seconds / RUN_SECONDS) * RUN_SECONDS).alias("run_id"),
+        kind.alias("rule_id"),
+        F.concat(F.lit("Title of "), kind).alias("title"),
+        F.when(kind == "error", "IO_DB").when(kind == "view", "INFO")
+        .otherwise("MEMORY").alias("category"),
+        F.when(kind == "error", "CRITICAL").when(kind == "purchase", "HIGH")
+        .when(kind == "signup", "MEDIUM").when(kind == "click", "LOW")
+        .when(number % 3 == 0, "NOTICE").otherwise("INFO").alias("severity"),
+        F.concat(F.lit("f"), (number % 4).cast("string"), F.lit(".py")).alias("path"),
+        (number % 100 + 1).cast("int").alias("line"),
+        F.concat(F.lit(" c"), (number % 5).cast("string"), F.lit("  +=\t1 ")).alias("code"),
+        F.lit("because").alias("why"),
+        F.lit("do so").alias("fix"),
+        F.when(number % 7 == 0, False).when(number % 7 == 1, True).alias("confirmed"),
+        F.when(number % 7 < 2, "seen").otherwise("").alias("explanation"),
+    )
+    return with_fingerprint(rows).withColumnRenamed("path", "file")
+
+
+def runs(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Runs of the log, and for each repository a later one that found nothing."""
+    seen = findings_log(spark, sf_dir).select("repo", "run_id").distinct()
+    empty = seen.groupBy("repo").agg((F.max("run_id") + RUN_SECONDS).alias("run_id"))
+    run = F.col("run_id")
+    return seen.unionByName(empty).select(
+        "repo", "run_id",
+        (F.expr("TIMESTAMP_NTZ '1970-01-01 00:00:00'")
+         + F.make_dt_interval(secs=run.cast("decimal(18,6)"))).alias("ts"),
+        F.when(run % (2 * RUN_SECONDS) == 0, F.left(
+            F.sha1(F.concat("repo", run.cast("string")).cast("binary")), F.lit(12)))
+        .otherwise("").alias("commit_sha"),
+        F.lit("main").alias("branch"),
+    )
+
+
+def tickets(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Tickets for the critical findings of the first half of January 2024."""
+    log = findings_log(spark, sf_dir).where(
+        (F.col("severity") == "CRITICAL") & (F.col("run_id") < 1_705_276_800))
+    return log.groupBy("fingerprint").agg(
+        F.min("run_id").alias("created_ts"), F.max("severity").alias("severity"),
+        F.max("title").alias("title"),
+    ).select(
+        "fingerprint", F.concat(F.lit("T-"), F.left("fingerprint", F.lit(6))).alias("issue_key"),
+        F.concat(F.lit("/browse/"), "fingerprint").alias("url"), "created_ts", "severity", "title")
+
+
+def diffs(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """``repo, push_id, diff_text``: one push per order, over one to four files.
+
+    Some hunks leave their length out or have length zero, some files are deleted, some
+    names are quoted, and some added lines look like a file header.
+    """
+    orders = spread(
+        table(spark, sf_dir, "orders").select("o_orderkey", "o_custkey"), "o_orderkey")
+    key = F.col("o_orderkey")
+
+    def part(i):
+        number = F.col("o_custkey") + i * 10
+        name = path_of(number)
+        quoted = (key + i) % 11 == 0
+        gone = (key + i) % 7 == 0
+        shape = (key + i) % 5
+        start = ((key * 13 + i * 17) % 300 + 1).cast("string")
+        count = F.element_at(F.array(*map(F.lit, ["", ",0", ",1", ",7", ",2"])),
+                             (shape + 1).cast("int"))
+        added = F.element_at(F.array(*map(F.lit, [1, 0, 1, 7, 2])), (shape + 1).cast("int"))
+        head = F.concat(F.lit("diff --git a/"), name, F.lit(" b/"), name, F.lit("\n--- a/"), name)
+        lines = F.concat(
+            F.lit("-- a/x\n-old\n"),
+            F.repeat(F.lit("+++ b/src/f1.py\n"), added))
+        live = F.concat(
+            head, F.lit("\n+++ "),
+            F.when(quoted, F.concat(F.lit('"b/\\303\\251\\t'), name, F.lit('"')))
+            .otherwise(F.concat(F.lit("b/"), name)),
+            F.lit("\n@@ -3,2 +"), start, count, F.lit(" @@ for (;;) {\n-"), lines,
+            F.lit("\\ No newline at end of file"))
+        dead = F.concat(head, F.lit("\n+++ /dev/null\n@@ -1,2 +0,0 @@\n-a\n-b"))
+        return F.when(gone, dead).otherwise(live)
+
+    numbers = F.sequence(F.lit(0).cast("bigint"), key % 4)
+    return orders.select(
+        repo_of(F.col("o_custkey")).alias("repo"), key.alias("push_id"),
+        F.array_join(F.transform(numbers, part), "\n").alias("diff_text"))
+
+
+def notes(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """The benchmark passages as a knowledge base."""
+    return table(spark, sf_dir, "benchmark").select(
+        F.col("item_id").alias("note_ord"), F.concat(F.lit("b"), F.col("item_id").cast("string"))
+        .alias("id"), F.concat(F.lit("item "), F.col("item_id").cast("string")).alias("topic"),
+        "text")
+
+
+def queries(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return table(spark, sf_dir, "documents").select(F.col("doc_id").alias("q_id"), "text")
+
+
+def verdicts(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """``event_id, raw``: answers of many kinds, for the findings of the log."""
+    number = F.col("event_id")
+    text = number.cast("string")
+    full = F.concat(
+        F.lit('{"confirmed": '), F.when(number % 2 == 0, "true").otherwise("false"),
+        F.lit(', "severity": "high", "explanation": " say '), text,
+        F.lit(' ", "fix": "fix '), text, F.lit('"}'))
+    kinds = [
+        full,
+        F.concat(F.lit("Well, I think:\n```json\n"), full, F.lit("\n``` so {it} is")),
+        F.concat(F.lit("Here: "), full, F.lit(" Done.")),
+        F.concat(F.lit('{"severity": "grave", "explanation": "n'), text, F.lit('", "fix": "  "}')),
+        F.lit('[{"confirmed": false}]'),
+        F.lit("not sure"),
+        F.lit("  "),
+        F.lit('{"confirmed": null, "severity": "low"}'),
+        F.lit('{"confirmed": "false", "fix": null}'),
+    ]
+    chosen = F.lit(None).cast("string")
+    for i, kind in enumerate(kinds):
+        chosen = F.when(number % 10 == i, kind).otherwise(chosen)
+    return table(spark, sf_dir, "events").select("event_id", chosen.alias("raw"))
