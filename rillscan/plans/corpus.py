@@ -12,7 +12,7 @@ from ..operators.history import with_fingerprint
 
 EXTENSIONS = [".java", ".py", ".sql", ".cs", ".c", ".tsx", ".js", ".txt"]
 
-# Each list has 24 lines; "%" stays inside the text, blanks at the left are added per line.
+# One list per extension; blanks at the left are added per line.
 TEMPLATES = {
     ".java": [
         "for (Item item : items) {", "}", "ResultSet r = st.executeQuery(q);",
@@ -23,6 +23,12 @@ TEMPLATES = {
         "// for (int i = 0; i < n; i++) { select * }", "}", "if (x == null) {",
         "Order o = orderRepository.findById(k);", "String q = \"select * from t\";",
         "}", "} catch (NumberFormatException e) {", "int[] b = new int[8];", "do {",
+        "Connection c = DriverManager.getConnection(u);", "}", "@OneToMany List<Item> list;",
+        "pool = Executors.newCachedThreadPool();", "public static Item getInstance() {", "}",
+        "@ManyToOne(fetch = FetchType.EAGER)", "protected void finalize() {", "}",
+        "public synchronized void put() {", "Item.getInstance().go();", "}",
+        "// private volatile Item item;", "* note", "total = total + 1;", "while (!stop) Thread.yield();",
+        "st.execute (q);",
     ],
     ".py": [
         "for a in rows:", "x = 1", "if a == b:", "out += str(a)",
@@ -110,7 +116,7 @@ def sources(spark: SparkSession, sf_dir: str) -> DataFrame:
         "doc_id", "text", ext.alias("ext"), F.element_at(by_ext, ext).alias("lines"))
 
     def line(word, i):
-        pick = (F.length(word) * 7 + i * 3 + F.col("doc_id")) % 24 + 1
+        pick = (F.length(word) * 7 + i * 3 + F.col("doc_id")) % F.size("lines") + 1
         return F.concat(
             F.repeat(F.lit("  "), (F.length(word) * 5 + i) % 5),
             F.element_at(F.col("lines"), pick.cast("int")))
