@@ -7,6 +7,7 @@ diff text was made of.  Only the templates and the table of rule names are share
 
 from .. import fixed
 from ..plans.corpus import EXTENSIONS, TEMPLATES
+from ..rules import CATALOGUE
 from ..sources.notes import BUILT_IN
 
 
@@ -381,23 +382,23 @@ def _terms(name: str, key: str, body: str, source: str) -> str:
             f"unnest({_TOKENS.format(body)}) AS term FROM {source}) GROUP BY ALL)")
 
 
-def _retrieval(notes: str, k: int) -> list[str]:
+def _retrieval(notes: str, k: int, queries="documents", key="doc_id", body="text") -> list[str]:
     return [
         notes,
         _terms("nt", "note_ord", "text || ' ' || topic", "notes"),
-        _terms("qt", "doc_id", "text", "documents"),
+        _terms("qt", key, body, queries),
         "size AS (SELECT count(*) AS n FROM notes)",
         "df AS (SELECT term, count(*) AS df FROM nt GROUP BY term)",
         """nw AS (SELECT note_ord, term, nt.n * (ln((size.n + 1) / (df + 1)) + 1) AS w
              FROM nt JOIN df USING (term), size)""",
-        """qw AS (SELECT doc_id, term, qt.n * (ln((size.n + 1) / (coalesce(df, 0) + 1)) + 1) AS w
+        f"""qw AS (SELECT {key}, term, qt.n * (ln((size.n + 1) / (coalesce(df, 0) + 1)) + 1) AS w
              FROM qt LEFT JOIN df USING (term), size)""",
         "nn AS (SELECT note_ord, sqrt(sum(w * w)) AS norm FROM nw GROUP BY note_ord)",
-        "qn AS (SELECT doc_id, sqrt(sum(w * w)) AS norm FROM qw GROUP BY doc_id)",
-        """scored AS (SELECT doc_id, note_ord, round(sum(qw.w * nw.w / nn.norm) / any_value(qn.norm), 9)
-             AS score FROM qw JOIN nw USING (term) JOIN nn USING (note_ord) JOIN qn USING (doc_id)
-             GROUP BY doc_id, note_ord)""",
-        f"""best AS (SELECT *, row_number() OVER (PARTITION BY doc_id ORDER BY score DESC, note_ord DESC)
+        f"qn AS (SELECT {key}, sqrt(sum(w * w)) AS norm FROM qw GROUP BY {key})",
+        f"""scored AS (SELECT {key}, note_ord, round(sum(qw.w * nw.w / nn.norm) / any_value(qn.norm), 9)
+             AS score FROM qw JOIN nw USING (term) JOIN nn USING (note_ord) JOIN qn USING ({key})
+             GROUP BY {key}, note_ord)""",
+        f"""best AS (SELECT *, row_number() OVER (PARTITION BY {key} ORDER BY score DESC, note_ord DESC)
              AS rank FROM scored WHERE score > 0 QUALIFY rank <= {k})""",
     ]
 
@@ -408,6 +409,13 @@ _BOTH_NOTES = f"""notes AS (
   SELECT * FROM (VALUES {_BUILT_IN}) AS v(note_ord, topic, text)
   UNION ALL SELECT item_id + {len(BUILT_IN)}, 'item ' || item_id, text FROM benchmark WHERE text <> '')"""
 
+_BUILT_IN_NOTES = f"notes AS (SELECT * FROM (VALUES {_BUILT_IN}) AS v(note_ord, topic, text))"
+_RULE_WORDS = "rule_words AS (SELECT * FROM (VALUES " + ", ".join(
+    f"({i}, {_text(r.rule_id)}, {_text(r.severity)}, {_text(r.title)}, {_text(r.category)}, "
+    f"{_text(r.why)})" for i, r in enumerate(CATALOGUE) if not r.fallback
+) + ") AS v(rule_key, rule_id, severity, title, category, why))"
+_QUERY = "title || ' ' || category || ' ' || why"
+
 # Greedy packing by recursion over the paragraphs of all documents at once.
 CHUNKS = """
 paras AS (
@@ -615,6 +623,31 @@ def sql() -> dict[str, str]:
               chr(10) ORDER BY l.line) AS snippet
             FROM (SELECT DISTINCT repo, path, line FROM capped WHERE reviewed) f
             JOIN cl l ON l.path = f.path AND l.line BETWEEN f.line - 6 AND f.line + 6 GROUP BY ALL""",
+        "prompt_rows": _with(*_SCAN, _findings(), _CAPPED, _RULE_WORDS, *_retrieval(
+            _BUILT_IN_NOTES, 2, queries="rule_words", key="rule_key", body=_QUERY)) + """
+            , refs AS (
+              SELECT rule_key, string_agg(topic, '|' ORDER BY rank) AS kb_refs,
+                     string_agg('- ' || topic || ': ' || text, chr(10) ORDER BY rank) AS notes_text
+              FROM best JOIN notes USING (note_ord) GROUP BY rule_key)
+            SELECT f.repo, f.path, f.line, f.rule_id, f.severity, kb_refs,
+                   'Notes:' || chr(10) || coalesce(notes_text, '') || chr(10) || chr(10) || 'Rule: '
+                   || f.rule_id || ' - ' || title || chr(10) || 'File: ' || f.path
+                   || ' (the line in question is marked >>)' || chr(10) || '```' || chr(10)
+                   || (SELECT string_agg(CASE WHEN l.line = f.line THEN '>>' ELSE '  ' END || ' '
+                         || l.line || ': ' || l.raw, chr(10) ORDER BY l.line) FROM cl l
+                       WHERE l.path = f.path AND l.line BETWEEN f.line - 6 AND f.line + 6)
+                   || chr(10) || '```' || chr(10) || chr(10)
+                   || 'Is this a real performance risk? Answer with a JSON object: confirmed, '
+                   || 'severity, explanation, fix.' AS prompt
+            FROM capped f JOIN rule_words w ON w.rule_id = f.rule_id AND w.severity = f.severity
+            LEFT JOIN refs USING (rule_key) WHERE reviewed""",
+        "report_document": _with(HISTORY) + f"""
+            SELECT repo, run_id, 0 AS page, 'static' AS engine, count(*) AS total, count(*) AS listed,
+                   count(*) FILTER (severity = 'CRITICAL') AS critical,
+                   string_agg(event_id, ',' ORDER BY {_RANK}, file, line, rule_id, event_id)
+                     AS listed_events,
+                   arg_min(severity, {_RANK} * 1000000 + event_id) AS worst
+            FROM log GROUP BY repo, run_id""",
         "report_rows": _with(HISTORY) + f"""
             SELECT event_id, {_RANK} AS rank, file, line, rule_id,
                    left(severity, 1) || lower(severity[2:]) AS severity_title,

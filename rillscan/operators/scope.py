@@ -88,17 +88,21 @@ def add_scopes(lines: DataFrame, *payload: str) -> DataFrame:
     def latest(condition, window):
         return F.coalesce(F.max(F.when(condition, F.col("line"))).over(window), F.lit(0))
 
+    height = F.sum(step).over(upto)
     opened = latest(F.col("mark") == "{", before)
-    events = (
-        events.withColumn("height", F.sum(step).over(upto))
-        .withColumn("floor", F.least(F.lit(0), F.min("height").over(upto)))
-        .withColumn("depth", F.col("height") - F.col("floor"))
+    # All of these read one sorted pass; the lowest height so far needs a second look at it.
+    events = events.withColumns({
+        "height": height,
         # a header marks the next opening brace, on whatever line that comes
-        .withColumn("loop_waits", latest(F.col("loop_header"), upto) > opened)
-        .withColumn("sync_waits", latest(F.col("sync_header"), upto) > opened)
-        .withColumn("depth_before", F.lag("depth", 1, 0).over(by_place))
-        .withColumn("indent_before", F.last("indent", ignorenulls=True).over(before))
-    )
+        "loop_waits": latest(F.col("loop_header"), upto) > opened,
+        "sync_waits": latest(F.col("sync_header"), upto) > opened,
+        "indent_before": F.last("indent", ignorenulls=True).over(before),
+    }).withColumn(
+        "floor", F.least(F.lit(0), F.coalesce(F.min("height").over(before), F.lit(0)))
+    ).withColumns({
+        "depth": F.col("height") - F.least("floor", "height"),
+        "depth_before": F.col("height") - step - F.col("floor"),
+    })
 
     # Brackets with their level.  The line itself stands between the brackets it closes
     # (by indentation) and those it opens.

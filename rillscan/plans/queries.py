@@ -10,6 +10,7 @@ from ..operators import (history, lines, policy, report, retrieval, scan, scope,
 from ..rules import CATALOGUE, RuleSpec, rules_for
 from ..sources import diffs as diff_source
 from ..sources import notes as note_source
+from ..sources.staging import staged
 from . import corpus
 
 SHOWN = ("repo", "path", "line", "rule_id", "category", "severity", "code")
@@ -276,7 +277,8 @@ def verdict_merge(spark, sf):
 
 
 def _candidates(spark, sf):
-    found = scan.scan(corpus.sources(spark, sf))
+    # the cap reads the findings twice, and so do the steps after it: scan once
+    found = staged(scan.scan(corpus.sources(spark, sf)))
     return verdicts.review_cap(found, ["repo"], ORDER)
 
 
@@ -293,9 +295,8 @@ def context_windows(spark, sf):
 def prompt_rows(spark, sf):
     focus = _candidates(spark, sf).where("reviewed")
     rows = verdicts.prompts(focus, corpus.sources(spark, sf), note_source.built_in(spark))
-    return rows.select("repo", "path", "line", "rule_id",
-                       F.size("kb_refs").alias("refs"), F.length("prompt").alias("chars"),
-                       F.regexp_extract("prompt", r"(?m)^>> (\d+): ", 1).alias("focus"))
+    return rows.select("repo", "path", "line", "rule_id", "severity",
+                       F.array_join("kb_refs", "|").alias("kb_refs"), "prompt")
 
 
 # --- reports ------------------------------------------------------------------------------
@@ -320,7 +321,8 @@ def report_document(spark, sf):
     return docs.select(
         "repo", "run_id", "page", "engine", "total", F.size("findings").alias("listed"),
         F.coalesce(F.element_at("by_severity", "CRITICAL"), F.lit(0)).alias("critical"),
-        F.length(F.to_json("findings")).alias("json_chars"), first["severity"].alias("worst"))
+        F.array_join(F.transform("findings", lambda f: f["event_id"].cast("string")), ",")
+        .alias("listed_events"), first["severity"].alias("worst"))
 
 
 def trend_series(spark, sf):

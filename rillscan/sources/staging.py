@@ -1,0 +1,33 @@
+"""Intermediate results that several later steps read."""
+
+import tempfile
+import uuid
+
+from pyspark.sql import DataFrame
+
+_own_folder = None
+
+
+def _folder(spark) -> str | None:
+    """The shared folder of the cluster; one of our own only in local mode."""
+    global _own_folder
+    named = spark.conf.get("spark.checkpoint.dir", None)
+    if named or not spark.conf.get("spark.master", "").startswith("local"):
+        return named
+    _own_folder = _own_folder or tempfile.mkdtemp(prefix="rillscan-")
+    return _own_folder
+
+
+def staged(df: DataFrame) -> DataFrame:
+    """Write the rows once and read them back, so that later steps do not compute them again.
+
+    The table lies in the folder ``spark.checkpoint.dir`` names, where it outlives lost
+    executors; its owner clears it.  On a cluster without such a folder nothing is written
+    and the plan stays as it is.
+    """
+    folder = _folder(df.sparkSession)
+    if folder is None:
+        return df
+    path = f"{folder.rstrip('/')}/staged-{uuid.uuid4().hex}"
+    df.write.parquet(path)
+    return df.sparkSession.read.schema(df.schema).parquet(path)
