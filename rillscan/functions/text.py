@@ -13,8 +13,14 @@ UNICODE = "(?Ud)"
 _BLANK = r"[\s\x1c-\x1f]"
 
 
-def matches(col: Column, pattern: str) -> Column:
-    return col.rlike(UNICODE + pattern)
+def matches(col: Column, pattern: str, *words: str) -> Column:
+    """True when the pattern is found.
+
+    ``words`` are literal texts of which any match holds at least one.  Looking for a word is
+    far cheaper than running a pattern, and few lines pass.
+    """
+    found = col.rlike(UNICODE + pattern)
+    return has(col, *words) & found if words else found
 
 
 def has(col: Column, *words: str) -> Column:
@@ -75,7 +81,5 @@ def fingerprint(rule_id: Column, file: Column, code: Column) -> Column:
 
 
 def tokens(text: Column) -> Column:
-    words = F.regexp_extract_all(text, F.lit(fixed.TOKEN_PATTERN), F.lit(0))
-    return F.filter(
-        F.transform(words, F.lower), lambda w: F.length(w) >= fixed.TOKEN_MIN_CHARS
-    )
+    """Words of a text, as written: fold their case after they are taken apart."""
+    return F.regexp_extract_all(text, F.lit(fixed.TOKEN_PATTERN), F.lit(0))

@@ -21,7 +21,7 @@ _NORM = -1  # stands where a note would, to sum the query norm along with the sc
 def terms(docs: DataFrame, key: str, body: str = "text") -> DataFrame:
     """``key, term, n``: how often each term occurs in each text."""
     words = docs.select(key, F.explode(text.tokens(F.col(body))).alias("term"))
-    return words.groupBy(key, "term").agg(F.count("*").alias("n"))
+    return words.withColumn("term", F.lower("term")).groupBy(key, "term").agg(F.count("*").alias("n"))
 
 
 def term_frequency(docs: DataFrame, key: str, body: str = "text") -> DataFrame:
@@ -31,7 +31,8 @@ def term_frequency(docs: DataFrame, key: str, body: str = "text") -> DataFrame:
     """
     words = text.evaluated(docs, [key], words=text.tokens(F.col(body)))
     words = words.select(
-        key, F.explode("words").alias("term"), F.size("words").alias("len"))
+        key, F.explode("words").alias("term"), F.size("words").alias("len")
+    ).withColumn("term", F.lower("term"))
     return words.groupBy(key, "term", "len").agg(F.count("*").alias("n")).select(
         key, "term", "n", (F.col("n") / F.col("len")).alias("tf"))
 

@@ -6,9 +6,7 @@ corpus, are exchanged once by file; scopes and first hits are settled behind tha
 Rules without a scope (all of SQL and of the front end) need no exchange for it.
 """
 
-from functools import reduce
-
-from pyspark.sql import Column, DataFrame, Window
+from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
 from .. import fixed
@@ -19,6 +17,7 @@ from . import scope
 from .lines import KEY, with_rulesets
 
 RULESET_ORDER = list(fixed.SKIP_PREFIXES)
+RULES_AT_ONCE = 6
 _INDENTED = r"(?m)^[\x1c-\x1f[^\S\n]]*+"
 
 # Scan order inside a file.
@@ -41,17 +40,21 @@ def _error_rules() -> list[RuleSpec]:
 
 
 def _families() -> list[tuple[str, ...]]:
-    """Lists of rulesets that occur together."""
+    """Lists of rulesets that occur together.  A line carries the number of its list."""
     return list(dict.fromkeys(map(tuple, fixed.EXTENSION_RULESETS.values())))
 
 
+def _family_numbers(*rulesets: str) -> list[int]:
+    return [i for i, family in enumerate(_families()) if set(rulesets) & set(family)]
+
+
 def _rule_table(spark, rules: list[RuleSpec]) -> DataFrame:
     """The rules as a dimension: one row per rule, so its size is known."""
     rows = [
         (key, r.rule_id, r.title, r.category, r.severity, r.why, r.fix, r.code,
          r.min_depth, r.max_depth, r.in_sync, r.in_async, r.first_only, r.fallback,
          RULESET_ORDER.index(r.ruleset), r.step, key)
-        for key, r in enumerate(rules)
+        for key, r in enumerate(rules, start=1)
     ]
     return spark.createDataFrame(
         rows,
@@ -63,15 +66,15 @@ def _rule_table(spark, rules: list[RuleSpec]) -> DataFrame:
 
 def _file_facts(files: DataFrame) -> DataFrame:
     """Facts about whole files that rules ask for, taken before the file is split."""
-    def runs(ruleset):
-        return F.array_contains("rulesets", ruleset)
+    def runs(*rulesets):
+        return F.col("family").isin(_family_numbers(*rulesets))
 
     body = F.col("content")
     java, node, python = runs("java"), runs("node"), runs("python")
-    braces = reduce(lambda a, b: a | b, [
-        runs(r) for r, kind in scope.SCOPE_KIND.items() if kind == scope.BRACES])
+    braces = runs(*[r for r, kind in scope.SCOPE_KIND.items() if kind == scope.BRACES])
+    names = F.array(*[F.array(*map(F.lit, family)) for family in _families()])
     files = files.select(
-        *KEY, "rulesets",
+        *KEY, (F.array_position(names, F.col("rulesets")) - 1).cast("int").alias("family"),
         text.unix_newlines(F.coalesce("content", F.lit(""))).alias("content"),
         F.col("content").isNull().alias("unreadable"),
     ).select(
@@ -84,7 +87,7 @@ def _file_facts(files: DataFrame) -> DataFrame:
     in_braces = matches(body, _INDENTED + r"(?:foreach|for|while|do)(?:[\s\x1c-\x1f(]|$)")
     in_indent = matches(body, _INDENTED + r"(?:for|while)[ (]")
     return files.select(
-        *KEY, "rulesets", "content", "unreadable",
+        *KEY, "family", "content", "unreadable",
         F.coalesce(
             has(code, "getInstance") & has(code, fixed.SYNC_PREFIX)
             & matches(code, fixed.P_JAVA_NULL_CHECK) & ~matches(code, fixed.P_JAVA_VOLATILE),
@@ -109,7 +112,7 @@ _FACTS = ("unreadable", "unsafe_singleton", "catches_bad_numbers", "no_lazy_fetc
 
 def _lines(files: DataFrame) -> DataFrame:
     rows = F.split("content", "\n", -1)
-    front = F.array_contains("rulesets", "frontend")
+    front = F.col("family").isin(_family_numbers("frontend"))
     blank = F.array(F.lit(""))
     none = F.array().cast("array<string>")
     # The two lines before each line, where the front-end rules look at them.
@@ -118,33 +121,40 @@ def _lines(files: DataFrame) -> DataFrame:
         F.when(front, F.concat(blank, rows)).otherwise(none).alias("prev"),
         F.when(front, F.concat(blank, blank, rows)).otherwise(none).alias("prev2"),
     )
-    lines = files.select(*KEY, "rulesets", "kind", *_FACTS,
+    lines = files.select(*KEY, "family", "kind", *_FACTS,
                          F.posexplode(zipped).alias("pos", "z"))
     return text.evaluated(
         lines.where(F.col("z.raw").isNotNull()),
-        [*KEY, "rulesets", "kind", *_FACTS, (F.col("pos") + 1).alias("line")],
+        [*KEY, "family", "kind", *_FACTS, (F.col("pos") + 1).alias("line")],
         raw=F.col("z.raw"),
         s=text.strip(F.col("z.raw")),
         near=F.when(front, F.concat("z.prev2", "z.prev", "z.raw")),
     )
 
 
-def _hits(rules: list[RuleSpec]) -> Column:
-    """Keys of the rules whose predicate holds on the line, scopes aside."""
+def _with_hits(lines: DataFrame, rules: list[RuleSpec]) -> DataFrame:
+    """Add ``hits``: keys of the rules whose predicate holds on the line, scopes aside.
+
+    The rules are evaluated a few at a time.  Spark makes one method of each step, and the
+    JVM compiles methods of a limited size only; all rules at once would run uncompiled.  For
+    the same reason there is no lambda here, which would leave generated code altogether.
+    """
     line = Line(
         s=F.col("s"), raw=F.col("raw"), near=F.col("near"), path=F.col("path"),
         fact=lambda name: F.col("line") == 1 if name == "first_line" else F.col(name))
-    none = F.array().cast("array<int>")
-    hits = None
-    for family in _families():
-        keys = [
-            F.when(rule.predicate(line), F.lit(key))
-            for key, rule in enumerate(rules) if rule.ruleset in family
-        ]
-        found = F.array_compact(F.array(*keys)) if keys else none
-        of_family = F.col("rulesets") == F.array(*map(F.lit, family))
-        hits = F.when(of_family, found) if hits is None else hits.when(of_family, found)
-    return hits.otherwise(none)
+    keep = lines.columns
+    lines = lines.withColumn("hits", F.array().cast("array<int>"))
+    for number, family in enumerate(_families()):
+        keyed = [(k, r) for k, r in enumerate(rules, start=1) if r.ruleset in family]
+        for at in range(0, len(keyed), RULES_AT_ONCE):
+            keys = F.array(*[
+                F.when(rule.predicate(line), F.lit(key)).otherwise(F.lit(0))
+                for key, rule in keyed[at:at + RULES_AT_ONCE]])
+            found = F.concat("hits", F.array_remove(keys, F.lit(0)))
+            lines = text.evaluated(
+                lines, keep,
+                hits=F.when(F.col("family") == number, found).otherwise(F.col("hits")))
+    return lines
 
 
 def scan(sources: DataFrame, rules: list[RuleSpec] | None = None) -> DataFrame:
@@ -159,8 +169,7 @@ def scan(sources: DataFrame, rules: list[RuleSpec] | None = None) -> DataFrame:
 
     files = with_rulesets(sources).where(
         F.arrays_overlap("rulesets", F.array(*map(F.lit, sorted(rulesets)))))
-    lines = text.evaluated(
-        _lines(_file_facts(files)), [*KEY, "kind", "line", "raw", "s"], hits=_hits(rules))
+    lines = _with_hits(_lines(_file_facts(files)), rules)
 
     hit = F.size("hits") > 0
     if any(rule.scoped for rule in rules):

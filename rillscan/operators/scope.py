@@ -68,19 +68,24 @@ def add_scopes(lines: DataFrame, *payload: str) -> DataFrame:
     columns.  The result has one row for each input row.
     """
     # The one exchange.  It carries one row per line; brackets are unfolded behind it.
-    files = lines.repartition(*KEY)
+    # Sorting starts with a number made from the key: most comparisons end there, while names
+    # share their first letters.  The names stay in the key, so equal numbers do no harm.
+    keys = ("file_hash", *KEY)
+    files = lines.repartition(*KEY).withColumn("file_hash", F.xxhash64(*KEY))
     events = files.select(
-        *KEY, "line", *SCOPE_FACTS, *payload,
-        F.posexplode(F.split(F.concat(F.lit(" "), "marks"), "")).alias("col", "mark"),
+        *keys, "line", *SCOPE_FACTS, *payload,
+        F.posexplode(
+            F.when(F.col("marks") == "", F.array(F.lit(" ")))
+            .otherwise(F.split(F.concat(F.lit(" "), "marks"), ""))).alias("col", "mark"),
     )
     # col 0 is the line itself, the brackets follow; what only the line needs stays with it.
     on_line = F.col("col") == 0
     events = events.where(on_line | F.col("mark").isin("{", "}")).select(
-        *KEY, "line", "col", "mark",
+        *keys, "line", "col", "mark",
         *[F.when(on_line, F.col(c)).alias(c) for c in SCOPE_FACTS[1:] + payload],
     )
 
-    by_place = Window.partitionBy(*KEY).orderBy("line", "col")
+    by_place = Window.partitionBy(*keys).orderBy("line", "col")
     upto = by_place.rowsBetween(Window.unboundedPreceding, 0)
     before = by_place.rowsBetween(Window.unboundedPreceding, -1)
     step = F.when(F.col("mark") == "{", 1).when(F.col("mark") == "}", -1).otherwise(0)
@@ -104,41 +109,40 @@ def add_scopes(lines: DataFrame, *payload: str) -> DataFrame:
         "depth_before": F.col("height") - step - F.col("floor"),
     })
 
-    # Brackets with their level.  The line itself stands between the brackets it closes
-    # (by indentation) and those it opens.
-    def bracket(turn, level, opens, loop, sync, asyn):
-        return F.struct(
-            F.lit(turn).alias("turn"), level.cast("long").alias("level"),
-            F.lit(opens).alias("opens"), loop.alias("loop"), sync.alias("sync"),
-            asyn.alias("async"))
-
-    no = F.lit(False)
-    brace = F.when(
-        F.col("mark") == "{",
-        bracket(1, F.col("depth"), True, F.col("loop_waits"), F.col("sync_waits"), no),
-    ).when(
-        (F.col("mark") == "}") & (F.col("depth_before") > 0),
-        bracket(1, F.col("depth_before"), False, no, no, no),
-    )
-    this_line = F.when(on_line, bracket(1, F.lit(None), False, no, no, no))
-    header = F.when(
-        F.col("indent").isNotNull() & (F.col("loop_header") | F.col("async_header")),
-        bracket(2, F.col("indent"), True, F.col("loop_header"), no, F.col("async_header")))
-    # A code line closes the levels between its own indent and that of the line before it:
-    # all deeper ones are closed already.  Together these are no more than the blanks read.
+    # An indented line stands between the levels it closes and the one it opens: slots 3n and
+    # 3n + 2 for level n, and no number for the row itself.  A code line closes the levels
+    # from its own indent to that of the code line before it: deeper ones are closed already.
+    # So there are never more slots than blanks in the text.
+    is_header = F.col("loop_header") | F.col("async_header")
     closing = F.when(
         F.col("indent_before") >= F.col("indent"),
-        F.transform(F.sequence("indent", "indent_before"),
-                    lambda level: bracket(0, level, False, no, no, no)))
-    brackets = F.concat(
-        F.coalesce(closing, F.array().cast(_BRACKETS)),
-        F.array_compact(F.array(this_line, brace, header)).cast(_BRACKETS),
-    )
+        F.sequence(F.col("indent").cast("long") * 3, F.col("indent_before").cast("long") * 3,
+                   F.lit(3).cast("long")))
+    itself = F.array(F.lit(None).cast("long"))
+    none = F.array().cast("array<bigint>")
+    slots = F.when(F.col("indent").isNotNull(), F.concat(
+        F.coalesce(closing, none), itself,
+        F.when(is_header, F.array(F.col("indent").cast("long") * 3 + 2)).otherwise(none),
+    )).otherwise(itself)
+    events = events.select("*", F.explode(slots).alias("slot"))
+
+    in_text = F.col("slot").isNull()
+    header = F.coalesce(F.col("slot") % 3 == 2, F.lit(False))
+    brace = in_text & (F.col("mark") == "{")
     events = events.select(
-        *KEY, "line", "col", *payload, F.explode(brackets).alias("b")
-    ).select(*KEY, "line", "col", "b.*", *payload)
+        *keys, "line", "col", *payload,
+        F.coalesce(F.col("slot") % 3, F.lit(1)).cast("int").alias("turn"),
+        F.when(~in_text, F.expr("slot div 3"))
+        .when(F.col("mark") == "{", F.col("depth"))
+        .when((F.col("mark") == "}") & (F.col("depth_before") > 0), F.col("depth_before"))
+        .alias("level"),
+        (header | brace).alias("opens"),
+        ((header & F.col("loop_header")) | (brace & F.col("loop_waits"))).alias("loop"),
+        (brace & F.col("sync_waits")).alias("sync"),
+        (header & F.col("async_header")).alias("async"),
+    )
 
-    by_level = Window.partitionBy(*KEY, "level").orderBy("line", "col", "turn")
+    by_level = Window.partitionBy(*keys, "level").orderBy("line", "col", "turn")
     has_level = F.col("level").isNotNull()
 
     def of_partner(column):
@@ -153,7 +157,7 @@ def add_scopes(lines: DataFrame, *payload: str) -> DataFrame:
         of_partner("line").alias("partner_line"),
     )
 
-    in_order = (Window.partitionBy(*KEY).orderBy("line", "col", "turn")
+    in_order = (Window.partitionBy(*keys).orderBy("line", "col", "turn")
                 .rowsBetween(Window.unboundedPreceding, 0))
 
     def open_now(own, partner):
@@ -166,20 +170,16 @@ def add_scopes(lines: DataFrame, *payload: str) -> DataFrame:
     left = F.max(
         F.when(F.col("matched") & F.col("partner_async"), F.col("partner_line"))).over(in_order)
     events = events.select(
-        *KEY, "line", "col", "turn", "level", *payload,
+        *keys, "line", "col", "turn", "level", *payload,
         open_now("loop", "partner_loop").cast("int").alias("loop_depth"),
         (open_now("sync", "partner_sync") > 0).alias("in_sync"),
         F.coalesce(entered > F.coalesce(left, F.lit(0)), F.lit(False)).alias("in_async"),
     )
-    is_line = (F.col("col") == 0) & F.col("level").isNull()
+    is_line = (F.col("col") == 0) & (F.col("turn") == 1)
     return events.where(is_line).select(
         *KEY, "line", *payload, "loop_depth", "in_sync", "in_async")
 
 
-_BRACKETS = ("array<struct<turn:int,level:bigint,opens:boolean,loop:boolean,"
-             "sync:boolean,async:boolean>>")
-
-
 def annotate(lines: DataFrame, kind: str) -> DataFrame:
     """All lines (``repo, path, line, raw``) of languages of one kind, with their scopes."""
     s = text.strip(F.col("raw"))

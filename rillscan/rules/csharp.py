@@ -19,28 +19,28 @@ RULES = [
         min_depth=1),
     RuleSpec(
         "cs.sync_over_async", "csharp",
-        lambda c: ~has(c.s, "async") & matches(c.s, fx.P_CS_BLOCKING),
+        lambda c: ~has(c.s, "async") & matches(c.s, fx.P_CS_BLOCKING, ".Result", ".Wait", ".GetAwaiter"),
         "A pool thread waits for a task and may wait for itself.",
         "Await the task, and make the callers asynchronous."),
     RuleSpec(
         "cs.string_concat_loop", "csharp",
-        lambda c: matches(c.s, fx.P_APPEND) & (has(c.s, '"') | has(c.low, "string", "sql")),
+        lambda c: matches(c.s, fx.P_APPEND, "+=") & (has(c.s, '"') | has(c.low, "string", "sql")),
         "Every += builds a whole new string, which turns the loop quadratic.",
         "Append to one StringBuilder made before the loop.",
         min_depth=1),
     RuleSpec(
-        "cs.regex_in_loop", "csharp", lambda c: matches(c.s, fx.P_CS_REGEX),
+        "cs.regex_in_loop", "csharp", lambda c: matches(c.s, fx.P_CS_REGEX, "Regex"),
         "The same expression is parsed again on every pass.",
         "Keep the compiled expression in a static field.",
         min_depth=1),
     RuleSpec(
         "cs.alloc_in_loop", "csharp",
-        lambda c: matches(c.s, fx.P_NEW) & matches(c.s, fx.P_CS_NEW_COLLECTION),
+        lambda c: matches(c.s, fx.P_NEW, "new") & matches(c.s, fx.P_CS_NEW_COLLECTION),
         "The loop makes a new collection on every pass.",
         "Make it once before the loop and clear it, or give it its size.",
         min_depth=1),
     RuleSpec(
-        "cs.count_instead_of_any", "csharp", lambda c: matches(c.s, fx.P_CS_COUNT),
+        "cs.count_instead_of_any", "csharp", lambda c: matches(c.s, fx.P_CS_COUNT, ".Count"),
         "Counting walks the whole sequence to answer yes or no.",
         "Ask Any(), which stops at the first element."),
     RuleSpec(

@@ -6,16 +6,16 @@ _FRAMEWORK = ("//",)
 
 RULES = [
     RuleSpec(
-        "node.sync_fs", "node", lambda c: matches(c.s, fx.P_NODE_SYNC_FS),
+        "node.sync_fs", "node", lambda c: matches(c.s, fx.P_NODE_SYNC_FS, "Sync"),
         "One thread serves all requests, and the call stops it.",
         "Await the asynchronous call."),
     RuleSpec(
-        "node.sync_crypto", "node", lambda c: matches(c.s, fx.P_NODE_SYNC_CRYPTO),
+        "node.sync_crypto", "node", lambda c: matches(c.s, fx.P_NODE_SYNC_CRYPTO, "Sync"),
         "Hashing on the event loop stops the server for its duration.",
         "Await the asynchronous call."),
     RuleSpec(
         "node.await_in_loop", "node",
-        lambda c: ~c.s.startswith("for ") & ~has(c.s, "Promise.all") & matches(c.s, fx.P_NODE_AWAIT),
+        lambda c: ~c.s.startswith("for ") & ~has(c.s, "Promise.all") & matches(c.s, fx.P_NODE_AWAIT, "await"),
         "The calls run one after the other and their latencies add up.",
         "Start them together and await Promise.all, or send one query.",
         min_depth=1),
@@ -28,7 +28,7 @@ RULES = [
     RuleSpec(
         "next.fetch_no_cache", "node",
         lambda c: c.fact("server_code") & ~has(c.s, *fx.NEXT_POLICY_WORDS)
-        & matches(c.s, fx.P_NEXT_FETCH),
+        & matches(c.s, fx.P_NEXT_FETCH, "fetch"),
         "The origin is asked on every render.",
         "Give the fetch a cache policy or a revalidation time.",
         step=2, first_only=True, skips=_FRAMEWORK),
@@ -40,7 +40,7 @@ RULES = [
         step=3, first_only=True, skips=()),
     RuleSpec(
         "ng.method_in_template", "node",
-        lambda c: c.fact("angular_template") & matches(c.s, fx.P_NG_METHOD),
+        lambda c: c.fact("angular_template") & matches(c.s, fx.P_NG_METHOD, "{{"),
         "The method runs again on every change detection.",
         "Keep the value in a field, or use a pure pipe.",
         step=4, first_only=True, skips=()),

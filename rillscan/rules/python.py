@@ -7,7 +7,7 @@ from .spec import RuleSpec
 
 def _reads_all(c):
     opened_here = F.right(F.substring_index(c.s, ".read", 1), F.lit(fx.PY_OPEN_LOOKBACK))
-    return matches(c.s, fx.P_PY_READ) & ~has(opened_here, "open(")
+    return matches(c.s, fx.P_PY_READ, ".read()") & ~has(opened_here, "open(")
 
 
 RULES = [
@@ -18,7 +18,7 @@ RULES = [
         min_depth=2),
     RuleSpec(
         "py.string_concat_loop", "python",
-        lambda c: has(c.s, "str(", '"', "'") & matches(c.s, fx.P_APPEND),
+        lambda c: has(c.s, "str(", '"', "'") & matches(c.s, fx.P_APPEND, "+="),
         "The text is copied again each time a piece is added.",
         "Gather the pieces and join them once.",
         min_depth=1),
@@ -28,12 +28,12 @@ RULES = [
         "Read it by lines or blocks."),
     RuleSpec(
         "py.sync_io_in_async", "python",
-        lambda c: matches(c.s, fx.P_PY_REQUESTS) | matches(c.s, fx.P_PY_SLEEP),
+        lambda c: matches(c.s, fx.P_PY_REQUESTS, "requests.") | matches(c.s, fx.P_PY_SLEEP, "time.sleep"),
         "A blocking call stops the event loop for everyone.",
         "Await an asynchronous client or asyncio.sleep.",
         in_async=True),
     RuleSpec(
-        "py.connection_per_iter", "python", lambda c: matches(c.s, fx.P_PY_CONNECT),
+        "py.connection_per_iter", "python", lambda c: matches(c.s, fx.P_PY_CONNECT, ".connect"),
         "Each pass pays for a new connection.",
         "Connect once before the loop, or use a pool, and send batches.",
         min_depth=1),
