@@ -662,6 +662,10 @@ def sql() -> dict[str, str]:
               CASE WHEN medium > 0 THEN medium || ' Medium' END,
               CASE WHEN low > 0 THEN low || ' Low' END,
               CASE WHEN info > 0 THEN info || ' Info' END) AS badges FROM counts""",
+        "findings_json": _with(HISTORY) + """
+            SELECT to_json({'event_id': event_id, 'rule_id': rule_id, 'severity': severity,
+              'file': file, 'line': line, 'code': code, 'confirmed': confirmed})::VARCHAR AS json
+            FROM log""",
         "trend_series": recent + """
             , shown AS (SELECT * FROM deltas JOIN counts USING (repo, run_id))
             SELECT repo, run_id, strftime(make_timestamp(run_id * 1000000), '%Y-%m-%d %H:%M:%S') AS shown_at,

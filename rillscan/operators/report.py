@@ -65,11 +65,21 @@ def report_documents(findings: DataFrame, run: list[str], reviewed: Column,
         F.transform("items", lambda i: i["finding"]).alias("findings"))
 
 
+def json_rows(findings: DataFrame) -> DataFrame:
+    """Each finding as one JSON object, with its empty fields."""
+    return findings.select(F.to_json(F.struct("*"), {"ignoreNullFields": "false"}).alias("json"))
+
+
+def write_documents(documents: DataFrame, path: str) -> None:
+    documents.write.mode("overwrite").partitionBy("repo").json(path)
+
+
 def trend_series(history: DataFrame) -> DataFrame:
     """Runs of :func:`history.run_history` scaled for a chart, with their labels.
 
     ``height`` is the total against the largest one shown, ``critical_share`` the critical
-    part of it.  The history holds a bounded number of runs per repository.
+    part of it.  The history holds a bounded number of runs per repository; the oldest comes
+    first.
     """
     scale = history.groupBy("repo").agg(F.greatest(F.max("total"), F.lit(1)).alias("scale"))
     label = F.when(F.coalesce("commit_sha", F.lit("")) == "", F.col("run_id").cast("string"))
@@ -78,7 +88,7 @@ def trend_series(history: DataFrame) -> DataFrame:
         "critical_share": F.col("critical") / F.greatest("total", F.lit(1)),
         "label": F.left(label.otherwise(F.col("commit_sha")), F.lit(fixed.COMMIT_CHARS)),
         "shown_at": F.date_format("ts", "yyyy-MM-dd HH:mm:ss"),
-    }).drop("scale")
+    }).drop("scale").orderBy("repo", F.desc("age"))
 
 
 def whole_percent(rate: Column) -> Column:

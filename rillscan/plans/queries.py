@@ -325,6 +325,12 @@ def report_document(spark, sf):
         .alias("listed_events"), first["severity"].alias("worst"))
 
 
+def findings_json(spark, sf):
+    rows = corpus.findings_log(spark, sf).select(
+        "event_id", "rule_id", "severity", "file", "line", "code", "confirmed")
+    return report.json_rows(rows)
+
+
 def trend_series(spark, sf):
     runs, log = _history(spark, sf)
     rows = report.trend_series(history.run_history(runs, log, 20))
@@ -383,5 +389,6 @@ QUERIES = {
     "report_rows": report_rows,
     "severity_badges": severity_badges,
     "report_document": report_document,
+    "findings_json": findings_json,
     "trend_series": trend_series,
 }

@@ -4,7 +4,6 @@ from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from .. import fixed
-from ..functions import text
 
 
 def _any_case(ext: str) -> str:
@@ -31,6 +30,6 @@ def read_tree(spark: SparkSession, root: str, repo: str) -> DataFrame:
     base = root.split(":", 1)[-1].rstrip("/") + "/"
     return files.select(
         F.lit(repo).alias("repo"),
-        F.substring_index(full, base, -1).alias("path"),
+        F.split(full, r"\Q" + base + r"\E", 2)[1].alias("path"),
         F.make_valid_utf8("value").alias("content"),
     ).where(~F.concat(F.lit("/"), F.col("path")).contains("/.git/"))

@@ -159,7 +159,7 @@ def test_context_and_prompt(spark):
     assert by_line[1].kb_refs[0] == "Nested loops" and len(by_line[1].kb_refs) <= 2
 
 
-def test_documents_split_a_large_run(spark):
+def test_documents_split_a_large_run(spark, tmp_path):
     found = _findings(spark, 95).withColumnRenamed("path", "file")
     docs = report.report_documents(found, ["repo"], F.lit(True), page_rows=20).collect()
     assert {d.pages for d in docs} == {5} and {d.total for d in docs} == {95}
@@ -168,6 +168,9 @@ def test_documents_split_a_large_run(spark):
     for d in docs:
         assert [(f.file, f.line) for f in d.findings] == sorted((f.file, f.line) for f in d.findings)
         assert len(d.findings) < 95
+    report.write_documents(report.report_documents(found, ["repo"], F.lit(True), 20), str(tmp_path / "d"))
+    saved = spark.read.json(str(tmp_path / "d"))
+    assert saved.select(F.sum(F.size("findings"))).first()[0] == 95 and saved.count() == 5
     (whole,) = report.report_documents(found, ["repo"], F.lit(False)).collect()
     assert len(whole.findings) == 95
 
