@@ -52,7 +52,7 @@ def evaluated(df: DataFrame, keep: list, **columns: Column) -> DataFrame:
 
 
 def unix_newlines(col: Column) -> Column:
-    return F.regexp_replace(col, "\r\n?", "\n")
+    return F.when(col.contains("\r"), F.regexp_replace(col, "\r\n?", "\n")).otherwise(col)
 
 
 def split_lines(content: Column) -> Column:

@@ -13,6 +13,7 @@ from pyspark.sql import functions as F
 
 from .. import fixed
 from ..functions import text
+from .joins import lookup
 
 SHARD_POSTINGS = 500_000
 _NORM = -1  # stands where a note would, to sum the query norm along with the scores
@@ -54,7 +55,8 @@ def postings(notes: DataFrame) -> tuple[DataFrame, int, int]:
     n = notes.count()
     body = F.concat_ws(" ", "text", "topic")
     counted = terms(notes.select("note_ord", body.alias("text")), "note_ord")
-    weighed = counted.join(document_frequency(counted), "term").select(
+    df = document_frequency(counted)
+    weighed = lookup(counted, df, ["term"], ["note_ord"], "inner").select(
         "note_ord", "term", idf(F.col("df"), n).alias("idf"),
         (F.col("n") * idf(F.col("df"), n)).alias("w"))
     norms = weighed.groupBy("note_ord").agg(F.sqrt(F.sum(F.col("w") * F.col("w"))).alias("norm"))
@@ -92,7 +94,7 @@ def best_notes(queries: DataFrame, key: str, notes: DataFrame, k: int = fixed.RE
         known = [weighed(found.where(of == i), "inner") for i in range(shards)]
         norms = [weighed(norm_rows.where(of_term == i), "inner") for i in range(shards)]
         # terms no note has: what the anti-join with all known terms leaves
-        rest = asked.join(norm_rows.select("term"), "term", "left_anti").select(
+        rest = lookup(asked, norm_rows.select("term"), ["term"], [key], "left_anti").select(
             key, F.lit(_NORM).cast("long").alias("note_ord"),
             (F.col("n") * F.col("n") * unknown * unknown).alias("part"))
         parts = reduce(DataFrame.unionByName, [*known, *norms, rest])
@@ -110,7 +112,7 @@ def best_notes(queries: DataFrame, key: str, notes: DataFrame, k: int = fixed.RE
 def retrieved(queries: DataFrame, key: str, notes: DataFrame,
               k: int = fixed.RETRIEVED_NOTES) -> DataFrame:
     """``key, kb_refs, reference_text``: topics and texts of the best notes, best first."""
-    best = best_notes(queries, key, notes, k).join(notes, "note_ord")
+    best = lookup(best_notes(queries, key, notes, k), notes, ["note_ord"], [key], "inner")
     rows = F.sort_array(F.collect_list(F.struct("rank", "topic", "text")))
     return best.groupBy(key).agg(rows.alias("rows")).select(
         key,

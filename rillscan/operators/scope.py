@@ -43,7 +43,8 @@ def line_facts(kind: Column, raw: Column, s: Column) -> list[Column]:
     """Columns the scope windows read, from one line of text.  Runs before the exchange."""
     code = (kind == INDENT) & (s != "") & ~s.startswith("#")
     return [
-        F.when(kind == BRACES, F.regexp_replace(raw, "[^{}]", "")).otherwise("").alias("marks"),
+        F.when((kind == BRACES) & text.has(raw, "{", "}"), F.regexp_replace(raw, "[^{}]", ""))
+        .otherwise("").alias("marks"),
         F.when(code, text.indent_width(raw)).alias("indent"),
         F.when(kind == BRACES, brace_loop_header(s))
         .when(code, indent_loop_header(s)).otherwise(False).alias("loop_header"),

@@ -113,8 +113,9 @@ def diff_changed_lines(spark, sf):
 
 
 def changed_scope_semi(spark, sf):
-    changed = diff_source.changed_lines(corpus.diffs(spark, sf)).select(
-        "repo", "path", "line").distinct()
+    # read twice: to choose the files and to cut their findings
+    changed = staged(diff_source.changed_lines(corpus.diffs(spark, sf)).select(
+        "repo", "path", "line").distinct())
     files = policy.touched_files(corpus.sources(spark, sf), changed)
     found = scan.scan(files, rules_for("java", "sql"))
     return policy.on_changed_lines(found, changed).select(*SHOWN)
