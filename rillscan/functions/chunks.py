@@ -6,6 +6,8 @@ from pyspark.sql import functions as F
 from .. import fixed
 from . import text
 
+LIST_CHUNKS = 1024
+
 
 def pack(body: Column, separator: str = r"\n\s*\n") -> Column:
     """Array of chunks.  Paragraphs are joined until the next one would pass the limit.
@@ -16,21 +18,29 @@ def pack(body: Column, separator: str = r"\n\s*\n") -> Column:
         F.transform(F.split(body, separator, -1), text.strip),
         lambda p: F.length(p) > fixed.CHUNK_MIN_PARAGRAPH)
 
-    # The state holds finished chunks and the one being filled, both as they will be read.
-    start = F.struct(F.array().cast("array<string>").alias("done"), F.lit("").alias("open"))
+    # Finished chunks gather in short lists and these in a list of lists: adding to a list
+    # copies it, so one long list would cost the square of its length.
+    texts, lists = "array<string>", "array<array<string>>"
+    start = F.struct(
+        F.array().cast(lists).alias("full"), F.array().cast(texts).alias("last"),
+        F.lit("").alias("open"))
+
+    def finished(state):
+        return F.concat(state["last"], F.array(text.strip(state["open"])))
 
     def add(state, p):
-        full = F.length(state["open"]) + F.length(p) > fixed.CHUNK_MAX_CHARS
-        kept = F.when(
-            full & (state["open"] != ""), F.concat(state["done"], F.array(text.strip(state["open"])))
-        ).otherwise(state["done"])
-        now = F.when(full, p).otherwise(F.concat_ws("\n", state["open"], p))
-        return F.struct(kept.alias("done"), now.alias("open"))
+        over = F.length(state["open"]) + F.length(p) > fixed.CHUNK_MAX_CHARS
+        ends = over & (state["open"] != "")
+        turns = ends & (F.size(state["last"]) >= LIST_CHUNKS - 1)
+        return F.struct(
+            F.when(turns, F.concat(state["full"], F.array(finished(state))))
+            .otherwise(state["full"]).alias("full"),
+            F.when(turns, F.array().cast(texts)).when(ends, finished(state))
+            .otherwise(state["last"]).alias("last"),
+            F.when(over, p).otherwise(F.concat_ws("\n", state["open"], p)).alias("open"))
 
     def close(state):
-        return F.when(
-            text.strip(state["open"]) != "",
-            F.concat(state["done"], F.array(text.strip(state["open"]))),
-        ).otherwise(state["done"])
+        last = F.when(text.strip(state["open"]) != "", finished(state)).otherwise(state["last"])
+        return F.flatten(F.concat(state["full"], F.array(last)))
 
     return F.aggregate(paragraphs, start, add, close)

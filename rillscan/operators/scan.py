@@ -22,8 +22,6 @@ _INDENTED = r"(?m)^[\x1c-\x1f[^\S\n]]*+"
 
 # Scan order inside a file.
 SCAN_ORDER = ("path", "ruleset_ord", "step", "line", "rule_ord")
-FINDING = ("rule_id", "title", "category", "severity", "line", "code", "why", "fix",
-           "ruleset_ord", "step", "rule_ord")
 
 
 def _error_rules() -> list[RuleSpec]:
@@ -92,7 +90,8 @@ def _file_facts(files: DataFrame) -> DataFrame:
             has(code, "getInstance") & has(code, fixed.SYNC_PREFIX)
             & matches(code, fixed.P_JAVA_NULL_CHECK) & ~matches(code, fixed.P_JAVA_VOLATILE),
             F.lit(False)).alias("unsafe_singleton"),
-        (java & matches(body, fixed.P_JAVA_CATCH_NUMBER)).alias("catches_bad_numbers"),
+        (java & matches(body, fixed.P_JAVA_CATCH_NUMBER, "NumberFormatException"))
+        .alias("catches_bad_numbers"),
         (java & ~has(body, "FetchType.LAZY")).alias("no_lazy_fetch"),
         (runs("frontend") & has(body, "useEffect")
          & ~has(body, "removeEventListener", "clearInterval")).alias("effect_without_cleanup"),

@@ -15,7 +15,8 @@ RULES = [
         "Await the asynchronous call."),
     RuleSpec(
         "node.await_in_loop", "node",
-        lambda c: ~c.s.startswith("for ") & ~has(c.s, "Promise.all") & matches(c.s, fx.P_NODE_AWAIT, "await"),
+        lambda c: ~c.s.startswith("for ") & ~has(c.s, "Promise.all")
+        & matches(c.s, fx.P_NODE_AWAIT, "await"),
         "The calls run one after the other and their latencies add up.",
         "Start them together and await Promise.all, or send one query.",
         min_depth=1),

@@ -13,7 +13,8 @@ RULES = [
         "Fix the start of the pattern, or use a text index."),
     RuleSpec(
         "sql.function_on_column", "sql",
-        lambda c: matches(c.low, fx.P_SQL_WHERE_FUNCTION, "where") | matches(c.low, fx.P_SQL_FUNCTION_EQUALS, "="),
+        lambda c: matches(c.low, fx.P_SQL_WHERE_FUNCTION, "where")
+        | matches(c.low, fx.P_SQL_FUNCTION_EQUALS, "="),
         "The index on the column does not know the result of the function.",
         "Compare the bare column, by a range for instance, or index the expression."),
     RuleSpec(

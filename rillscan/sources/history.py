@@ -14,24 +14,28 @@ def run_rows(findings: DataFrame, runs: DataFrame, reviewed: bool) -> DataFrame:
         "engine", report.engine_label(F.lit(reviewed)))
 
 
-def record(findings: DataFrame, runs: DataFrame, root: str, reviewed: bool = False,
-           store_code: bool = True) -> None:
-    """Append a batch of runs and their findings (``repo, run_id`` and the finding columns).
+def record(findings: DataFrame, runs: DataFrame, root: str, batch: str,
+           reviewed: bool = False, store_code: bool = True) -> None:
+    """Add runs and their findings (``repo, run_id`` and the finding columns) to the history.
 
-    The caller gives the run ids, so nothing is read back.  Rows of one repository are dealt
-    to several tasks before the write, since one repository may hold much of the batch.
+    The caller gives the run ids, so nothing is read back.  A batch has a folder of its own
+    and replaces it: a job that is run again after a failure leaves no doubles.  Rows of one
+    repository are dealt to several tasks, since one repository may hold much of the batch.
     """
     log = history.log_rows(findings, store_code)
     split = F.pmod(F.xxhash64("fingerprint", "run_id", "line"), F.lit(LOG_SPLITS))
-    (log.withColumn("split", split).repartition("repo", "split").drop("split")
-     .write.mode("append").partitionBy("repo").parquet(f"{root}/findings_log"))
-    (run_rows(findings, runs, reviewed)
-     .write.mode("append").partitionBy("repo").parquet(f"{root}/runs"))
+    _write(log.withColumn("split", split).repartition("repo", "split").drop("split"),
+           root, "findings_log", batch)
+    _write(run_rows(findings, runs, reviewed), root, "runs", batch)
+
+
+def _write(rows: DataFrame, root: str, name: str, batch: str) -> None:
+    rows.write.mode("overwrite").partitionBy("repo").parquet(f"{root}/{name}/batch={batch}")
 
 
 def read(spark: SparkSession, root: str, name: str, repo: str | None = None) -> DataFrame:
     """A table of the history; one repository is read from its own partition."""
-    rows = spark.read.parquet(f"{root}/{name}")
+    rows = spark.read.parquet(f"{root}/{name}").drop("batch")
     return rows if repo is None else rows.where(F.col("repo") == repo)
 
 

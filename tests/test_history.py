@@ -96,9 +96,9 @@ def test_deltas_by_brute_force_with_a_hot_repository(spark):
 def test_record_and_read(spark, two_runs, tmp_path):
     runs, log = two_runs
     root = str(tmp_path)
-    for run in (1, 2):
+    for run in (1, 2, 2):  # a batch that is recorded again replaces itself
         store.record(log.where(F.col("run_id") == run), runs.where(F.col("run_id") == run), root,
-                     reviewed=run == 2, store_code=run == 1)
+                     f"run{run}", reviewed=run == 2, store_code=run == 1)
     saved = store.read(spark, root, "findings_log", "a")
     assert saved.where("run_id = 1").where("code = ''").count() == 0
     assert saved.where("run_id = 2").where("code <> ''").count() == 0
