@@ -13,6 +13,7 @@ from pyspark.sql import functions as F
 
 from .. import fixed
 from ..functions import text
+from ..sources.staging import staged
 from .joins import lookup
 
 SHARD_POSTINGS = 500_000
@@ -60,8 +61,9 @@ def postings(notes: DataFrame) -> tuple[DataFrame, int, int]:
         "note_ord", "term", idf(F.col("df"), n).alias("idf"),
         (F.col("n") * idf(F.col("df"), n)).alias("w"))
     norms = weighed.groupBy("note_ord").agg(F.sqrt(F.sum(F.col("w") * F.col("w"))).alias("norm"))
-    found = weighed.join(norms, "note_ord").select(
-        "term", "note_ord", (F.col("w") / F.col("norm")).alias("w"), "idf")
+    # counted here and then read by every shard: kept as a table
+    found = staged(weighed.join(norms, "note_ord").select(
+        "term", "note_ord", (F.col("w") / F.col("norm")).alias("w"), "idf"))
     return found, found.count(), n
 
 
