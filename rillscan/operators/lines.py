@@ -1,7 +1,7 @@
 """Files to rulesets and to numbered lines.
 
-``sources`` has one row per file: ``repo, path, content``; (repo, path) is its key.  A file
-is one row, so the lines of a file never exceed what one Spark row can hold (2 GiB): that
+``sources`` has one row per file: ``repo, path, content`` and, when several commits are read at
+once, ``commit_sha``; all but the content are its key.  A file is one row, so the lines of a file never exceed what one Spark row can hold (2 GiB): that
 bounds every per-file window below, however large the corpus or a repository is.
 """
 
@@ -11,7 +11,12 @@ from pyspark.sql import functions as F
 from .. import fixed
 from ..functions import text
 
-KEY = ("repo", "path")
+_KEY = ("repo", "commit_sha", "path")
+
+
+def file_key(*frames: DataFrame) -> list[str]:
+    """Columns that tell files apart, as far as all of the frames have them."""
+    return [c for c in _KEY if all(c in df.columns for df in frames)]
 
 
 def extension_rulesets(spark) -> DataFrame:
@@ -35,9 +40,10 @@ def supported(path: Column) -> Column:
 
 def explode_lines(sources: DataFrame) -> DataFrame:
     """One row per line, numbered from 1; trailing empty lines are kept."""
+    key = file_key(sources)
     return sources.select(
-        *KEY, F.posexplode(text.split_lines(F.col("content"))).alias("pos", "raw")
-    ).select(*KEY, (F.col("pos") + 1).alias("line"), "raw")
+        *key, F.posexplode(text.split_lines(F.col("content"))).alias("pos", "raw")
+    ).select(*key, (F.col("pos") + 1).alias("line"), "raw")
 
 
 def skip_lines(lines: DataFrame, ruleset: str) -> DataFrame:

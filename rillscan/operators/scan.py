@@ -14,7 +14,7 @@ from ..functions import text
 from ..functions.text import has, matches
 from ..rules import CATALOGUE, Line, RuleSpec
 from . import scope
-from .lines import KEY, with_rulesets
+from .lines import file_key, with_rulesets
 
 RULESET_ORDER = list(fixed.SKIP_PREFIXES)
 RULES_AT_ONCE = 6
@@ -71,8 +71,9 @@ def _file_facts(files: DataFrame) -> DataFrame:
     java, node, python = runs("java"), runs("node"), runs("python")
     braces = runs(*[r for r, kind in scope.SCOPE_KIND.items() if kind == scope.BRACES])
     names = F.array(*[F.array(*map(F.lit, family)) for family in _families()])
+    key = file_key(files)
     files = files.select(
-        *KEY, (F.array_position(names, F.col("rulesets")) - 1).cast("int").alias("family"),
+        *key, (F.array_position(names, F.col("rulesets")) - 1).cast("int").alias("family"),
         text.unix_newlines(F.coalesce("content", F.lit(""))).alias("content"),
         F.col("content").isNull().alias("unreadable"),
     ).select(
@@ -85,7 +86,7 @@ def _file_facts(files: DataFrame) -> DataFrame:
     in_braces = matches(body, _INDENTED + r"(?:foreach|for|while|do)(?:[\s\x1c-\x1f(]|$)")
     in_indent = matches(body, _INDENTED + r"(?:for|while)[ (]")
     return files.select(
-        *KEY, "family", "content", "unreadable",
+        *key, "family", "content", "unreadable",
         F.coalesce(
             has(code, "getInstance") & has(code, fixed.SYNC_PREFIX)
             & matches(code, fixed.P_JAVA_NULL_CHECK) & ~matches(code, fixed.P_JAVA_VOLATILE),
@@ -110,6 +111,7 @@ _FACTS = ("unreadable", "unsafe_singleton", "catches_bad_numbers", "no_lazy_fetc
 
 
 def _lines(files: DataFrame) -> DataFrame:
+    key = file_key(files)
     rows = F.split("content", "\n", -1)
     front = F.col("family").isin(_family_numbers("frontend"))
     blank = F.array(F.lit(""))
@@ -120,11 +122,11 @@ def _lines(files: DataFrame) -> DataFrame:
         F.when(front, F.concat(blank, rows)).otherwise(none).alias("prev"),
         F.when(front, F.concat(blank, blank, rows)).otherwise(none).alias("prev2"),
     )
-    lines = files.select(*KEY, "family", "kind", *_FACTS,
+    lines = files.select(*key, "family", "kind", *_FACTS,
                          F.posexplode(zipped).alias("pos", "z"))
     return text.evaluated(
         lines.where(F.col("z.raw").isNotNull()),
-        [*KEY, "family", "kind", *_FACTS, (F.col("pos") + 1).alias("line")],
+        [*key, "family", "kind", *_FACTS, (F.col("pos") + 1).alias("line")],
         raw=F.col("z.raw"),
         s=text.strip(F.col("z.raw")),
         near=F.when(front, F.concat("z.prev2", "z.prev", "z.raw")),
@@ -162,6 +164,7 @@ def scan(sources: DataFrame, rules: list[RuleSpec] | None = None) -> DataFrame:
     ``rules`` are the catalogue by default; give ``CATALOGUE + [your RuleSpec]`` to add your
     own.  Order by ``repo`` and ``SCAN_ORDER`` to get the scan order.
     """
+    key = file_key(sources)
     asked = CATALOGUE if rules is None else rules
     rulesets = {rule.ruleset for rule in asked}
     rules = list(asked) + [rule for rule in _error_rules() if rule.ruleset in rulesets]
@@ -173,13 +176,13 @@ def scan(sources: DataFrame, rules: list[RuleSpec] | None = None) -> DataFrame:
     hit = F.size("hits") > 0
     if any(rule.scoped for rule in rules):
         rows = lines.select(
-            *KEY, "line", "hits", F.when(hit, F.col("s")).alias("s"),
+            *key, "line", "hits", F.when(hit, F.col("s")).alias("s"),
             *scope.line_facts(F.col("kind"), F.col("raw"), F.col("s")),
         ).where(scope.matters(hit))
         rows = scope.add_scopes(rows, "hits", "s").where(hit)
     else:
         rows = lines.where(hit).select(
-            *KEY, "line", "hits", "s", F.lit(0).alias("loop_depth"),
+            *key, "line", "hits", "s", F.lit(0).alias("loop_depth"),
             F.lit(False).alias("in_sync"), F.lit(False).alias("in_async"))
 
     found = rows.withColumn("rule", F.explode("hits")).join(
@@ -191,14 +194,14 @@ def scan(sources: DataFrame, rules: list[RuleSpec] | None = None) -> DataFrame:
         & (~F.col("needs_async") | F.col("in_async"))
     )
     if any(rule.first_only for rule in rules):
-        of_rule = Window.partitionBy(*KEY, "rule_id")
+        of_rule = Window.partitionBy(*key, "rule_id")
         place = F.struct("fallback", "line")
         found = found.withColumn("first", F.min(place).over(of_rule)).where(
             ~F.col("first_only") | (place == F.col("first")))
 
     error = F.col("rule_id") == fixed.DETECTOR_ERROR[0]
     return found.select(
-        *KEY, "rule_id",
+        *key, "rule_id",
         F.when(error, F.concat("title", "path")).otherwise(F.col("title")).alias("title"),
         "category", "severity", "line",
         F.coalesce("shown", "s").alias("code"),

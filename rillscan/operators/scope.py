@@ -17,7 +17,7 @@ from pyspark.sql import functions as F
 
 from .. import fixed
 from ..functions import text
-from .lines import KEY
+from .lines import file_key
 
 BRACES = "braces"
 INDENT = "indent"
@@ -71,8 +71,9 @@ def add_scopes(lines: DataFrame, *payload: str) -> DataFrame:
     # The one exchange.  It carries one row per line; brackets are unfolded behind it.
     # Sorting starts with a number made from the key: most comparisons end there, while names
     # share their first letters.  The names stay in the key, so equal numbers do no harm.
-    keys = ("file_hash", *KEY)
-    files = lines.repartition(*KEY).withColumn("file_hash", F.xxhash64(*KEY))
+    key = file_key(lines)
+    keys = ("file_hash", *key)
+    files = lines.repartition(*key).withColumn("file_hash", F.xxhash64(*key))
     events = files.select(
         *keys, "line", *SCOPE_FACTS, *payload,
         F.posexplode(
@@ -178,11 +179,11 @@ def add_scopes(lines: DataFrame, *payload: str) -> DataFrame:
     )
     is_line = (F.col("col") == 0) & (F.col("turn") == 1)
     return events.where(is_line).select(
-        *KEY, "line", *payload, "loop_depth", "in_sync", "in_async")
+        *key, "line", *payload, "loop_depth", "in_sync", "in_async")
 
 
 def annotate(lines: DataFrame, kind: str) -> DataFrame:
-    """All lines (``repo, path, line, raw``) of languages of one kind, with their scopes."""
+    """All lines (file key, ``line, raw``) of languages of one kind, with their scopes."""
     s = text.strip(F.col("raw"))
-    facts = lines.select(*KEY, "line", "raw", *line_facts(F.lit(kind), F.col("raw"), s))
+    facts = lines.select(*file_key(lines), "line", "raw", *line_facts(F.lit(kind), F.col("raw"), s))
     return add_scopes(facts, "raw")

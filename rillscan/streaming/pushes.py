@@ -22,14 +22,10 @@ def review_pushes(files: DataFrame, root: str, checkpoint: str,
     policy = policy or review.ReviewPolicy()
 
     def one_batch(batch: DataFrame, number: int) -> None:
-        # Within a batch a file is known by repository, run and path.
-        keyed = batch.withColumn(
-            "repo", F.to_json(F.struct("repo", F.col("run_id").cast("string").alias("run_id"))))
+        # A batch may hold several runs of a repository: the run tells their files apart.
+        keyed = batch.withColumn("commit_sha", F.col("run_id").cast("string"))
         found = review.review(keyed, rules=policy)
-        key = F.from_json("repo", "repo string, run_id string")
-        found = found.withColumn("key", key).withColumns({
-            "repo": F.col("key.repo"), "run_id": F.col("key.run_id")}).drop("key")
-        history.log_rows(found, policy.store_code).write.mode("overwrite").parquet(
+        history.log_rows(found.withColumn("run_id", F.col("commit_sha")), policy.store_code).write.mode("overwrite").parquet(
             f"{root}/findings_log/batch={number}")
 
     return (files.writeStream.foreachBatch(one_batch)
