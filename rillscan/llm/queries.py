@@ -2,13 +2,31 @@
 
 from __future__ import annotations
 
-from pyspark.sql import DataFrame, SparkSession
+from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from . import fingerprints, secrets, sharding, simhash
+from . import (
+    decontamination,
+    extraction,
+    fingerprints,
+    packing,
+    secrets,
+    sharding,
+    simhash,
+    token_counts,
+    toxicity,
+)
+from .shared import importable
+
+
+VOCABULARY = "/opt/tokenizers/piece_bpe_32k.model"
+TOXIC = 0.7
+CAPACITY = 2048
+"""Words of a bin."""
 
 
 def _table(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
+    importable(spark)
     return spark.read.parquet(f"{sf_dir}/{name}.parquet")
 
 
@@ -16,6 +34,10 @@ def op1_fingerprints(spark: SparkSession, sf_dir: str) -> DataFrame:
     return fingerprints.edited_versions(_table(spark, sf_dir, "documents"))
 
 
+def op2_site_style_tree(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return extraction.extract(_table(spark, sf_dir, "pages"))
+
+
 def op4_histogram_shards(spark: SparkSession, sf_dir: str) -> DataFrame:
     docs = _table(spark, sf_dir, "documents").select("doc_id", "text")
     return sharding.histogram_shards(docs, shards=8).select(
@@ -27,6 +49,23 @@ def op5_simhash(spark: SparkSession, sf_dir: str) -> DataFrame:
     return simhash.near_duplicates(_table(spark, sf_dir, "documents"), shingle=3, distance=2)
 
 
+def held_out(doc_id: Column) -> Column:
+    """Rows whose labels are not learned."""
+    return F.coalesce(F.crc32(doc_id.cast("string")) % 3 == 1, F.lit(False))
+
+
+def toxicity_model(docs: DataFrame, labels: DataFrame) -> toxicity.Model:
+    return toxicity.fit(docs, labels, ~held_out(F.col("doc_id")))
+
+
+def op6_toxicity(spark: SparkSession, sf_dir: str) -> DataFrame:
+    docs = _table(spark, sf_dir, "documents")
+    model = toxicity_model(docs, _table(spark, sf_dir, "labels"))
+    return toxicity.scores(docs, model).select(
+        "doc_id", held_out(F.col("doc_id")).alias("held_out"), "score",
+        (F.col("score") >= TOXIC).cast("int").alias("predicted"))
+
+
 def op7_secrets(spark: SparkSession, sf_dir: str) -> DataFrame:
     docs = _table(spark, sf_dir, "documents").select("doc_id", "text")
     found = secrets.scan(docs)
@@ -40,5 +79,24 @@ def op7_secrets(spark: SparkSession, sf_dir: str) -> DataFrame:
         secrets.joined(F.col("spans")).alias("spans"))
 
 
-QUERIES = {f.__name__: f for f in (op1_fingerprints, op4_histogram_shards, op5_simhash, op7_secrets)}
+def op8_token_counts(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return token_counts.token_counts(_table(spark, sf_dir, "documents"), token_counts.Vocabulary.read(VOCABULARY))
+
+
+def op9_decontamination(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return decontamination.contaminated(_table(spark, sf_dir, "documents"), _table(spark, sf_dir, "benchmark"))
+
+
+def packed(docs: DataFrame) -> DataFrame:
+    return packing.pack(
+        docs, CAPACITY, size=F.regexp_count("text", F.lit(r"\S+")), source=F.col("source"), cluster=F.xxhash64("text"))
+
+
+def op10_packing(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return packed(_table(spark, sf_dir, "documents"))
+
+
+QUERIES = {f.__name__: f for f in (
+    op1_fingerprints, op2_site_style_tree, op4_histogram_shards, op5_simhash, op6_toxicity, op7_secrets,
+    op8_token_counts, op9_decontamination, op10_packing)}
 SQL: dict[str, str] = {}

@@ -14,8 +14,9 @@ from dataclasses import dataclass
 
 import numpy as np
 import pyarrow as pa
-from pyspark.sql import Column, DataFrame
+from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
+from pyspark.sql.pandas.functions import arrow_udf
 
 from .shared import pieces, texts
 
@@ -94,8 +95,8 @@ def _bag(data: bytes) -> tuple[np.ndarray, np.ndarray]:
     return rows.astype(np.int64), np.bincount(at, share).astype(np.float32)
 
 
-def train(labelled: Iterable[tuple[str, int]], sample: TrainingSample = TrainingSample(), epochs: int = 16,
-          batch: int = 64, rate: float = 1.5, seed: int = 7) -> Model:
+def train(labelled: Iterable[tuple[str, int]], sample: TrainingSample = TrainingSample(), epochs: int = 12, least_steps: int = 2000,
+          batch: int = 64, rate: float = 3.0, seed: int = 7) -> Model:
     """Vectors and softmax, by minibatches with per-coordinate steps (Adagrad).
 
     A text without toxicity has none in any part, so some short parts of it are examples too:
@@ -127,6 +128,7 @@ def train(labelled: Iterable[tuple[str, int]], sample: TrainingSample = Training
         starts = np.flatnonzero(np.diff(ids[order], prepend=-1))
         batches.append((ids[order][starts], ids.astype(np.int32), doc.astype(np.int32), share, order, starts, np.array([b[2] for b in part])))
     del bags
+    epochs = max(epochs, -(-least_steps // len(batches)))
     sums = [np.full(x.shape, 1e-6, np.float32) for x in (vectors, weights, bias)]
 
     def step(target, total, at, gradient, size):
@@ -222,19 +224,23 @@ def fit(docs: DataFrame, labels: DataFrame, usable: Column, sample: TrainingSamp
     return Model(raw[0].reshape(ROWS, WIDTH), raw[1].reshape(WIDTH, 2), (raw[2] + np.log(share)).astype(np.float32))
 
 
+def score_column(text: Column, model: Model, spark: SparkSession) -> Column:
+    """The score of a text column, from the text alone; null and empty texts score by the bias."""
+    sent = spark.sparkContext.broadcast((model.of_grams(), float(model.bias[1] - model.bias[0])))  # 1 MB
+
+    @arrow_udf("double")
+    def find(t: pa.Array) -> pa.Array:
+        parts = pieces(pa.RecordBatch.from_arrays([t], ["text"]), "text")
+        found = [score(p.column("text").to_pylist(), *sent.value) for p in parts]
+        return pa.array(np.concatenate(found) if found else [], pa.float64())
+
+    return find(F.coalesce(text, F.lit("")))
+
+
 def scores(docs: DataFrame, model: Model, id_col: str = "doc_id", text_col: str = "text") -> DataFrame:
-    """``doc_id, score`` of every row from its text alone; null and empty texts score by the bias.
+    """``doc_id, score`` of every row.
 
     Repeated rows give repeated results; an empty table gives no rows; other columns are not read.
     """
-    sent = docs.sparkSession.sparkContext.broadcast((model.of_grams(), float(model.bias[1] - model.bias[0])))  # 1 MB
-
-    def run(batches):
-        for batch in batches:
-            for part in pieces(batch, "text"):
-                yield pa.RecordBatch.from_arrays(
-                    [part.column("doc_id"), pa.array(score(part.column("text").to_pylist(), *sent.value))],
-                    ["doc_id", "score"])
-
     rows = texts(docs, id_col, text_col)
-    return rows.mapInArrow(run, f"doc_id {rows.schema['doc_id'].dataType.simpleString()}, score double")
+    return rows.select("doc_id", score_column(F.col("text"), model, docs.sparkSession).alias("score"))
