@@ -1,10 +1,13 @@
 """Document fingerprints: invertible Bloom lookup sketches of paragraph digests.
 
-All of it is DataFrame expressions.  A text becomes the set of its paragraph digests, a digest the
-same cell in each of three tables of ``width`` cells.  A cell holds a count and the exclusive ors
-of the digests and of their checks.  The sketches of two versions are subtracted cell by cell and
-peeled: a cell of one digest gives it away, which is taken out of its other cells, and so on,
-until no cell is left.  If cells are left, the sketches are built again twice as wide.
+All of it is DataFrame operations.  A text becomes the set of its paragraph digests, and a digest
+goes to one cell in each of three tables of ``width`` cells.  A cell holds a count and the
+exclusive ors of the digests and of their checks.  The sketches of two versions are subtracted
+cell by cell and peeled: a cell of one digest gives it away, which is taken out of its other
+cells, and so on.  Where cells are left, both sketches are built again twice as wide.
+
+Cells are rows, grouped by version pair and cell.  All groups of a pair lie in the partition of
+the pair, so no round of peeling exchanges anything.
 """
 
 from __future__ import annotations
@@ -14,14 +17,14 @@ from collections.abc import Callable
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
-from .shared import partitions
+from .shared import partitions, written
 
-FOLD = 160
+FOLD = 240
 """A paragraph is a line; a longer one is folded at the blanks before this many code points."""
 TABLES, CHECK = 3, 7
-RETRIES = (1, 2, 4, 8, 16)
-ROUNDS = 48
-CELLS = "array<struct<cell:int,n:int,k:bigint,c:bigint>>"
+RETRIES = 6
+ROUNDS = 12
+"""Each round peels the cells of one table; sketches that need more are retried larger."""
 
 
 def _let(value: Column, body: Callable[[Column], Column]) -> Column:
@@ -42,92 +45,108 @@ def width(n: Column) -> Column:
     return F.greatest(F.lit(4), F.ceil(n / 2)).cast("int")
 
 
-def _entries(keys: Column, w: Column) -> Column:
-    """The cells that each of the keys (structs n, k) falls into."""
-    return F.flatten(F.transform(keys, lambda x: F.array(*[
-        F.struct(
-            (F.lit(j) * w + F.pmod(F.xxhash64(x["k"], F.lit(j)), w)).cast("int").alias("cell"),
-            x["n"].alias("n"), x["k"].alias("k"), F.xxhash64(x["k"], F.lit(CHECK)).alias("c"))
-        for j in range(TABLES)])))
+def _cell(key: Column, table: int, w: Column) -> Column:
+    return (F.lit(table) * w + F.pmod(F.xxhash64(key, F.lit(table)), w)).cast("long")
 
 
-def _combined(entries: Column) -> Column:
-    """Entries of a cell added up; cells that hold nothing are left out."""
-    none = F.lit(None).cast("struct<cell:int,n:int,k:bigint,c:bigint>")
-
-    def step(s, x):
-        same = s["last"]["cell"] == x["cell"]
-        return F.when(same, F.struct(
-            F.struct(x["cell"].alias("cell"), (s["last"]["n"] + x["n"]).alias("n"),
-                     s["last"]["k"].bitwiseXOR(x["k"]).alias("k"),
-                     s["last"]["c"].bitwiseXOR(x["c"]).alias("c")).alias("last"),
-            s["out"].alias("out"))
-        ).otherwise(F.struct(x.alias("last"), F.array_append(s["out"], s["last"]).alias("out")))
-
-    ran = F.aggregate(
-        F.sort_array(entries),
-        F.struct(none.alias("last"), F.array().cast(CELLS).alias("out")),
-        step, lambda s: F.array_append(s["out"], s["last"]))
-    return F.filter(ran, lambda c: (c["n"] != 0) | (c["k"] != 0) | (c["c"] != 0))
-
-
-def _signed(keys: Column, n: int) -> Column:
-    return F.transform(keys, lambda k: F.struct(F.lit(n).alias("n"), k.alias("k")))
-
-
-def sketch(keys: Column, w: Column) -> Column:
-    """The cells that hold something."""
-    return _combined(_entries(_signed(keys, 1), w))
-
-
-def difference(mine: Column, theirs: Column) -> Column:
-    """A sketch less another of the same width."""
-    return _combined(F.concat(mine, F.transform(theirs, lambda c: F.struct(
-        c["cell"].alias("cell"), (-c["n"]).alias("n"), c["k"].alias("k"), c["c"].alias("c")))))
-
-
-def peeled(cells: Column, w: Column) -> Column:
-    """``left`` (cells not peeled) and ``found`` (structs n, k: 1 only in the first, -1 only in the second)."""
-    def step(s, _):
-        pure = F.filter(s["left"], lambda c: (F.abs(c["n"]) == 1) & (F.xxhash64(c["k"], F.lit(CHECK)) == c["c"]))
-        keys = F.array_distinct(F.transform(pure, lambda c: F.struct(c["n"].alias("n"), c["k"].alias("k"))))
-        return F.when(F.size(s["left"]) == 0, s).otherwise(_let(keys, lambda found: F.when(F.size(found) == 0, s).otherwise(
-            F.struct(
-                _combined(F.concat(s["left"], _entries(F.transform(
-                    found, lambda x: F.struct((-x["n"]).alias("n"), x["k"].alias("k"))), w))).alias("left"),
-                F.concat(s["found"], found).alias("found")))))
-
-    return F.aggregate(
-        F.sequence(F.lit(1), F.lit(ROUNDS)),
-        F.struct(cells.alias("left"), F.array().cast("array<struct<n:int,k:bigint>>").alias("found")), step)
-
-
-def recovered(mine: Column, theirs: Column) -> Column:
-    """The digests (structs n, k) that only one of two digest sets holds, by subtracting and
-    peeling sketches of growing width; should the widest fail, by comparing the sets."""
-    def attempt(done, times):
-        return F.when(done.isNotNull(), done).otherwise(_let(
-            width(F.greatest(F.size(mine), F.size(theirs))) * times,
-            lambda w: _let(peeled(difference(sketch(mine, w), sketch(theirs, w)), w),
-                           lambda p: F.when(F.size(p["left"]) == 0, p["found"]))))
-
-    tried = F.aggregate(F.array(*[F.lit(t) for t in RETRIES]), F.lit(None).cast("array<struct<n:int,k:bigint>>"), attempt)
-    return F.coalesce(tried, F.concat(
-        _signed(F.array_except(mine, theirs), 1), _signed(F.array_except(theirs, mine), -1)))
-
-
-def likeness(mine: Column, theirs: Column) -> Column:
-    """Digests in both over digests in any, from the number recovered; 1 if there are none at all."""
-    both = F.size(mine) + F.size(theirs)
-    return F.when(both == 0, F.lit(1.0)).otherwise(_let(
-        F.size(recovered(mine, theirs)), lambda d: (both - d) / (both + d)))
+def _check(key: Column) -> Column:
+    return F.xxhash64(key, F.lit(CHECK))
 
 
 def fingerprint(keys: Column) -> Column:
-    """The first sketch as text: width, then cell:count:digests:checks for each cell in use."""
-    w = width(F.size(keys))
-    return F.concat(w.cast("string"), F.lit("|"), F.array_join(F.transform(sketch(keys, w), lambda c: F.concat_ws(
-        ":", c["cell"].cast("string"), c["n"].cast("string"), F.lower(F.hex(c["k"])), F.lower(F.hex(c["c"])))), ","))
+    """The sketch at the first width, as text: the width, then cell:count:digests:checks of each
+    cell in use.  Equal digest sets have equal fingerprints."""
+    def text(w):
+        # the cell and the place of the key in one long, so that a plain sort groups the cells
+        coded = F.sort_array(F.flatten(F.transform(keys, lambda k, i: F.array(*[
+            F.shiftleft(_cell(k, j, w), 32) + i for j in range(TABLES)]))))
+
+        def shown(s):
+            return F.when(s["n"] == 0, s["out"]).otherwise(F.concat(
+                s["out"], F.lit(" "), s["cell"].cast("string"), F.lit(":"), s["n"].cast("string"), F.lit(":"),
+                F.lower(F.hex(s["k"])), F.lit(":"), F.lower(F.hex(s["c"]))))
+
+        def step(s, x):
+            return _let(F.struct(F.shiftright(x, 32).alias("cell"), F.get(keys, x.bitwiseAND(F.lit((1 << 32) - 1)).cast("int")).alias("k")), lambda e: F.when(
+                e["cell"] == s["cell"], F.struct(
+                    s["cell"].alias("cell"), (s["n"] + 1).alias("n"), s["k"].bitwiseXOR(e["k"]).alias("k"),
+                    s["c"].bitwiseXOR(_check(e["k"])).alias("c"), s["out"].alias("out"))
+            ).otherwise(F.struct(
+                e["cell"].alias("cell"), F.lit(1).alias("n"), e["k"].alias("k"), _check(e["k"]).alias("c"), shown(s).alias("out"))))
+
+        start = F.struct(F.lit(-1).cast("long").alias("cell"), F.lit(0).alias("n"), F.lit(0).cast("long").alias("k"),
+                         F.lit(0).cast("long").alias("c"), w.cast("string").alias("out"))
+        return F.aggregate(coded, start, step, shown)
+
+    return _let(width(F.size(keys)), text)
+
+
+def _summed(cells: DataFrame) -> DataFrame:
+    """Entries of a cell added up; cells that hold nothing are left out.  A digest that was found
+    is a row of its own (``found``, the digest in ``cell``)."""
+    return (
+        cells.groupBy("pair", "w", "found", "cell")
+        .agg(F.sum("n").alias("n"), F.bit_xor("k").alias("k"), F.bit_xor("c").alias("c"))
+        .filter("n <> 0 or k <> 0 or c <> 0")
+    )
+
+
+def _entry(found, cell, n, k, c) -> Column:
+    return F.struct(F.lit(found).alias("found"), cell.alias("cell"), n.alias("n"), k.alias("k"), c.alias("c"))
+
+
+def subtracted(pairs: DataFrame, times: int) -> DataFrame:
+    """Cells of the sketch of ``mine`` less that of ``theirs``, ``times`` the first width wide."""
+    sided = F.concat(F.transform("mine", lambda k: F.struct(F.lit(1).alias("n"), k.alias("k"))),
+                     F.transform("theirs", lambda k: F.struct(F.lit(-1).alias("n"), k.alias("k"))))
+    keys = pairs.select(
+        "pair", (width(F.greatest(F.size("mine"), F.size("theirs"))) * times).alias("w"), F.explode(sided).alias("x"))
+    n, k, w = F.col("x.n"), F.col("x.k"), F.col("w")
+    return _summed(keys.select("pair", "w", F.explode(F.array(*[
+        _entry(False, _cell(k, j, w), n, k, _check(k)) for j in range(TABLES)])).alias("e")).select("pair", "w", "e.*"))
+
+
+def peeled(cells: DataFrame) -> DataFrame:
+    """The cells after ``ROUNDS`` rounds.  A round takes up the pure cells of one table, where a
+    digest has one cell only, so none is taken twice."""
+    cell, n, k, c, w = (F.col(x) for x in ("cell", "n", "k", "c", "w"))
+    for r in range(ROUNDS):
+        table = r % TABLES
+        pure = ~F.col("found") & (F.abs(n) == 1) & (F.floor(cell / w) == table) & (c == _check(k))
+        taken = [_entry(False, _cell(k, j, w), -n, k, c) for j in range(TABLES) if j != table]
+        cells = _summed(cells.select("pair", "w", F.explode(
+            F.when(pure, F.array(*taken, _entry(True, k, n, k, c))).otherwise(
+                F.array(_entry_of_row()))).alias("e")).select("pair", "w", "e.*"))
+    return cells
+
+
+def _entry_of_row() -> Column:
+    return F.struct("found", "cell", "n", "k", "c")
+
+
+def differences(pairs: DataFrame) -> DataFrame:
+    """``pair, only_mine, only_theirs`` for rows ``pair, mine, theirs`` (digest arrays; the pair
+    numbers differ): how many digests only one side holds, recovered from the sketches.
+
+    Pairs that leave cells are tried again twice as wide; what the widest leaves, which no input
+    is expected to, is counted from the arrays.
+    """
+    spark, done, times = pairs.sparkSession, None, 1
+    for _ in range(RETRIES):
+        dealt = pairs.repartition(partitions(spark), "pair")
+        cells = peeled(subtracted(dealt, times))
+        judged = written(cells.groupBy("pair").agg(
+            F.count(F.when(~F.col("found"), 1)).alias("left"),
+            F.count(F.when(F.col("found") & (F.col("n") > 0), 1)).alias("only_mine"),
+            F.count(F.when(F.col("found") & (F.col("n") < 0), 1)).alias("only_theirs")))
+        good = judged.filter("left = 0").drop("left")
+        done = good if done is None else done.union(good)
+        failed = judged.filter("left > 0").select("pair")
+        if failed.isEmpty():
+            return done
+        pairs, times = written(pairs.join(failed, "pair", "left_semi")), 2 * times
+    return done.union(pairs.select(
+        "pair", F.size(F.array_except("mine", "theirs")).cast("long"), F.size(F.array_except("theirs", "mine")).cast("long")))
 
 
 def with_next(docs: DataFrame, columns: list[str], key: str) -> DataFrame:
@@ -153,13 +172,15 @@ def with_next(docs: DataFrame, columns: list[str], key: str) -> DataFrame:
 
 
 def edited_versions(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text") -> DataFrame:
-    """``doc_id, n_chars, edited_sha256, fingerprint, edited_fingerprint, near_edited, near_next,
-    n_recovered`` for every row.
+    """``doc_id, n_chars, edited_sha256, fingerprint, edited_fingerprint, near_edited, near_next``
+    for every row.
 
     The edited text has the last third of the code points replaced by as many first ones of the
-    next text in descending id order (after the last: the first).  A null text counts as empty,
-    a null id comes last, rows of one id are ordered by a hash of the text, repeated rows give
-    repeated results, and an empty table gives no rows.  Other columns are not read.
+    next text in descending id order (after the last: the first).  Likeness is the share of
+    digests in both among those in any, from the number of recovered digests; two texts without
+    paragraphs are alike.  A null text counts as empty, a null id comes last, rows of one id are
+    ordered by a hash of the text, repeated rows give repeated results, and an empty table gives
+    no rows.  Other columns are not read.
     """
     rows = docs.select(F.col(id_col).alias("doc_id"), F.coalesce(text_col, F.lit("")).alias("text"))
     rows = rows.withColumn("digests", digests(F.col("text")))
@@ -169,10 +190,22 @@ def edited_versions(docs: DataFrame, id_col: str = "doc_id", text_col: str = "te
     edited = pairs.select(
         "row.doc_id", n.cast("long").alias("n_chars"), F.col("row.digests").alias("own"), F.col("next.digests").alias("next"),
         F.concat(F.substring("row.text", 1, n - third), F.substring("next.text", 1, third)).alias("edited"))
-    compared = edited.select(
-        "doc_id", "n_chars", F.sha2("edited", 256).alias("edited_sha256"), "own", "next", digests(F.col("edited")).alias("new"))
-    return compared.select(
+    versions = written(edited.select(
+        F.monotonically_increasing_id().alias("row"), "doc_id", "n_chars", F.sha2("edited", 256).alias("edited_sha256"),
+        "own", "next", digests(F.col("edited")).alias("new")))
+    found = differences(versions.select("row", F.explode(F.array(
+        F.struct((F.col("row") * 2).alias("pair"), F.col("own").alias("mine"), F.col("new").alias("theirs")),
+        F.struct((F.col("row") * 2 + 1).alias("pair"), F.col("own").alias("mine"), F.col("next").alias("theirs")),
+    )).alias("p")).select("p.*"))
+    differ = F.col("only_mine") + F.col("only_theirs")
+    by_row = found.groupBy(F.shiftright("pair", 1).alias("row")).agg(
+        F.sum(F.when(F.col("pair") % 2 == 0, differ)).alias("edited"), F.sum(F.when(F.col("pair") % 2 == 1, differ)).alias("next_"))
+
+    def likeness(other, d):
+        both, d = F.size("own") + F.size(other), F.coalesce(d, F.lit(0))  # without cells nothing differs
+        return F.when(both == 0, F.lit(1.0)).otherwise((both - d) / (both + d))
+
+    return versions.join(by_row, "row", "left").select(
         "doc_id", "n_chars", "edited_sha256", fingerprint(F.col("own")).alias("fingerprint"),
         fingerprint(F.col("new")).alias("edited_fingerprint"),
-        likeness(F.col("own"), F.col("new")).alias("near_edited"),
-        likeness(F.col("own"), F.col("next")).alias("near_next"))
+        likeness("new", F.col("edited")).alias("near_edited"), likeness("next", F.col("next_")).alias("near_next"))

@@ -26,6 +26,7 @@ ROWS = 1 << ROW_BITS
 WIDTH = 4
 SLICE = 1 << 19
 SNIPPETS = 4
+BALANCE = 1.0
 BLANK = 32
 LETTERS = bytes(c if c >= 128 or chr(c).isalnum() else BLANK for c in range(256))
 
@@ -118,6 +119,8 @@ def train(labelled: Iterable[tuple[str, int]], sample: TrainingSample = Training
     if not bags:
         return Model(vectors, weights, bias)
     rng.shuffle(bags)
+    toxic = sum(b[2] for b in bags)
+    weight = np.array([1.0, min(50.0, max(1.0, (len(bags) - toxic) / max(toxic, 1)) ** BALANCE)], np.float32)
     batches = []
     for at in range(0, len(bags), batch):
         part = bags[at:at + batch]
@@ -149,7 +152,7 @@ def train(labelled: Iterable[tuple[str, int]], sample: TrainingSample = Training
             p = np.exp(logits - logits.max(1, keepdims=True))
             p /= p.sum(1, keepdims=True)
             p[np.arange(n), y] -= 1
-            p /= n
+            p *= (weight[y] / n)[:, None]
             if len(order):
                 back = (p @ weights.T)[doc] * share[:, None]
                 step(vectors, sums[0], rows, np.add.reduceat(back[order], starts, axis=0), size)
@@ -216,12 +219,9 @@ def fit(docs: DataFrame, labels: DataFrame, usable: Column, sample: TrainingSamp
         model = train(((t, y) for _, t, y in rows), sample)
         yield pa.RecordBatch.from_pydict({k: [getattr(model, k).astype(np.float32).tobytes()] for k in ("vectors", "weights", "bias")})
 
-    freq = dict(own.groupBy("label").count().collect())
     got = chosen.coalesce(1).mapInArrow(run, "vectors binary, weights binary, bias binary").first()
     raw = [np.frombuffer(x, np.float32) for x in got]
-    # the sample has other shares of the classes than the labels have
-    share = [(freq.get(v, 0) + 1) / (min(freq.get(v, 0), sample.per_class) + 1) for v in (0, 1)]
-    return Model(raw[0].reshape(ROWS, WIDTH), raw[1].reshape(WIDTH, 2), (raw[2] + np.log(share)).astype(np.float32))
+    return Model(raw[0].reshape(ROWS, WIDTH), raw[1].reshape(WIDTH, 2), raw[2])
 
 
 def score_column(text: Column, model: Model, spark: SparkSession) -> Column:
