@@ -10,6 +10,7 @@ from . import (
     extraction,
     fingerprints,
     packing,
+    repeats,
     secrets,
     sharding,
     simhash,
@@ -38,6 +39,10 @@ def op2_site_style_tree(spark: SparkSession, sf_dir: str) -> DataFrame:
     return extraction.extract(_table(spark, sf_dir, "pages"))
 
 
+def op3_suffix_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return repeats.without_repeats(_table(spark, sf_dir, "documents"), length=50).drop("kept")
+
+
 def op4_histogram_shards(spark: SparkSession, sf_dir: str) -> DataFrame:
     docs = _table(spark, sf_dir, "documents").select("doc_id", "text")
     return sharding.histogram_shards(docs, shards=8).select(
@@ -97,6 +102,6 @@ def op10_packing(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 
 QUERIES = {f.__name__: f for f in (
-    op1_fingerprints, op2_site_style_tree, op4_histogram_shards, op5_simhash, op6_toxicity, op7_secrets,
+    op1_fingerprints, op2_site_style_tree, op3_suffix_dedup, op4_histogram_shards, op5_simhash, op6_toxicity, op7_secrets,
     op8_token_counts, op9_decontamination, op10_packing)}
 SQL: dict[str, str] = {}

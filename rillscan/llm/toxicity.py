@@ -25,8 +25,10 @@ ROW_BITS = 18
 ROWS = 1 << ROW_BITS
 WIDTH = 4
 SLICE = 1 << 19
-SNIPPETS = 4
+SNIPPETS = 6
+"""Short parts of each clean text that are examples of their own."""
 BALANCE = 1.0
+"""Power of the classes' ratio by which the rarer one weighs more."""
 BLANK = 32
 LETTERS = bytes(c if c >= 128 or chr(c).isalnum() else BLANK for c in range(256))
 
