@@ -35,7 +35,7 @@ def _let(value: Column, body: Callable[[Column], Column]) -> Column:
 def digests(text: Column) -> Column:
     """The digests of the paragraphs that are not blank; the n-th copy of one has its own digest."""
     parts = F.regexp_extract_all(text, F.lit(rf"[^\n]{{1,{FOLD}}}(?=[ \n]|\z)|[^\n]{{{FOLD}}}|[^\n]+"), F.lit(0))
-    hashed = F.sort_array(F.transform(F.filter(F.transform(parts, F.trim), lambda p: p != ""), lambda p: F.xxhash64(p)))
+    hashed = F.sort_array(F.transform(F.filter(F.transform(parts, lambda p: F.trim(p)), lambda p: p != ""), lambda p: F.xxhash64(p)))
     return _let(hashed, lambda all_: F.transform(
         all_, lambda d, i: F.xxhash64(d, i.cast("long") + 1 - F.array_position(all_, d))))
 

@@ -124,7 +124,7 @@ def _packed(bucket, targets: np.ndarray, **columns: np.ndarray) -> pa.Table:
     """One row a target: the rows of the arrays that go there, in their order."""
     order = np.argsort(targets, kind="stable")
     cuts = np.flatnonzero(np.diff(targets[order], prepend=-1))
-    ends = np.append(cuts[1:], len(order))
+    ends = np.append(cuts[1:], len(order))[:len(cuts)]
     out = {"bucket": pa.array([bucket] * len(cuts), pa.int32()), "target": pa.array(targets[order][cuts].astype(np.int32), pa.int32())}
     for name, values in columns.items():
         moved = values[order]
