@@ -485,6 +485,20 @@ _RANK = ("CASE severity WHEN 'CRITICAL' THEN 0 WHEN 'HIGH' THEN 1 WHEN 'MEDIUM'
          "WHEN 'LOW' THEN 3 WHEN 'INFO' THEN 4 ELSE 9 END")
 
 
+def _documents(page_rows: int) -> str:
+    place = f"row_number() OVER (PARTITION BY repo, run_id ORDER BY {_RANK}, file, line, rule_id, event_id) - 1"
+    return _with(HISTORY) + f"""
+        , placed AS (SELECT *, {place} AS place FROM log),
+        body AS (SELECT repo, run_id, place // {page_rows} AS page, count(*) AS listed,
+                   string_agg(event_id, ',' ORDER BY place) AS listed_events, arg_min(severity, place) AS worst
+                 FROM placed GROUP BY ALL),
+        head AS (SELECT repo, run_id, count(event_id) AS total, count(*) FILTER (severity = 'CRITICAL') AS critical
+                 FROM runs LEFT JOIN log USING (repo, run_id) GROUP BY ALL)
+        SELECT repo, run_id, coalesce(page, 0)::INT AS page, 'static' AS engine, total, coalesce(listed, 0) AS listed,
+               critical, coalesce(listed_events, '') AS listed_events, worst
+        FROM head LEFT JOIN body USING (repo, run_id)"""
+
+
 def sql() -> dict[str, str]:
     skip = " ".join(
         f"WHEN {_text(r)} THEN " + " OR ".join(f"starts_with(s, {_text(p)})" for p in prefixes)
@@ -535,9 +549,23 @@ def sql() -> dict[str, str]:
                      'src/f' || doc_id || list_extract({_list(EXTENSIONS)}, (doc_id % 8 + 1)::INT) AS path
               FROM documents) WHERE lang <> 'en')""",
         "diff_changed_lines": _with(CHANGED) + "SELECT repo, push_id, path, line FROM changed",
-        "changed_scope_semi": _with(*_SCAN, _findings("java", "sql"), CHANGED) + f"""
+        "changed_scope_semi": _with(*_SCAN, _findings(), CHANGED) + f"""
             SELECT {_SHOWN} FROM found f WHERE EXISTS (SELECT 1 FROM changed c
               WHERE c.repo = f.repo AND c.path = f.path AND c.line = f.line)""",
+        "changed_review_commits": _with(*_SCAN, _findings(), CHANGED) + f"""
+            SELECT commit_sha, {_SHOWN} FROM found JOIN (
+              SELECT DISTINCT repo, 'c' || (push_id % 2) AS commit_sha, path, line FROM changed) c
+            USING (repo, path, line)""",
+        "review_gate": _with(*_SCAN, _findings(), CHANGED) + """
+            , touched AS (SELECT DISTINCT repo, 'c' || (push_id % 2) AS commit_sha, path, line FROM changed),
+            kept AS (SELECT f.repo, commit_sha, CASE WHEN f.line % 3 = 1 THEN 'CRITICAL' ELSE severity END AS sev
+                     FROM found f JOIN touched USING (repo, path, line)
+                     WHERE rule_id <> 'sql.select_star' AND f.line % 3 <> 0)
+            SELECT r.repo, r.commit_sha, count(sev) AS total, count(*) FILTER (sev = 'CRITICAL') AS critical,
+                   count(*) FILTER (sev = 'HIGH') AS high, count(*) FILTER (sev = 'MEDIUM') AS medium,
+                   count(*) FILTER (sev = 'LOW') AS low, count(*) FILTER (sev = 'INFO') AS info,
+                   coalesce(bool_or(sev IN ('CRITICAL', 'HIGH')), false) AS failed
+            FROM (SELECT DISTINCT repo, commit_sha FROM touched) r LEFT JOIN kept USING (repo, commit_sha) GROUP BY ALL""",
         "policy_filters": _with(CHANGED) + """
             SELECT repo, path, count(*) AS n FROM changed
             WHERE NOT path LIKE '%.txt' AND NOT contains(path, 'f1/') AND NOT contains(path, 'f2')
@@ -563,7 +591,7 @@ def sql() -> dict[str, str]:
             SELECT repo, "distinct", "open", resolved, round(resolved / "distinct", 6) AS fix_rate, runs,
                    round_even(resolved / "distinct" * 100, 0)::INT AS percent FROM sums""",
         "gate_verdict": _with(HISTORY) + """
-            SELECT r.repo, r.run_id, coalesce(bool_or(l.severity = 'HIGH'), false) AS failed
+            SELECT r.repo, r.run_id, coalesce(bool_or(l.severity IN ('HIGH', 'CRITICAL')), false) AS failed
             FROM runs r LEFT JOIN log l USING (repo, run_id) GROUP BY ALL""",
         "latest_runs_topn": _with(HISTORY, _SHOWN_RUNS) + "SELECT repo, run_id, age FROM recent",
         "ticket_queue": queue + f"""
@@ -604,8 +632,9 @@ def sql() -> dict[str, str]:
             , base AS (
               SELECT topic, 'note' AS id FROM (VALUES {_BUILT_IN}) AS v(i, topic, text)
               UNION ALL
-              SELECT 'reference', CASE WHEN pos > 0 THEN id ELSE 'pdf' END FROM chunks WHERE pos <> 2)
-            SELECT topic, count(*) AS n, count(*) FILTER (id = 'pdf') AS unnamed FROM base GROUP BY topic""",
+              SELECT 'reference', CASE WHEN pos > 0 THEN id ELSE 'pdf' END FROM chunks)
+            SELECT topic, count(*) AS n, count(*) FILTER (id = 'pdf') AS unnamed, count(*) AS keys
+            FROM base GROUP BY topic""",
         "greedy_chunks": "WITH RECURSIVE" + CHUNKS + "SELECT * FROM chunks",
         "verdict_parse": _with(VERDICTS) + f"SELECT {verdict_cols} FROM parsed",
         "verdict_merge": _with(HISTORY, VERDICTS) + """
@@ -617,37 +646,36 @@ def sql() -> dict[str, str]:
             WHERE confirmed IS DISTINCT FROM false""",
         "review_cap": _with(*_SCAN, _findings(), _CAPPED) + """
             SELECT repo, rule_id, reviewed, count(*) AS n FROM capped GROUP BY ALL""",
-        "context_windows": _with(*_SCAN, _findings(), _CAPPED) + """
+        "context_windows": _with(*_SCAN, _findings()) + """
             SELECT f.repo, f.path, f.line, string_agg(
               CASE WHEN l.line = f.line THEN '>>' ELSE '  ' END || ' ' || l.line || ': ' || l.raw,
               chr(10) ORDER BY l.line) AS snippet
-            FROM (SELECT DISTINCT repo, path, line FROM capped WHERE reviewed) f
+            FROM (SELECT DISTINCT repo, path, line FROM found) f
             JOIN cl l ON l.path = f.path AND l.line BETWEEN f.line - 6 AND f.line + 6 GROUP BY ALL""",
-        "prompt_rows": _with(*_SCAN, _findings(), _CAPPED, _RULE_WORDS, *_retrieval(
+        "prompt_rows": _with(*_SCAN, _findings(), _RULE_WORDS, *_retrieval(
             _BUILT_IN_NOTES, 2, queries="rule_words", key="rule_key", body=_QUERY)) + """
             , refs AS (
               SELECT rule_key, string_agg(topic, '|' ORDER BY rank) AS kb_refs,
                      string_agg('- ' || topic || ': ' || text, chr(10) ORDER BY rank) AS notes_text
-              FROM best JOIN notes USING (note_ord) GROUP BY rule_key)
+              FROM best JOIN notes USING (note_ord) GROUP BY rule_key),
+            win AS (
+              SELECT f.path, f.line, string_agg(
+                CASE WHEN l.line = f.line THEN '>>' ELSE '  ' END || ' ' || l.line || ': ' || l.raw,
+                chr(10) ORDER BY l.line) AS snippet
+              FROM (SELECT DISTINCT path, line FROM found) f
+              JOIN cl l ON l.path = f.path AND l.line BETWEEN f.line - 6 AND f.line + 6 GROUP BY ALL)
             SELECT f.repo, f.path, f.line, f.rule_id, f.severity, kb_refs,
                    'Notes:' || chr(10) || coalesce(notes_text, '') || chr(10) || chr(10) || 'Rule: '
                    || f.rule_id || ' - ' || title || chr(10) || 'File: ' || f.path
                    || ' (the line in question is marked >>)' || chr(10) || '```' || chr(10)
-                   || (SELECT string_agg(CASE WHEN l.line = f.line THEN '>>' ELSE '  ' END || ' '
-                         || l.line || ': ' || l.raw, chr(10) ORDER BY l.line) FROM cl l
-                       WHERE l.path = f.path AND l.line BETWEEN f.line - 6 AND f.line + 6)
+                   || snippet
                    || chr(10) || '```' || chr(10) || chr(10)
                    || 'Is this a real performance risk? Answer with a JSON object: confirmed, '
                    || 'severity, explanation, fix.' AS prompt
-            FROM capped f JOIN rule_words w ON w.rule_id = f.rule_id AND w.severity = f.severity
-            LEFT JOIN refs USING (rule_key) WHERE reviewed""",
-        "report_document": _with(HISTORY) + f"""
-            SELECT repo, run_id, 0 AS page, 'static' AS engine, count(*) AS total, count(*) AS listed,
-                   count(*) FILTER (severity = 'CRITICAL') AS critical,
-                   string_agg(event_id, ',' ORDER BY {_RANK}, file, line, rule_id, event_id)
-                     AS listed_events,
-                   arg_min(severity, {_RANK} * 1000000 + event_id) AS worst
-            FROM log GROUP BY repo, run_id""",
+            FROM found f JOIN rule_words w ON w.rule_id = f.rule_id AND w.severity = f.severity
+            LEFT JOIN refs USING (rule_key) JOIN win ON win.path = f.path AND win.line = f.line""",
+        "report_document": _documents(10_000),
+        "report_pages": _documents(7),
         "report_rows": _with(HISTORY) + f"""
             SELECT event_id, {_RANK} AS rank, file, line, rule_id,
                    left(severity, 1) || lower(severity[2:]) AS severity_title,

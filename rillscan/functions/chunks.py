@@ -7,9 +7,11 @@ from .. import fixed
 from . import text
 
 LIST_CHUNKS = 1024
+BLANK_LINE = rf"{text.UNICODE}\n[\s\x1c-\x1f]*\n"
+"""Between paragraphs: a line that holds blanks of any kind, or nothing."""
 
 
-def pack(body: Column, separator: str = r"\n\s*\n") -> Column:
+def pack(body: Column, separator: str = BLANK_LINE) -> Column:
     """Array of chunks.  Paragraphs are joined until the next one would pass the limit.
 
     The joint counts as a character, also before the first paragraph of the first chunk.

@@ -153,3 +153,14 @@ def gate(runs: DataFrame, log: DataFrame, fail_on: str = "HIGH") -> DataFrame:
         F.min(severity.rank(F.col("severity"), fixed.UNKNOWN_RANK_GATE)).alias("worst"))
     return runs.join(worst, [*RUN], "left").withColumn(
         "failed", F.coalesce(F.col("worst") <= bar, F.lit(False))).drop("worst")
+
+
+def gate_by_counts(counted: DataFrame, fail_on: str = "HIGH") -> DataFrame:
+    """:func:`gate` from the rows of :func:`run_summaries`, without the log."""
+    if fail_on.strip().upper() == "NONE":
+        return counted.withColumn("failed", F.lit(False))
+    bar = severity.threshold(fail_on, fixed.GATE_DEFAULT_THRESHOLD)
+    below = sum((F.col(c) for c in COUNTS[bar + 1:]), F.lit(0))
+    known = sum((F.col(c) for c in COUNTS), F.lit(0))
+    unknown = F.col("total") - known if bar < fixed.UNKNOWN_RANK_GATE else F.lit(0)
+    return counted.withColumn("failed", F.col("total") - below - unknown > 0)

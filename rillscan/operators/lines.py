@@ -1,8 +1,8 @@
 """Files to rulesets and to numbered lines.
 
 ``sources`` has one row per file: ``repo, path, content`` and, when several commits are read at
-once, ``commit_sha``; all but the content are its key.  A file is one row, so the lines of a file never exceed what one Spark row can hold (2 GiB): that
-bounds every per-file window below, however large the corpus or a repository is.
+once, ``commit_sha``; all but the content are its key.  A file is one row, so the lines of a
+file never exceed what one Spark row can hold (2 GiB): that bounds every per-file window below, however large the corpus or a repository is.
 """
 
 from pyspark.sql import Column, DataFrame
@@ -15,7 +15,10 @@ _KEY = ("repo", "commit_sha", "path")
 
 
 def file_key(*frames: DataFrame) -> list[str]:
-    """Columns that tell files apart, as far as all of the frames have them."""
+    """Columns that tell files apart.  If one of the frames knows the commit, all must: lines of
+    one commit say nothing about another."""
+    if len({"commit_sha" in df.columns for df in frames}) > 1:
+        raise ValueError("commit_sha must be given on all sides or on none")
     return [c for c in _KEY if all(c in df.columns for df in frames)]
 
 
@@ -46,7 +49,9 @@ def explode_lines(sources: DataFrame) -> DataFrame:
     ).select(*key, (F.col("pos") + 1).alias("line"), "raw")
 
 
-def skip_lines(lines: DataFrame, ruleset: str) -> DataFrame:
-    """Drop blank lines and the comment lines of a ruleset."""
-    s = text.strip(F.col("raw"))
-    return lines.where((s != "") & ~text.starts(s, *fixed.SKIP_PREFIXES[ruleset]))
+def skipped(s: Column, ruleset: Column) -> Column:
+    """True for a trimmed line that is blank or a comment of the ruleset."""
+    out = s == ""
+    for name, prefixes in fixed.SKIP_PREFIXES.items():
+        out = out | ((ruleset == name) & text.starts(s, *prefixes))
+    return out

@@ -1,11 +1,10 @@
 """Rows behind the reports.  Drawing them is left to others."""
 
-from pyspark.sql import Column, DataFrame
+from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
 from .. import fixed
 from ..functions import severity
-from .joins import lookup
 
 PAGE_ROWS = 10_000
 
@@ -41,28 +40,42 @@ def severity_badges(counts: DataFrame, *key: str) -> DataFrame:
 
 
 def report_documents(findings: DataFrame, run: list[str], reviewed: Column,
-                     page_rows: int = PAGE_ROWS) -> DataFrame:
-    """One nested document per run: engine, total, counts by severity, findings in order.
-
-    A run with more than ``page_rows`` findings is written as several documents of about that
-    size, told apart by ``page``; together they hold all findings.  No task gathers a run.
+                     page_rows: int = PAGE_ROWS, runs: DataFrame | None = None) -> DataFrame:
+    """Nested documents per run: engine, total, counts by severity, findings in report order.
+
+    A document holds ``page_rows`` findings and the last of a run the rest; ``page`` counts them in
+    report order, whatever the size of the run.  With ``runs``, a run without findings has one
+    empty document.  A finding's place is the number of findings of its run in earlier
+    (severity, file) groups, from their counts, and its number within its group: no task
+    gathers a run.
     """
     by_severity = findings.groupBy(*run, "severity").agg(F.count("*").alias("n"))
     head = by_severity.groupBy(*run).agg(
         F.sum("n").alias("total"),
         F.map_from_entries(F.sort_array(F.collect_list(F.struct("severity", "n"))))
-        .alias("by_severity"),
-    ).withColumn("pages", F.ceil(F.col("total") / page_rows).cast("int"))
-    columns = [c for c in findings.columns if c not in run]
+        .alias("by_severity"))
+    if runs is not None:
+        head = runs.select(*run).distinct().join(head, run, "left").withColumns({
+            "total": F.coalesce("total", F.lit(0).cast("long")),
+            "by_severity": F.coalesce("by_severity", F.create_map().cast("map<string,bigint>"))})
+    head = head.withColumn("pages", F.greatest(F.ceil(F.col("total") / page_rows), F.lit(1)).cast("int"))
     pages = head.withColumn("page", F.explode(F.sequence(F.lit(0), F.col("pages") - 1)))
-    rows = lookup(findings, head.select(*run, "pages"), run, columns, "inner")
-    rows = rows.withColumn(
-        "page", F.pmod(F.xxhash64(*columns), F.col("pages").cast("long")).cast("int"))
-    item = F.struct(F.struct(*report_order()).alias("place"), F.struct(*columns).alias("finding"))
-    bodies = rows.groupBy(*run, "page").agg(F.sort_array(F.collect_list(item)).alias("items"))
-    return pages.join(bodies, [*run, "page"]).select(
+
+    columns = [c for c in findings.columns if c not in run]
+    group = [*run, "sev_rank", "file"]
+    ranked = findings.withColumn("sev_rank", severity.rank(F.col("severity")))
+    sizes = ranked.groupBy(*group).agg(F.count("*").alias("n"))
+    earlier = Window.partitionBy(*run).orderBy("sev_rank", "file").rowsBetween(Window.unboundedPreceding, -1)
+    offsets = sizes.select(*group, F.coalesce(F.sum("n").over(earlier), F.lit(0)).alias("before"))
+    within = Window.partitionBy(*group).orderBy("line", "rule_id", *[c for c in columns if c not in ("line", "rule_id", "file")])
+    placed = ranked.withColumn("nth", F.row_number().over(within)).join(offsets, group)
+    place = F.col("before") + F.col("nth") - 1
+    item = F.struct(place.alias("place"), F.struct(*columns).alias("finding"))
+    bodies = placed.withColumn("page", F.floor(place / page_rows).cast("int")).groupBy(*run, "page").agg(
+        F.sort_array(F.collect_list(item)).alias("items"))
+    return pages.join(bodies, [*run, "page"], "left").select(
         *run, "page", "pages", engine_label(reviewed).alias("engine"), "total", "by_severity",
-        F.transform("items", lambda i: i["finding"]).alias("findings"))
+        F.coalesce(F.transform("items", lambda i: i["finding"]), F.array()).alias("findings"))
 
 
 def json_rows(findings: DataFrame) -> DataFrame:

@@ -1,24 +1,16 @@
 """TF-IDF retrieval: for each query text the best notes by cosine.
 
-Queries may be many and long; notes are a rulebook.  Query texts are exchanged once, by
-query; terms, norms, scores and ranks are computed behind that exchange.  Notes come to the
-queries by broadcast, in shards whose size is checked: a larger knowledge base means more
-shards, never a larger broadcast, and the results are the same.
+Texts become term counts on the map side, and only those are exchanged.  There is one plan for
+every size: plain equi joins on the term, which Spark broadcasts or splits by what it measures.
 """
 
-from functools import reduce
-
 from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
 from .. import fixed
 from ..functions import text
-from ..sources.staging import staged
 from .joins import lookup
 
-SHARD_POSTINGS = 500_000
-_NORM = -1  # stands where a note would, to sum the query norm along with the scores
-
 
 def terms(docs: DataFrame, key: str, body: str = "text") -> DataFrame:
     """``key, term, n``: how often each term occurs in each text."""
@@ -44,68 +36,44 @@ def document_frequency(counted: DataFrame) -> DataFrame:
     return counted.groupBy("term").agg(F.count("*").alias("df"))
 
 
-def idf(df, n: int):
-    return F.log((F.lit(n) + 1) / (F.coalesce(df, F.lit(0)) + 1)) + 1
+def idf(df, n):
+    return F.log((n + 1) / (F.coalesce(df, F.lit(0)) + 1)) + 1
 
 
-def postings(notes: DataFrame) -> tuple[DataFrame, int, int]:
-    """``term, note_ord, w, idf`` with unit note vectors; number of rows; number of notes.
-
-    A note is found by its text and its topic.
-    """
-    n = notes.count()
+def postings(notes: DataFrame) -> DataFrame:
+    """``term, note_ord, w, idf`` with unit note vectors.  A note is found by its text and topic."""
+    n = notes.agg(F.count(F.lit(1))).scalar()
     body = F.concat_ws(" ", "text", "topic")
     counted = terms(notes.select("note_ord", body.alias("text")), "note_ord")
     df = document_frequency(counted)
-    weighed = lookup(counted, df, ["term"], ["note_ord"], "inner").select(
+    weighed = counted.join(df, "term").select(
         "note_ord", "term", idf(F.col("df"), n).alias("idf"),
         (F.col("n") * idf(F.col("df"), n)).alias("w"))
     norms = weighed.groupBy("note_ord").agg(F.sqrt(F.sum(F.col("w") * F.col("w"))).alias("norm"))
-    # counted here and then read by every shard: kept as a table
-    found = staged(weighed.join(norms, "note_ord").select(
-        "term", "note_ord", (F.col("w") / F.col("norm")).alias("w"), "idf"))
-    return found, found.count(), n
+    return weighed.join(norms, "note_ord").select(
+        "term", "note_ord", (F.col("w") / F.col("norm")).alias("w"), "idf")
 
 
-def best_notes(queries: DataFrame, key: str, notes: DataFrame, k: int = fixed.RETRIEVED_NOTES,
-               shard_postings: int = SHARD_POSTINGS) -> DataFrame:
+def best_notes(queries: DataFrame, key: str, notes: DataFrame,
+               k: int = fixed.RETRIEVED_NOTES) -> DataFrame:
     """``key, note_ord, score, rank`` for the ``k`` best notes with a score above 0.
 
     ``queries`` has ``key`` and ``text``; ``notes`` has ``note_ord, topic, text``.  Scores are
-    rounded before ranking, and the later note wins a tie.
+    rounded before ranking, and the later note wins a tie.  Terms and postings meet in one equi
+    join; its rows are the pairs of a query and a note that share a word, once for each word,
+    and sums combine before they are exchanged.
     """
-    found, size, n = postings(notes)
-    asked = terms(queries.select(key, "text").repartition(key), key)
-    norm_rows = found.select("term", F.lit(_NORM).cast("long").alias("note_ord"),
-                             F.col("idf").alias("w"), "idf").distinct()
-    unknown = idf(F.lit(0), n)
-
-    def weighed(side, how):
-        w = F.coalesce(F.col("w"), unknown) * F.coalesce(F.col("idf"), unknown)
-        note = F.coalesce("note_ord", F.lit(_NORM))
-        times = F.when(note == _NORM, F.col("n") * F.col("n")).otherwise(F.col("n"))
-        return asked.join(F.broadcast(side), "term", how).select(
-            key, note.alias("note_ord"), (times * w).alias("part"))
-
-    if size <= shard_postings:
-        parts = weighed(found.select("term", "note_ord", "w", "idf").unionByName(norm_rows), "left")
-    else:
-        shards = -(-size // shard_postings)
-        of = F.pmod(F.xxhash64("note_ord", "term"), F.lit(shards))
-        of_term = F.pmod(F.xxhash64("term"), F.lit(shards))
-        known = [weighed(found.where(of == i), "inner") for i in range(shards)]
-        norms = [weighed(norm_rows.where(of_term == i), "inner") for i in range(shards)]
-        # terms no note has: what the anti-join with all known terms leaves
-        rest = lookup(asked, norm_rows.select("term"), ["term"], [key], "left_anti").select(
-            key, F.lit(_NORM).cast("long").alias("note_ord"),
-            (F.col("n") * F.col("n") * unknown * unknown).alias("part"))
-        parts = reduce(DataFrame.unionByName, [*known, *norms, rest])
-
-    sums = parts.groupBy(key, "note_ord").agg(F.sum("part").alias("part"))
-    # at most one row per note and query in here
-    norm = F.max(F.when(F.col("note_ord") == _NORM, F.col("part"))).over(Window.partitionBy(key))
-    scored = sums.withColumn("score", F.round(F.col("part") / F.sqrt(norm), 9)).where(
-        (F.col("note_ord") != _NORM) & (F.col("score") > 0))
+    found = postings(notes)
+    unknown = idf(F.lit(0), notes.agg(F.count(F.lit(1))).scalar())
+    asked = terms(queries.select(key, "text"), key)
+    known = found.select("term", "idf").distinct()
+    weighed = asked.join(known, "term", "left").withColumn("wq", F.col("n") * F.coalesce("idf", unknown))
+    norms = weighed.groupBy(key).agg(F.sqrt(F.sum(F.col("wq") * F.col("wq"))).alias("norm"))
+    sums = weighed.where(F.col("idf").isNotNull()).select(key, "term", "wq").join(
+        found.select("term", "note_ord", "w"), "term").groupBy(key, "note_ord").agg(
+        F.sum(F.col("wq") * F.col("w")).alias("part"))
+    scored = sums.join(norms, key).withColumn(
+        "score", F.round(F.col("part") / F.col("norm"), 9)).where(F.col("score") > 0)
     best = Window.partitionBy(key).orderBy(F.desc("score"), F.desc("note_ord"))
     return scored.withColumn("rank", F.row_number().over(best)).where(
         F.col("rank") <= k).select(key, "note_ord", "score", "rank")

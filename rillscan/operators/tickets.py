@@ -36,18 +36,19 @@ def queue(findings: DataFrame, tickets: DataFrame | None, policy: TicketPolicy,
 
     A filed fingerprint is skipped and shows its key.  Live, only the first finding of a
     fingerprint (by ``order``, which must tell findings apart) is filed and the others are
-    skipped; a dry run files nothing, so it lists them all.
+    skipped; a dry run files nothing, so it lists them all.  Without a store of tickets
+    (``tickets`` is None) nothing is known to be filed, and every finding is.
     """
     rows = eligible(findings, policy)
+    if tickets is None:
+        return rows.withColumns({
+            "status": F.lit("created"), "issue_key": F.lit("(dry-run)" if dry_run else None).cast("string")})
     place = F.struct(*order)
     # One row per fingerprint, combined on the map side: a finding that occurs in a third of
     # all runs is a single row here.
     known = rows.groupBy("fingerprint").agg(F.min(place).alias("first"))
-    if tickets is None:
-        known = known.withColumn("issue_key", F.lit(None).cast("string"))
-    else:
-        known = known.join(tickets.select("fingerprint", "issue_key"), "fingerprint", "left")
-    rows = lookup(rows, known, ["fingerprint"], order, "inner")
+    known = known.join(tickets.select("fingerprint", "issue_key"), "fingerprint", "left")
+    rows = rows.join(known, "fingerprint")  # one row a fingerprint; a hot one is split at run time
     files = F.col("issue_key").isNull()
     if not dry_run:
         files = files & (place == F.col("first"))

@@ -129,11 +129,23 @@ def sources(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 
 def broken_sources(spark: SparkSession, sf_dir: str) -> DataFrame:
-    """The same files, those of documents not in English without their text."""
-    docs = table(spark, sf_dir, "documents")
-    return docs.select(
-        repo_of(F.col("doc_id")).alias("repo"), path_of(F.col("doc_id")).alias("path"),
-        F.when(F.col("lang") == "en", "pass").alias("content"))
+    """The same files, those of documents not in English without their content."""
+    docs = table(spark, sf_dir, "documents").select(path_of(F.col("doc_id")).alias("path"), "lang")
+    return sources(spark, sf_dir).join(docs, "path").select(
+        "repo", "path", F.when(F.col("lang") == "en", F.col("content")).alias("content"))
+
+
+HEADS = ("c0", "c1")
+
+
+def at_heads(files: DataFrame) -> DataFrame:
+    """Every file at each of the heads."""
+    return files.withColumn("commit_sha", F.explode(F.array(*map(F.lit, HEADS))))
+
+
+def heads(pushes: DataFrame, number: Column) -> DataFrame:
+    """Pushes, dealt to the heads in turn."""
+    return pushes.withColumn("commit_sha", F.concat(F.lit("c"), (number % len(HEADS)).cast("string")))
 
 
 RUN_SECONDS = 43_200

@@ -3,15 +3,13 @@
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from ..fixed import SKIP_PREFIXES
 from ..functions import text
 from ..operators import (history, lines, policy, report, retrieval, scan, scope, tickets,
                          verdicts)
 from ..rules import CATALOGUE, RuleSpec, rules_for
 from ..sources import diffs as diff_source
 from ..sources import notes as note_source
-from ..sources.staging import staged
-from . import corpus
+from . import corpus, review
 
 SHOWN = ("repo", "path", "line", "rule_id", "category", "severity", "code")
 ORDER = ["path", "ruleset_ord", "step", "line", "rule_ord"]
@@ -44,10 +42,7 @@ def code_lines_kept(spark, sf):
         "repo", "path", "rulesets", F.explode(text.split_lines(F.col("content"))).alias("raw"))
     rows = text.evaluated(rows, ["repo", "path", "rulesets"], s=text.strip(F.col("raw")))
     rows = rows.select("repo", "path", "s", F.explode("rulesets").alias("ruleset"))
-    skipped = F.lit(False)
-    for ruleset, prefixes in SKIP_PREFIXES.items():
-        skipped = skipped | ((F.col("ruleset") == ruleset) & text.starts(F.col("s"), *prefixes))
-    return rows.where((F.col("s") != "") & ~skipped).groupBy("repo", "path", "ruleset").agg(
+    return rows.where(~lines.skipped(F.col("s"), F.col("ruleset"))).groupBy("repo", "path", "ruleset").agg(
         F.count("*").alias("n"))
 
 
@@ -103,7 +98,8 @@ def user_rule(spark, sf):
 
 
 def detector_errors(spark, sf):
-    return scan.scan(corpus.broken_sources(spark, sf)).select(*SHOWN, "title")
+    found = scan.scan(corpus.broken_sources(spark, sf))
+    return found.where(F.col("rule_id").startswith("engine.")).select(*SHOWN, "title")
 
 
 # --- changes and policy -------------------------------------------------------------------
@@ -113,12 +109,30 @@ def diff_changed_lines(spark, sf):
 
 
 def changed_scope_semi(spark, sf):
-    # read twice: to choose the files and to cut their findings
-    changed = staged(diff_source.changed_lines(corpus.diffs(spark, sf)).select(
-        "repo", "path", "line").distinct())
+    """Findings of all rulesets on the lines that any push changed."""
+    changed = diff_source.changed_lines(corpus.diffs(spark, sf)).select("repo", "path", "line").distinct()
     files = policy.touched_files(corpus.sources(spark, sf), changed)
-    found = scan.scan(files, rules_for("java", "sql"))
-    return policy.on_changed_lines(found, changed).select(*SHOWN)
+    return policy.on_changed_lines(scan.scan(files), changed).select(*SHOWN)
+
+
+def changed_review_commits(spark, sf):
+    """Findings on the lines changed at each of two heads, where every file has one content a head."""
+    changed = diff_source.changed_lines(corpus.heads(corpus.diffs(spark, sf), F.col("push_id")))
+    files = corpus.at_heads(corpus.sources(spark, sf))
+    rules = review.ReviewPolicy(ignore_paths=["f1/"])
+    return review.review(files, changed, rules).select("commit_sha", *SHOWN)
+
+
+def review_gate(spark, sf):
+    """From files, pushes and answers of a model to counts and verdict of each head, in one plan."""
+    changed = diff_source.changed_lines(corpus.heads(corpus.diffs(spark, sf), F.col("push_id")))
+    at = changed.select("repo", "commit_sha", "path", "line").distinct()
+    answers = at.withColumn("raw", F.when(F.col("line") % 3 == 0, '{"confirmed": false}').when(
+        F.col("line") % 3 == 1, 'Sure: {"severity": "critical"}.').otherwise("no idea"))
+    runs = at.select("repo", "commit_sha").distinct()
+    rules = review.ReviewPolicy(fail_on="HIGH", ignore_rules=["sql.select_star"])
+    rows = review.gated(corpus.at_heads(corpus.sources(spark, sf)), changed, answers, runs, rules)
+    return rows.select("repo", "commit_sha", "total", *history.COUNTS, "failed")
 
 
 def policy_filters(spark, sf):
@@ -173,8 +187,7 @@ def fix_rate(spark, sf):
 
 def gate_verdict(spark, sf):
     runs, log = _history(spark, sf)
-    strict = log.where(F.col("severity") != "CRITICAL")
-    return history.gate(runs, strict, "HIGH").select("repo", "run_id", "failed")
+    return history.gate(runs, log, "HIGH").select("repo", "run_id", "failed")
 
 
 def latest_runs_topn(spark, sf):
@@ -250,13 +263,12 @@ def kb_references(spark, sf):
 def knowledge_base(spark, sf):
     chunked = note_source.chunk_documents(
         corpus.table(spark, sf, "documents").select("doc_id", "text"), "\n")
-    indexed = chunked.select((F.col("doc_id") * 1000 + F.col("pos")).alias("pos"),
-                             F.when(F.col("pos") > 0, F.col("id")).alias("id"),
-                             F.when(F.col("pos") > 1, F.col("topic")).alias("topic"),
-                             F.when(F.col("pos") != 2, F.col("text")).alias("text"))
+    indexed = chunked.select("doc_id", "pos", F.when(F.col("pos") > 0, F.col("id")).alias("id"),
+                             F.when(F.col("pos") > 1, F.col("topic")).alias("topic"), "text")
     base = note_source.knowledge_base(note_source.built_in(spark), indexed)
     return base.groupBy("topic").agg(
-        F.count("*").alias("n"), F.count_if(F.col("id") == "pdf").alias("unnamed"))
+        F.count("*").alias("n"), F.count_if(F.col("id") == "pdf").alias("unnamed"),
+        F.count_distinct("note_ord").alias("keys"))
 
 
 def greedy_chunks(spark, sf):
@@ -277,25 +289,22 @@ def verdict_merge(spark, sf):
         "event_id", "confirmed", "severity", "explanation", "fix")
 
 
-def _candidates(spark, sf):
-    # the cap reads the findings twice, and so do the steps after it: scan once
-    found = staged(scan.scan(corpus.sources(spark, sf)))
-    return verdicts.review_cap(found, ["repo"], ORDER)
-
-
 def review_cap(spark, sf):
-    return _candidates(spark, sf).groupBy("repo", "rule_id", "reviewed").agg(
+    found = scan.scan(corpus.sources(spark, sf)).select("repo", *ORDER, "rule_id")
+    return verdicts.review_cap(found, ["repo"], ORDER).groupBy("repo", "rule_id", "reviewed").agg(
         F.count("*").alias("n"))
 
 
 def context_windows(spark, sf):
-    focus = _candidates(spark, sf).where("reviewed")
-    return verdicts.context_windows(focus, corpus.sources(spark, sf))
+    """Around the line of every finding."""
+    files = corpus.sources(spark, sf)
+    return verdicts.context_windows(scan.scan(files), files)
 
 
 def prompt_rows(spark, sf):
-    focus = _candidates(spark, sf).where("reviewed")
-    rows = verdicts.prompts(focus, corpus.sources(spark, sf), note_source.built_in(spark))
+    """For every finding."""
+    files = corpus.sources(spark, sf)
+    rows = verdicts.prompts(scan.scan(files), files, note_source.built_in(spark))
     return rows.select("repo", "path", "line", "rule_id", "severity",
                        F.array_join("kb_refs", "|").alias("kb_refs"), "prompt")
 
@@ -316,9 +325,18 @@ def severity_badges(spark, sf):
 
 
 def report_document(spark, sf):
-    log = corpus.findings_log(spark, sf)
-    docs = report.report_documents(log, ["repo", "run_id"], F.lit(False))
-    first = F.element_at("findings", 1)
+    return _documents(spark, sf, report.PAGE_ROWS)
+
+
+def report_pages(spark, sf):
+    """The same over small pages: order and size hold over the pages of a run."""
+    return _documents(spark, sf, 7)
+
+
+def _documents(spark, sf, page_rows):
+    runs, log = _history(spark, sf)
+    docs = report.report_documents(log, ["repo", "run_id"], F.lit(False), page_rows, runs)
+    first = F.get("findings", F.lit(0))
     return docs.select(
         "repo", "run_id", "page", "engine", "total", F.size("findings").alias("listed"),
         F.coalesce(F.element_at("by_severity", "CRITICAL"), F.lit(0)).alias("critical"),
@@ -361,6 +379,8 @@ QUERIES = {
     "detector_errors": detector_errors,
     "diff_changed_lines": diff_changed_lines,
     "changed_scope_semi": changed_scope_semi,
+    "changed_review_commits": changed_review_commits,
+    "review_gate": review_gate,
     "policy_filters": policy_filters,
     "confirmed_findings": confirmed_findings,
     "fingerprints": fingerprints,
@@ -390,6 +410,7 @@ QUERIES = {
     "report_rows": report_rows,
     "severity_badges": severity_badges,
     "report_document": report_document,
+    "report_pages": report_pages,
     "findings_json": findings_json,
     "trend_series": trend_series,
 }

@@ -69,4 +69,6 @@ class RuleSpec:
         hit = self.when(line)
         if prefixes:
             hit = hit & ~text.starts(line.s, *prefixes)
+            if not self.first_only:  # a first hit may be an empty line
+                hit = hit & (line.s != "")
         return hit

@@ -2,6 +2,7 @@
 
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
+from pyspark.sql.types import StringType, StructField, StructType
 
 from ..operators import history, report, tickets
 
@@ -35,7 +36,11 @@ def _write(rows: DataFrame, root: str, name: str, batch: str) -> None:
 
 def read(spark: SparkSession, root: str, name: str, repo: str | None = None) -> DataFrame:
     """A table of the history; one repository is read from its own partition."""
-    rows = spark.read.parquet(f"{root}/{name}").drop("batch")
+    path = f"{root}/{name}"
+    found = spark.read.parquet(path).schema
+    # names of repositories are text: "007" is not 7
+    kept = StructType([StructField(f.name, StringType()) if f.name == "repo" else f for f in found])
+    rows = spark.read.schema(kept).parquet(path).drop("batch")
     return rows if repo is None else rows.where(F.col("repo") == repo)
 
 
@@ -44,7 +49,27 @@ def utc_now():
     return F.date_trunc("SECOND", F.current_timestamp())
 
 
-def save_tickets(filed: DataFrame, old: DataFrame | None, target: str) -> None:
-    """Write the ticket table with ``filed`` put in; ``target`` must not be where ``old`` lies."""
+def read_tickets(spark: SparkSession, root: str) -> tuple[DataFrame | None, int]:
+    """The newest complete version of the ticket table and its number; (None, 0) if there is none.
+
+    A version is complete when its writer has left the mark of success.
+    """
+    done = spark.sparkContext._jvm.org.apache.hadoop.fs.Path(f"{root}/version=*/_SUCCESS")
+    fs = done.getFileSystem(spark.sparkContext._jsc.hadoopConfiguration())
+    found = [s.getPath().getParent() for s in fs.globStatus(done) or []]
+    if not found:
+        return None, 0
+    newest = max(found, key=lambda p: int(p.getName().split("=")[1]))
+    return spark.read.parquet(newest.toString()), int(newest.getName().split("=")[1])
+
+
+def save_tickets(spark: SparkSession, filed: DataFrame, root: str) -> int:
+    """Put ``filed`` into the ticket table as a new version and return its number.
+
+    The version before stays as it is.  Two writers that start from one version want the same
+    folder, and the second fails instead of losing what the first has filed.
+    """
+    old, number = read_tickets(spark, root)
     table = filed.select(*tickets.TICKET) if old is None else tickets.upsert(old, filed)
-    table.write.mode("overwrite").parquet(target)
+    table.write.mode("errorifexists").parquet(f"{root}/version={number + 1}")
+    return number + 1

@@ -54,27 +54,40 @@ def built_in(spark: SparkSession) -> DataFrame:
         "note_ord long, id string, topic string, text string")
 
 
-def read_index(spark: SparkSession, path: str) -> DataFrame:
-    """Chunks of JSON index files; an index that cannot be parsed gives no rows."""
-    files = (spark.read.schema(INDEX_SCHEMA).option("multiLine", True)
+def read_index(spark: SparkSession, path: str, multi_line: bool = False) -> DataFrame:
+    """``source, pos, id, topic, text``: chunks of JSON index files with one index a line, as
+    :func:`write_index` writes them, or one a file (``multi_line``); what cannot be parsed gives
+    no rows.  A source without a name has the name of its file."""
+    files = (spark.read.schema(INDEX_SCHEMA).option("multiLine", multi_line)
              .option("ignoreMissingFiles", True).json(path))
-    return files.select(F.posexplode("chunks").alias("pos", "c")).select("pos", "c.*")
+    return files.select(
+        F.coalesce("source", F.col("_metadata.file_path")).alias("source"),
+        F.posexplode("chunks").alias("pos", "c")).select("source", "pos", "c.*")
 
 
 def knowledge_base(notes: DataFrame, indexed: DataFrame | None = None) -> DataFrame:
-    """Built-in notes, then indexed chunks that have text, with defaults filled in."""
+    """Built-in notes, then indexed chunks that have text, with defaults filled in.
+
+    ``indexed`` has ``pos, id, topic, text`` and whatever else tells chunks apart (``source``,
+    ``doc_id``).  ``note_ord`` is the key of a note: the chunks of one unnamed source follow the
+    built-in notes by position; otherwise it is hashed from source, document and position.
+    """
     if indexed is None:
         return notes
-    offset = len(BUILT_IN)
+    own = [c for c in ("source", "doc_id") if c in indexed.columns]
+    key = F.col("pos") + len(BUILT_IN)
+    if own:
+        # far above the built-in notes; 62 bits of a hash
+        key = F.shiftrightunsigned(F.xxhash64(*own, "pos"), 2) + F.lit(1 << 20)
     extra = indexed.where(F.coalesce("text", F.lit("")) != "").select(
-        (F.col("pos") + offset).cast("long").alias("note_ord"),
+        key.cast("long").alias("note_ord"),
         F.coalesce("id", F.lit("pdf")).alias("id"),
         F.coalesce("topic", F.lit("reference")).alias("topic"),
         "text")
     return notes.unionByName(extra)
 
 
-def chunk_documents(documents: DataFrame, separator: str = r"\n\s*\n") -> DataFrame:
+def chunk_documents(documents: DataFrame, separator: str = chunks.BLANK_LINE) -> DataFrame:
     """``doc_id, pos, id, topic, text`` of documents (``doc_id, text``), without a shuffle."""
     return documents.select(
         "doc_id", F.posexplode(chunks.pack(F.col("text"), separator)).alias("pos", "text")
@@ -84,5 +97,13 @@ def chunk_documents(documents: DataFrame, separator: str = r"\n\s*\n") -> DataFr
 
 
 def write_index(chunked: DataFrame, path: str) -> None:
-    """Write chunks as JSON lines, one chunk per line."""
-    chunked.write.mode("overwrite").json(path)
+    """Write the chunks of documents (``doc_id, pos, id, topic, text``) as :func:`read_index` reads
+    them: a folder of JSON files, each one document with its chunks in order.
+
+    The chunks of a document come from one row, so they fit one.
+    """
+    chunk = F.struct("pos", F.struct("id", "topic", "text").alias("c"))
+    whole = chunked.groupBy("doc_id").agg(F.sort_array(F.collect_list(chunk)).alias("all"))
+    whole.select(
+        F.col("doc_id").cast("string").alias("source"), F.transform("all", lambda x: x["c"]).alias("chunks")
+    ).write.mode("overwrite").json(path)

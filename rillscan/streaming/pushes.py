@@ -8,25 +8,28 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 from pyspark.sql.streaming import StreamingQuery
 
-from ..operators import history
 from ..plans import review
+from ..sources import history
 
 
 def review_pushes(files: DataFrame, root: str, checkpoint: str,
                   policy: review.ReviewPolicy | None = None, **trigger) -> StreamingQuery:
-    """Scan arriving files (``repo, run_id, path, content``) into ``root``/findings_log.
+    """Scan arriving files (``repo, run_id, path, content``) into the history below ``root``.
 
-    Each batch owns one folder and replaces it, so a batch that is run again after a failure
-    leaves no doubles.
+    Both tables are written as :func:`sources.history.record` writes them, so a run without
+    findings leaves its row in ``runs``.  Each batch owns one folder and replaces it: a batch that
+    is run again after a failure leaves no doubles.
     """
     policy = policy or review.ReviewPolicy()
 
     def one_batch(batch: DataFrame, number: int) -> None:
         # A batch may hold several runs of a repository: the run tells their files apart.
         keyed = batch.withColumn("commit_sha", F.col("run_id").cast("string"))
-        found = review.review(keyed, rules=policy)
-        history.log_rows(found.withColumn("run_id", F.col("commit_sha")), policy.store_code).write.mode("overwrite").parquet(
-            f"{root}/findings_log/batch={number}")
+        run_type = batch.schema["run_id"].dataType
+        found = review.review(keyed, rules=policy).withColumn("run_id", F.col("commit_sha").cast(run_type))
+        runs = batch.select("repo", "run_id").distinct().select(
+            "*", history.utc_now().alias("ts"), F.lit("").alias("commit_sha"), F.lit("").alias("branch"))
+        history.record(found, runs, root, f"stream-{number}", store_code=policy.store_code)
 
     return (files.writeStream.foreachBatch(one_batch)
             .option("checkpointLocation", checkpoint).trigger(**trigger).start())

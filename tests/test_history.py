@@ -1,4 +1,5 @@
 import datetime as dt
+import os
 import random
 
 import pytest
@@ -25,11 +26,14 @@ def _log(spark, rows):
 
 
 @pytest.fixture(scope="module")
-def two_runs(spark):
+def runs_and_log(spark):
+    """Repository a: three runs, in which p stays, q goes and comes back, s and t come late.
+    Repository clean: one run without findings."""
     log = _log(spark, [
-        ("a", 1, "r1", "a", "HIGH"), ("a", 1, "r2", "b", "LOW"), ("a", 1, "r3", "c", "ODD"),
-        ("a", 2, "r2", "b", "LOW"), ("a", 2, "r3", "c", "ODD"), ("a", 2, "r4", "d", "CRITICAL")])
-    return _runs(spark, [("a", 1), ("a", 2), ("empty", 1)]), history.with_fingerprint(log)
+        ("a", 10, "p.x", "one", "MEDIUM"), ("a", 10, "q.x", "two", "INFO"), ("a", 10, "q.x", "two ", "INFO"),
+        ("a", 20, "p.x", "one", "MEDIUM"), ("a", 20, "s.x", "five", "MAJOR"),
+        ("a", 30, "p.x", "one", "MEDIUM"), ("a", 30, "q.x", "two", "INFO"), ("a", 30, "t.x", "six", "CRITICAL")])
+    return _runs(spark, [("a", 10), ("a", 20), ("a", 30), ("clean", 10)]), history.with_fingerprint(log)
 
 
 def test_fingerprint(spark):
@@ -43,34 +47,35 @@ def test_fingerprint(spark):
     assert fps[3] == hashlib.sha1(b"r|f|").hexdigest()[:16]
 
 
-def test_fix_rate_and_deltas(two_runs):
-    runs, log = two_runs
+def test_fix_rate_and_deltas(runs_and_log):
+    runs, log = runs_and_log
     rate = {r.repo: r for r in history.fix_rate(runs, log).collect()}
-    a, empty = rate["a"], rate["empty"]
-    assert (a.distinct, a.open, a.resolved, a.fix_rate, a.runs) == (4, 3, 1, 0.25, 2)
-    assert (empty.distinct, empty.open, empty.resolved, empty.fix_rate, empty.runs) == (0, 0, 0, 0.0, 1)
+    a, clean = rate["a"], rate["clean"]
+    assert (a.distinct, a.open, a.resolved, a.fix_rate, a.runs) == (4, 3, 1, 0.25, 3)
+    assert (clean.distinct, clean.open, clean.resolved, clean.fix_rate, clean.runs) == (0, 0, 0, 0.0, 1)
     rows = {(r.repo, r.run_id): r for r in history.run_history(runs, log).collect()}
-    assert (rows["a", 1].introduced, rows["a", 1].fixed) == (3, 0)
-    assert (rows["a", 2].introduced, rows["a", 2].fixed) == (1, 1)
+    assert [(rows["a", n].introduced, rows["a", n].fixed) for n in (10, 20, 30)] == [(2, 0), (1, 1), (2, 1)]
     # an unknown severity counts in the total only
-    assert (rows["a", 1].total, rows["a", 1].high, rows["a", 1].low, rows["a", 1].info) == (3, 1, 1, 0)
+    assert (rows["a", 20].total, rows["a", 20].medium, rows["a", 20].info) == (2, 1, 0)
     # the oldest shown run has no run before it
     (last,) = [r for r in history.run_history(runs, log, 1).collect() if r.repo == "a"]
-    assert (last.run_id, last.introduced, last.fixed) == (2, 3, 0)
+    assert (last.run_id, last.introduced, last.fixed) == (30, 3, 0)
 
 
-def test_gate(two_runs):
-    runs, log = two_runs
+def test_gate(runs_and_log):
+    runs, log = runs_and_log
 
-    def failed(bar):
-        return {(r.repo, r.run_id) for r in history.gate(runs, log, bar).collect() if r.failed}
+    def failed(bar, log=log):
+        found = {(r.repo, r.run_id) for r in history.gate(runs, log, bar).collect() if r.failed}
+        counts = history.gate_by_counts(history.run_summaries(runs, log), bar)
+        assert {(r.repo, r.run_id) for r in counts.collect() if r.failed} == found
+        return found
 
-    assert failed("HIGH") == failed("bad name") == {("a", 1), ("a", 2)}
-    assert failed("critical") == {("a", 2)}
+    assert failed("HIGH") == failed("bad name") == failed("critical") == {("a", 30)}
+    assert failed("medium") == {("a", 10), ("a", 20), ("a", 30)}
     assert failed("NONE") == set()
-    odd = log.where(F.col("severity") == "ODD")
-    got = {b: sum(r.failed for r in history.gate(runs, odd, b).collect()) for b in ("LOW", "INFO")}
-    assert got == {"LOW": 0, "INFO": 2}
+    odd = log.where(F.col("severity") == "MAJOR")  # counts as INFO
+    assert failed("LOW", odd) == set() and failed("INFO", odd) == {("a", 20)}
 
 
 def test_deltas_by_brute_force_with_a_hot_repository(spark):
@@ -138,7 +143,8 @@ def test_ticket_queue(spark):
     total = tickets.summary(dry, True).first()
     assert (total.eligible, total.created, total.skipped, total.dry_run) == (3, 2, 1, True)
     unseen = tickets.queue(rows, None, policy, ["n"]).collect()
-    assert {r.n: r.status for r in unseen} == {0: "created", 2: "skipped", 3: "created"}
+    # without a store nothing is known to be filed, so each finding is
+    assert {r.n: (r.status, r.issue_key) for r in unseen} == {n: ("created", None) for n in (0, 2, 3)}
 
 
 def test_payload(spark):
@@ -160,7 +166,25 @@ def test_upsert(spark, tmp_path):
     cols = "fingerprint string, issue_key string, url string, created_ts long, severity string, title string"
     old = spark.createDataFrame([("a", "1", "u", 1, "HIGH", "t"), ("b", "2", "u", 1, "HIGH", "t")], cols)
     new = spark.createDataFrame([("b", "3", "u", 1, "LOW", "t"), ("c", "4", "u", 2, "LOW", "t")], cols)
-    target = str(tmp_path / "t1")
-    store.save_tickets(new, old, target)
-    got = {r.fingerprint: r.issue_key for r in spark.read.parquet(target).collect()}
-    assert got == {"a": "1", "b": "3", "c": "4"}
+    root = str(tmp_path / "tickets")
+    assert store.read_tickets(spark, root) == (None, 0)
+    assert store.save_tickets(spark, old, root) == 1 and store.save_tickets(spark, new, root) == 2
+    table, number = store.read_tickets(spark, root)
+    assert {r.fingerprint: r.issue_key for r in table.collect()} == {"a": "1", "b": "3", "c": "4"} and number == 2
+    os.remove(f"{root}/version=2/_SUCCESS")  # a version that was never finished
+    assert store.read_tickets(spark, root)[1] == 1
+    with pytest.raises(Exception, match="exists"):
+        store.save_tickets(spark, new, root)
+
+
+def test_names_of_repositories_stay_text(spark, tmp_path):
+    runs = _runs(spark, [("007", 1), ("7", 1), ("7", 2)])
+    store.record(_log(spark, [("007", 1, "r1", "a", "LOW")]), runs, str(tmp_path), "b1")
+    assert sorted((r.repo, r.run_id) for r in store.read(spark, str(tmp_path), "runs").collect()) == [("007", 1), ("7", 1), ("7", 2)]
+    assert store.read(spark, str(tmp_path), "runs", "007").count() == 1
+    assert [r.repo for r in store.read(spark, str(tmp_path), "findings_log").collect()] == ["007"]
+
+
+def test_the_time_of_a_run_is_whole_seconds(spark):
+    now = spark.range(1).select(store.utc_now().alias("t")).first().t
+    assert now.microsecond == 0

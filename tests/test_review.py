@@ -1,115 +1,99 @@
-import json
 import math
 import random
-import re
 
 from pyspark.sql import functions as F
 
 from rillscan.operators import policy, report, retrieval, verdicts
 from rillscan.sources import notes as note_source
 
-WORDS = ["alpha", "beta", "gamma9", "delta_x", "of", "Loop", "LOOP", "index", "9x", "été", "queue"]
+NOTES = "note_ord long, topic string, text string"
 
 
-def _docs(seed, count, low=0):
-    rng = random.Random(seed)
-    return [(i, " ".join(rng.choices(WORDS, k=rng.randint(low, 12)))) for i in range(count)]
-
-
-def _best_by_loop(queries, notes, k):
-    def words(t):
-        return [w.lower() for w in re.findall(r"[a-zA-Z][a-zA-Z0-9_]+", t) if len(w) > 2]
-
-    bags = {i: words(f"{t} {topic}") for i, topic, t in notes}
-    df = {}
-    for bag in bags.values():
-        for w in set(bag):
-            df[w] = df.get(w, 0) + 1
-
-    def vector(bag):
-        return {w: bag.count(w) / len(bag) * (math.log((len(notes) + 1) / (df.get(w, 0) + 1)) + 1)
-                for w in bag}
-
-    def length(v):
-        return math.sqrt(sum(x * x for x in v.values()))
-
-    out = {}
-    vectors = {i: vector(bag) for i, bag in bags.items()}
-    for q, text in queries:
-        v = vector(words(text))
-        scored = []
-        for i, n in vectors.items():
-            dot = sum(v[w] * n[w] for w in v if w in n)
-            if dot > 0:
-                scored.append((round(dot / length(v) / length(n), 9), i))
-        out[q] = [i for _, i in sorted(scored, reverse=True)[:k]]
+def _best(spark, queries, notes, k):
+    q = spark.createDataFrame(list(enumerate(queries)), "q long, text string")
+    rows = retrieval.best_notes(q, "q", spark.createDataFrame(notes, NOTES), k).orderBy("q", "rank").collect()
+    out = {i: [] for i in range(len(queries))}
+    for r in rows:
+        out[r.q].append((r.note_ord, round(r.score, 6)))
     return out
 
 
-def test_retrieval_in_one_shard_and_in_many(spark):
-    queries = _docs(1, 60)
-    notes = [(i, "topic %d" % (i % 3), t) for i, t in _docs(2, 25, 1)]
-    q = spark.createDataFrame(queries, "q long, text string")
-    n = spark.createDataFrame(notes, "note_ord long, topic string, text string")
-    want = _best_by_loop(queries, notes, 2)
-    for limit in (10**6, 20):
-        got = {i: [] for i, _ in queries}
-        for r in retrieval.best_notes(q, "q", n, 2, limit).orderBy("q", "rank").collect():
-            got[r.q].append(r.note_ord)
-        assert got == want, limit
+def test_scores_by_hand(spark):
+    """Two notes of which one word is shared: its weight is ln(3 / 3) + 1 = 1, that of a word of
+    one note ln(3 / 2) + 1, and that of an unknown word ln(3) + 1."""
+    one, none = math.log(1.5) + 1, math.log(3) + 1
+    notes = [(5, "loops", "nested"), (9, "loops", "index")]
+    unit = math.hypot(1, one)
+    got = _best(spark, ["loops", "Nested LOOPS", "index zebra", "zebra", "", "of an"], notes, 2)
+    assert got == {
+        0: [(9, round(1 / unit, 6)), (5, round(1 / unit, 6))],  # a tie: the later note first
+        1: [(5, 1.0), (9, round(1 / unit ** 2, 6))],
+        2: [(9, round(one / unit * one / math.hypot(one, none), 6))],
+        3: [], 4: [], 5: [],
+    }
+
+
+def test_scores_have_the_properties_of_a_cosine(spark):
+    rng = random.Random(4)
+    words = ["alpha", "beta", "gamma9", "delta_x", "of", "Loop", "index", "9x", "été", "queue"]
+    notes = [(i, f"topic {i % 3}", " ".join(rng.choices(words, k=rng.randint(1, 9)))) for i in range(25)]
+    queries = [f"{text} {topic}" for _, topic, text in notes] + [" ".join(rng.choices(words, k=6)) for _ in range(30)]
+    got = _best(spark, queries, notes, 25)
+    for i, (ord_, topic, text) in enumerate(notes):  # a note asked for by its own words scores 1
+        assert (ord_, 1.0) in got[i]
+    assert all(0 < s <= 1 for v in got.values() for _, s in v)
+    assert all([s for _, s in v] == sorted((s for _, s in v), reverse=True) for v in got.values())
+    assert {q: v[:2] for q, v in got.items()} == _best(spark, queries, notes, 2)
+    assert _best(spark, [q + " " + q for q in queries], notes, 2) == {q: v[:2] for q, v in got.items()}
 
 
 def test_many_queries_share_their_words(spark):
     """A third of all queries is one text, and all share a word."""
-    queries = [(i, "loop index" if i % 3 == 0 else f"loop word{i % 7}") for i in range(600)]
-    notes = [(0, "a", "loop loop"), (1, "b", "index of loop"), (2, "c", "nothing here")]
-    q = spark.createDataFrame(queries, "q long, text string")
-    n = spark.createDataFrame(notes, "note_ord long, topic string, text string")
-    got = {}
-    for r in retrieval.best_notes(q, "q", n, 1).collect():
-        got[r.q] = [r.note_ord]
-    assert got == {i: v for i, v in _best_by_loop(queries, notes, 1).items() if v}
-    df = {r.term: r.df for r in
-          retrieval.document_frequency(retrieval.terms(q, "q")).collect()}
+    queries = ["loop index" if i % 3 == 0 else f"loop word{i % 7}" for i in range(600)]
+    got = _best(spark, queries, [(0, "a", "loop loop"), (1, "b", "index of loop"), (2, "c", "nothing here")], 1)
+    assert all([n for n, _ in got[i]] == [1 if i % 3 == 0 else 0] for i in range(600))
+    q = spark.createDataFrame(list(enumerate(queries)), "q long, text string")
+    df = {r.term: r.df for r in retrieval.document_frequency(retrieval.terms(q, "q")).collect()}
     assert df["loop"] == 600 and df["index"] == 200
 
 
-def _verdict_by_loop(raw):
-    raw = (raw or "").strip()
-    try:
-        value = json.loads(raw)
-    except ValueError:
-        a, b = raw.find("{"), raw.rfind("}")
-        try:
-            value = json.loads(raw[a:b + 1]) if 0 <= a < b else None
-        except ValueError:
-            value = None
-    return value if isinstance(value, dict) else None
+NO = (False, None, None, None, None)
+ANSWERS = {  # is it a verdict; confirmed, explanation, severity, fix
+    '{"confirmed": false}': (True, False, "", None, None),
+    ' {"confirmed": true, "fix": " x "} ': (True, True, "", None, "x"),
+    'so {"fix": "y"} it is': (True, True, "", None, "y"),
+    "{}": (True, True, "", None, None),
+    '{"a": 1} {"b": 2}': NO,
+    '{"a": 1}] {}': NO,
+    '{"confirmed": null}': (True, False, "", None, None),
+    '{"confirmed": "false"}': (True, False, "", None, None),
+    "[1]": NO, '"{}"': NO, "12": NO, "": NO, None: NO, "{": NO, "}{": NO, "1, 2": NO,
+    '{"severity": "low"}': (True, True, "", "LOW", None),
+    '{"severity": "grave"}': (True, True, "", None, None),
+    '{"explanation": " e\\n"}': (True, True, "e", None, None),
+    'x\n{"confirmed":\nfalse}\ny': (True, False, "", None, None),
+    '{"confirmed": 0}': (True, False, "", None, None),
+    '{"fix": ""}': (True, True, "", None, None),
+    '{"confirmed": ""}': (True, False, "", None, None),
+    '{"confirmed": [1]}': (True, True, "", None, None),
+}
 
 
-RAW = ['{"confirmed": false}', ' {"confirmed": true, "fix": " x "} ', 'so {"fix": "y"} it is', "{}",
-       '{"a": 1} {"b": 2}', '{"a": 1}] {}', '{"confirmed": null}', '{"confirmed": "false"}', "[1]",
-       '"{}"', "12", "", None, "{", "}{", '{"severity": "low"}', '{"severity": "grave"}',
-       '{"explanation": " e\\n"}', 'x\n{"confirmed":\nfalse}\ny', '{"confirmed": 0}', '{"fix": ""}',
-       "1, 2", '{"confirmed": ""}', '{"confirmed": [1]}']
+def test_parse(spark):
+    rows = spark.createDataFrame(list(enumerate(ANSWERS)), "n int, raw string")
+    got = {r.raw: tuple(r[2:]) for r in verdicts.parse(rows).select(
+        "n", "raw", "is_verdict", "v_confirmed", "v_explanation", "v_severity", "v_fix").collect()}
+    for raw, want in ANSWERS.items():
+        assert got[raw] == want, raw
 
 
-def test_parse(spark):
-    rows = spark.createDataFrame(list(enumerate(RAW)), "n int, raw string")
-    got = {r.n: r for r in verdicts.parse(rows).collect()}
-    for i, raw in enumerate(RAW):
-        value = _verdict_by_loop(raw)
-        assert got[i].is_verdict == (value is not None), raw
-        if value is None:
-            assert got[i].v_confirmed is None
-            continue
-        said = value.get("confirmed", True)
-        want = said not in ("false",) and bool(said)
-        assert got[i].v_confirmed == want, raw
-        assert got[i].v_explanation == str(value.get("explanation", "")).strip()
-        sev = str(value.get("severity", "")).upper()
-        assert got[i].v_severity == (sev if sev in ("LOW", "HIGH") else None)
-        assert got[i].v_fix == (str(value.get("fix", "")).strip() or None)
+def test_of_two_answers_one_holds(spark):
+    found = _findings(spark, 2)
+    said = spark.createDataFrame(
+        [(1, '{"confirmed": false}'), (1, '{"confirmed": true, "fix": "f1"}'), (2, '{"confirmed": false}'), (2, '{"confirmed": false, "fix": "z"}')],
+        "line int, raw string")
+    rows = verdicts.merge(found, verdicts.parse(said), ["line"]).collect()
+    assert {r.line: (r.confirmed, r.fix) for r in rows} == {1: (True, "f1"), 2: (False, "z")} and len(rows) == 2
 
 
 FINDINGS = ("repo string, path string, line int, rule_id string, title string, category string, "
@@ -159,20 +143,29 @@ def test_context_and_prompt(spark):
     assert by_line[1].kb_refs[0] == "Nested loops" and len(by_line[1].kb_refs) <= 2
 
 
-def test_documents_split_a_large_run(spark, tmp_path):
-    found = _findings(spark, 95).withColumnRenamed("path", "file")
-    docs = report.report_documents(found, ["repo"], F.lit(True), page_rows=20).collect()
-    assert {d.pages for d in docs} == {5} and {d.total for d in docs} == {95}
-    assert {d.engine for d in docs} == {"static+llm"} and docs[0].by_severity == {"LOW": 95}
-    assert sorted(f.line for d in docs for f in d.findings) == list(range(1, 96))
-    for d in docs:
-        assert [(f.file, f.line) for f in d.findings] == sorted((f.file, f.line) for f in d.findings)
-        assert len(d.findings) < 95
+def test_documents_in_report_order_over_pages(spark, tmp_path):
+    found = _findings(spark, 95).withColumnRenamed("path", "file").withColumn(
+        "severity", F.when(F.col("line") % 9 == 0, "CRITICAL").otherwise("LOW"))
+    runs = spark.createDataFrame([("r",), ("clean",)], "repo string")
+    docs = report.report_documents(found, ["repo"], F.lit(True), 20, runs).orderBy("repo", "page").collect()
+    empty, pages = docs[0], docs[1:]
+    assert (empty.repo, empty.page, empty.total, empty.findings, empty.by_severity) == ("clean", 0, 0, [], {})
+    assert [len(d.findings) for d in pages] == [20, 20, 20, 20, 15] and {d.total for d in pages} == {95}
+    assert {d.pages for d in pages} == {5} and {d.engine for d in pages} == {"static+llm"}
+    shown = [(f.severity, f.file, f.line) for d in pages for f in d.findings]
+    assert shown == sorted(shown) and sum(s == "CRITICAL" for s, *_ in shown[:20]) == 10
     report.write_documents(report.report_documents(found, ["repo"], F.lit(True), 20), str(tmp_path / "d"))
     saved = spark.read.json(str(tmp_path / "d"))
     assert saved.select(F.sum(F.size("findings"))).first()[0] == 95 and saved.count() == 5
     (whole,) = report.report_documents(found, ["repo"], F.lit(False)).collect()
-    assert len(whole.findings) == 95
+    assert [(f.severity, f.file, f.line) for f in whole.findings] == shown
+
+
+def test_equal_findings_spread_over_pages(spark):
+    same = spark.range(500).select(F.lit("r").alias("repo"), F.lit("a.py").alias("file"), F.lit(1).alias("line"),
+                                   F.lit("x.y").alias("rule_id"), F.lit("LOW").alias("severity"))
+    docs = report.report_documents(same, ["repo"], F.lit(False), 10).collect()
+    assert [len(d.findings) for d in docs] == [10] * 50
 
 
 def test_report_rows_and_rates(spark):

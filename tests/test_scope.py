@@ -5,23 +5,35 @@ import random
 from rillscan.operators import lines, scope
 
 
-def braces_by_loop(text):
-    out, open_scopes, loop, sync = [], [], False, False
-    for raw in text.split("\n"):
+def braces_by_definition(text):
+    """A brace that opens is matched by the first later one that brings the height back below it.
+    It encloses the lines that start between the two, and is a loop's if a loop's head came after
+    the brace opened before it."""
+    marks, heads, locks = [], [], []  # places are (line, column), heads before the first column
+    height = 0
+    for n, raw in enumerate(text.split("\n")):
         s = raw.strip()
-        out.append((sum(a for a, _ in open_scopes), any(b for _, b in open_scopes)))
-        words = [w for w in ("foreach", "for", "while", "do") if s.startswith(w)]
-        if words and s[len(words[0]):][:1] in ("", " ", "("):
-            loop = True
-        if s.startswith("synchronized") or " synchronized (" in " " + s:
-            sync = True
-        for ch in raw:
+        word = next((w for w in ("foreach", "for", "while", "do") if s == w or s.startswith((w + " ", w + "("))), None)
+        if word:
+            heads.append((n, -1))
+        if s.startswith("synchronized") or " synchronized (" in f" {s}":
+            locks.append((n, -1))
+        for k, ch in enumerate(raw):
             if ch == "{":
-                open_scopes.append((loop, sync))
-                loop = sync = False
-            elif ch == "}" and open_scopes:
-                open_scopes.pop()
-    return out
+                height += 1
+                marks.append(((n, k), 1, height))
+            elif ch == "}" and height:
+                marks.append(((n, k), -1, height))
+                height -= 1
+    spans, before = [], (-1, -1)
+    for at, step, level in marks:
+        if step > 0:
+            end = next((to for to, d, h in marks if to > at and d < 0 and h == level), (1 << 30, 0))
+            spans.append((at, end, any(before < h < at for h in heads), any(before < h < at for h in locks)))
+            before = at
+    lines_ = range(text.count("\n") + 1)
+    inside = [[s for s in spans if s[0] < (n, -1) < s[1]] for n in lines_]
+    return [(sum(s[2] for s in own), any(s[3] for s in own)) for own in inside]
 
 
 def indents_by_loop(text):
@@ -74,7 +86,7 @@ def test_brace_scopes(spark):
     files = _files(BRACE_PIECES, 1)
     got = _annotated(spark, files, scope.BRACES, "in_sync")
     for path, body in files.items():
-        for i, want in enumerate(braces_by_loop(body), start=1):
+        for i, want in enumerate(braces_by_definition(body), start=1):
             assert got[path, i] == want, (path, i)
 
 
@@ -86,7 +98,8 @@ def test_indent_scopes(spark):
             assert got[path, i] == want, (path, i)
 
 
-def test_line_after_loop_is_outside(spark):
-    got = _annotated(
-        spark, {"a.java": "for (int i=0;i<n;i++){\n  x();\n}\ny();"}, scope.BRACES, "in_sync")
-    assert [got["a.java", i][0] for i in (1, 2, 3, 4)] == [0, 1, 1, 0]
+def test_lines_around_a_block(spark):
+    body = "go();\nwhile (more())\n{\n  take();\n  if (done) { stop(); }\n}\nrest();\nsynchronized (me) {\n  wait();\n}"
+    got = _annotated(spark, {"b.cs": body}, scope.BRACES, "in_sync")
+    assert [got["b.cs", i][0] for i in range(1, 11)] == [0, 0, 0, 1, 1, 1, 0, 0, 0, 0]
+    assert [got["b.cs", i][1] for i in range(8, 11)] == [False, True, True]
