@@ -5,6 +5,8 @@ found level by level, braces by groups between openings, changed lines from the
 diff text was made of.  Only the templates and the table of rule names are shared.
 """
 
+import re
+
 from .. import fixed
 from ..plans.corpus import EXTENSIONS, TEMPLATES
 from ..rules import CATALOGUE
@@ -156,91 +158,93 @@ _LANG = {
 _RULESET = {"java": "java", "py": "python", "sql": "sql", "cs": "csharp", "c": "c",
             "fe": "frontend", "node": "node", "next": "node", "ng": "node"}
 
-_APPEND = r"regexp_matches(s, '\b\w+\s*\+=')"
+_APPEND = r"regexp_matches(s, @P_APPEND@)"
 
 # rule -> condition on a line; "first" rules keep the first line of a file
 LINE_RULES = {
-    "java.n_plus_one": r"""dep > 0 AND (regexp_matches(s, '\b(executeQuery|executeUpdate|execute|createStatement|prepareStatement)\s*\(')
-        OR (regexp_matches(s, '\.(find|findBy|findAll|get|load|save|query|select)\w*\s*\(') AND contains(s, 'Repository')))""",
+    "java.n_plus_one": r"""dep > 0 AND (regexp_matches(s, @P_JAVA_QUERY@)
+        OR (regexp_matches(s, @P_JAVA_REPO_CALL@) AND contains(s, 'Repository')))""",
     "java.string_concat_loop": _APPEND + """ AND dep > 0 AND (contains(s, '"') OR contains(s, 'String')
         OR contains(s, 'report') OR contains(low, 'sql'))""",
-    "java.alloc_in_loop": r"""dep > 0 AND regexp_matches(s, '=\s*new\s+\w') AND NOT contains(s, 'Thread')
-        AND (regexp_matches(s, 'new\s+\w+\s*\[') OR
-             regexp_matches(s, 'new\s+(ArrayList|HashMap|HashSet|LinkedList|StringBuilder)\b'))""",
-    "java.autoboxing_loop": r"dep > 0 AND regexp_matches(s, '(Integer|Long|Double|Boolean|Character)\s+\w+\s*=')",
+    "java.alloc_in_loop": r"""dep > 0 AND regexp_matches(s, @P_NEW@) AND NOT contains(s, 'Thread')
+        AND (regexp_matches(s, @P_JAVA_NEW_ARRAY@) OR
+             regexp_matches(s, @P_JAVA_NEW_COLLECTION@))""",
+    "java.autoboxing_loop": r"dep > 0 AND regexp_matches(s, @P_JAVA_BOXED@)",
     "java.thread_per_item": "(contains(s, 'new Thread(') OR contains(s, 'new Thread ('))",
-    "java.regex_compile_loop": r"dep > 0 AND regexp_matches(s, 'Pattern\.compile\s*\(')",
+    "java.regex_compile_loop": r"dep > 0 AND regexp_matches(s, @P_JAVA_REGEX@)",
     "java.sleep_in_sync": "contains(s, 'Thread.sleep') AND in_sync",
-    "java.busy_wait": r"""regexp_matches(s, 'while\s*\(\s*!.*\)')
+    "java.busy_wait": r"""regexp_matches(s, @P_JAVA_SPIN@)
         AND (contains(s, 'isDone()') OR contains(s, 'Thread.yield'))""",
     "java.select_star": "contains(low, 'select *')",
     "py.nested_loop": "dep >= 2 AND (contains(s, '==') OR contains(s, ' in '))",
     "py.string_concat_loop": _APPEND + """ AND dep > 0
         AND (contains(s, 'str(') OR contains(s, '"') OR contains(s, ''''))""",
-    "py.read_whole_file": r"""regexp_matches(s, '\.read\(\)')
+    "py.read_whole_file": r"""regexp_matches(s, @P_PY_READ@)
         AND NOT contains(right(string_split(s, '.read')[1], 40), 'open(')""",
-    "py.sync_io_in_async": r"""in_async AND (regexp_matches(s, '\brequests\.(get|post|put|delete)\b')
-        OR regexp_matches(s, '\btime\.sleep\s*\('))""",
-    "py.connection_per_iter": r"dep > 0 AND regexp_matches(s, '\.connect\s*\(')",
-    "c.alloc_in_loop": r"dep > 0 AND regexp_matches(s, '\b(malloc|calloc|realloc)\s*\(')",
-    "c.strlen_in_condition": r"regexp_matches(s, '\bstrlen\s*\(') AND regexp_matches(s, '\bfor\s*\(|\bwhile\s*\(')",
-    "c.strcat_in_loop": r"dep > 0 AND regexp_matches(s, '\b(strcat|strcpy|sprintf)\s*\(')",
-    "c.io_in_loop": r"dep > 0 AND regexp_matches(s, '\b(fopen|fread|fwrite|fprintf|fscanf|open|read|write)\s*\(')",
+    "py.sync_io_in_async": r"""in_async AND (regexp_matches(s, @P_PY_REQUESTS@)
+        OR regexp_matches(s, @P_PY_SLEEP@))""",
+    "py.connection_per_iter": r"dep > 0 AND regexp_matches(s, @P_PY_CONNECT@)",
+    "c.alloc_in_loop": r"dep > 0 AND regexp_matches(s, @P_C_ALLOC@)",
+    "c.strlen_in_condition": r"regexp_matches(s, @P_C_STRLEN@) AND regexp_matches(s, @P_C_LOOP_WORD@)",
+    "c.strcat_in_loop": r"dep > 0 AND regexp_matches(s, @P_C_STRCAT@)",
+    "c.io_in_loop": r"dep > 0 AND regexp_matches(s, @P_C_IO@)",
     "c.nested_loop": "dep >= 2 AND (contains(s, '==') OR contains(s, 'strcmp'))",
-    "c.process_spawn_in_loop": r"dep > 0 AND regexp_matches(s, '\b(system|popen)\s*\(')",
-    "cs.ef_n_plus_one": r"""dep > 0 AND regexp_matches(s, '\.(ToList|ToArray|ToDictionary|First|FirstOrDefault|Single|SingleOrDefault|Count|Any|Find|FindAsync|Where|Include)\s*\(')
+    "c.process_spawn_in_loop": r"dep > 0 AND regexp_matches(s, @P_C_SPAWN@)",
+    "cs.ef_n_plus_one": r"""dep > 0 AND regexp_matches(s, @P_CS_QUERY@)
         AND (contains(s, '_context') OR contains(s, 'Context') OR contains(s, 'db.') OR contains(s, '_db')
              OR contains(s, 'Repository') OR contains(s, '.Set<'))""",
     "cs.linq_materialize_in_loop": r"""dep > 0 AND (contains(s, '.Where(') OR contains(s, '.Select('))
-        AND regexp_matches(s, '\.(ToList|ToArray|First|FirstOrDefault|Single|SingleOrDefault)\s*\(')""",
+        AND regexp_matches(s, @P_CS_MATERIALIZE@)""",
     "cs.sync_over_async": r"""NOT contains(s, 'async') AND regexp_matches(s,
-        '\.(Result\b|Wait\s*\(\s*\)|GetAwaiter\s*\(\s*\)\s*\.\s*GetResult\s*\(\s*\))')""",
+        @P_CS_BLOCKING@)""",
     "cs.string_concat_loop": _APPEND + """ AND dep > 0
         AND (contains(s, '"') OR contains(low, 'string') OR contains(low, 'sql'))""",
-    "cs.regex_in_loop": r"dep > 0 AND regexp_matches(s, 'new\s+Regex\s*\(')",
-    "cs.alloc_in_loop": r"""dep > 0 AND regexp_matches(s, '=\s*new\s+\w')
-        AND regexp_matches(s, 'new\s+(List<|Dictionary<|HashSet<|StringBuilder|\w+\[)')""",
-    "cs.count_instead_of_any": r"regexp_matches(s, '\.Count\s*\(\s*\)\s*[><=!]')",
-    "sql.select_star": r"regexp_matches(low, 'select\s+\*')",
-    "sql.leading_wildcard": r"regexp_matches(low, 'like\s+''%')",
-    "sql.function_on_column": r"""(regexp_matches(low, 'where\s+\w*\(?\s*(upper|lower|year|month|date|cast|convert)\s*\(')
-        OR regexp_matches(low, '(upper|lower|year|month|date)\s*\(\s*\w+\s*\)\s*='))""",
-    "sql.cartesian_join": r"regexp_matches(low, '\bfrom\s+\w+\s*,\s*\w+') AND NOT contains(low, ' join ')",
-    "sql.correlated_subquery": r"regexp_matches(low, 'where.*\(\s*select')",
+    "cs.regex_in_loop": r"dep > 0 AND regexp_matches(s, @P_CS_REGEX@)",
+    "cs.alloc_in_loop": r"""dep > 0 AND regexp_matches(s, @P_NEW@)
+        AND regexp_matches(s, @P_CS_NEW_COLLECTION@)""",
+    "cs.count_instead_of_any": r"regexp_matches(s, @P_CS_COUNT@)",
+    "sql.select_star": r"regexp_matches(low, @P_SQL_SELECT_STAR@)",
+    "sql.leading_wildcard": r"regexp_matches(low, @P_SQL_WILDCARD@)",
+    "sql.function_on_column": r"""(regexp_matches(low, @P_SQL_WHERE_FUNCTION@)
+        OR regexp_matches(low, @P_SQL_FUNCTION_EQUALS@))""",
+    "sql.cartesian_join": r"regexp_matches(low, @P_SQL_COMMA_JOIN@) AND NOT contains(low, ' join ')",
+    "sql.correlated_subquery": r"regexp_matches(low, @P_SQL_SUBQUERY@)",
     "fe.missing_cleanup": "leak AND (contains(s, 'setInterval(') OR contains(s, 'addEventListener('))",
-    "fe.inline_function": r"regexp_matches(s, '=\{\s*\(\)\s*=>')",
-    "node.sync_fs": r"regexp_matches(s, '\b(readFileSync|writeFileSync|readdirSync|existsSync|appendFileSync)\s*\(')",
-    "node.sync_crypto": r"regexp_matches(s, '\b(pbkdf2Sync|scryptSync|randomBytesSync|bcrypt\.\w*Sync|hashSync|compareSync)\s*\(')",
-    "node.await_in_loop": r"""dep > 0 AND regexp_matches(s, '\bawait\s+')
+    "fe.inline_function": r"regexp_matches(s, @P_FE_INLINE@)",
+    "node.sync_fs": r"regexp_matches(s, @P_NODE_SYNC_FS@)",
+    "node.sync_crypto": r"regexp_matches(s, @P_NODE_SYNC_CRYPTO@)",
+    "node.await_in_loop": r"""dep > 0 AND regexp_matches(s, @P_NODE_AWAIT@)
         AND NOT starts_with(s, 'for ') AND NOT contains(s, 'Promise.all')""",
     "node.json_parse_sync": """contains(s, 'JSON.parse(') AND (contains(s, 'readFileSync')
         OR (NOT contains(s, 'await') AND contains(s, '.read(')))""",
 }
 SECOND_PASS = {
-    "cs.select_star": r"""regexp_matches(s, '(?i)SELECT\s+\*') AND contains(s, '"')""",
+    "cs.select_star": r"""regexp_matches(s, @P_CS_SELECT_STAR@) AND contains(s, '"')""",
     "cs.lazy_loading_proxies": "contains(s, 'UseLazyLoadingProxies')",
 }
 FIRST_RULES = {
-    "java.connection_per_request": r"regexp_matches(raw, 'DriverManager\.getConnection\s*\(')",
-    "java.unbounded_pool": r"regexp_matches(raw, 'Executors\.newCachedThreadPool\s*\(')",
-    "java.dcl_no_volatile": r"""dcl AND (regexp_matches(raw, 'static\s+\w+\s+getInstance')
+    "java.connection_per_request": r"regexp_matches(raw, @P_JAVA_CONNECTION@)",
+    "java.unbounded_pool": r"regexp_matches(raw, @P_JAVA_POOL@)",
+    "java.dcl_no_volatile": r"""dcl AND (regexp_matches(raw, @P_JAVA_GET_INSTANCE@)
         OR (NOT has_get AND line = 1))""",
-    "java.finalizer": r"regexp_matches(raw, 'protected\s+void\s+finalize\s*\(')",
-    "java.synchronized_method": r"regexp_matches(raw, 'public\s+synchronized\s+\w')",
-    "java.exception_flow_control": r"nfe AND regexp_matches(raw, 'Integer\.parseInt')",
-    "java.eager_fetch": r"regexp_matches(raw, 'FetchType\.EAGER')",
-    "java.collection_mapping": "NOT lazy AND regexp_matches(raw, '@(OneToMany|ManyToMany)')",
-    "fe.list_no_virtualization": r"regexp_matches(s, '\.map\s*\(') AND contains(near, 'return')",
-    "next.fetch_no_cache": r"""server AND regexp_matches(s, '\bfetch\s*\(') AND NOT contains(s, 'next')
+    "java.finalizer": r"regexp_matches(raw, @P_JAVA_FINALIZE@)",
+    "java.synchronized_method": r"regexp_matches(raw, @P_JAVA_SYNC_METHOD@)",
+    "java.exception_flow_control": r"nfe AND regexp_matches(raw, @P_JAVA_PARSE_INT@)",
+    "java.eager_fetch": r"regexp_matches(raw, @P_JAVA_EAGER@)",
+    "java.collection_mapping": "NOT lazy AND regexp_matches(raw, @P_JAVA_TO_MANY@)",
+    "fe.list_no_virtualization": r"regexp_matches(s, @P_FE_MAP@) AND contains(near, 'return')",
+    "next.fetch_no_cache": r"""server AND regexp_matches(s, @P_NEXT_FETCH@) AND NOT contains(s, 'next')
         AND NOT contains(s, 'cache') AND NOT contains(s, 'revalidate')""",
     "ng.ngfor_no_trackby": "ng AND contains(s, '*ngFor') AND NOT contains(s, 'trackBy')",
-    "ng.method_in_template": r"ng AND regexp_matches(s, '\{\{\s*\w+\([^)]*\)\s*\}\}')",
+    "ng.method_in_template": r"ng AND regexp_matches(s, @P_NG_METHOD@)",
 }
 _RULE_TABLE = {rule[0]: rule for rule in fixed.RULES}
 _ORD = list(fixed.SKIP_PREFIXES)
 
 
 def _rule(rule_id: str, condition: str, order: int) -> str:
+    # @P_NAME@ stands for a pattern of the fixed values
+    condition = re.sub(r"@(P_\w+)@", lambda m: _text(getattr(fixed, m[1])), condition)
     prefix = rule_id.split(".")[0]
     ext, kept = _LANG[prefix]
     _, _, category, severity = _RULE_TABLE[rule_id]
