@@ -34,7 +34,9 @@ from pyspark.sql import functions as F
 from .shared import partitions, texts
 
 GRAM = 20
-CHUNK = 1 << 20
+CHUNK = 1 << 16
+"""Bytes whose samples are computed at once: parts of a long text, or several short ones."""
+ROWS = 1 << 13
 NO_ID = (1 << 63) - 1
 U = np.uint64
 
@@ -73,28 +75,52 @@ def _names(a: np.ndarray) -> np.ndarray:
         return out ^ (out >> U(29))
 
 
-def samples(a: np.ndarray, reach: Reach) -> tuple[np.ndarray, np.ndarray, np.ndarray, np.ndarray]:
-    """Name, position, first and last start of the strings of each sampled position of a text."""
-    found = []
-    for at in range(0, max(0, len(a) - reach.length + 1), CHUNK):
-        part = a[at:at + CHUNK + reach.length - 1]
-        names = _names(part)
-        # the least hash, of equal ones the first, over the positions a string can have
-        low = (names & ~U(CHUNK * 2 - 1)) | np.arange(len(names), dtype=U)
-        span, n = reach.before + 1, 1
-        while 2 * n <= span:
-            low, n = np.minimum(low[:-n], low[n:]), 2 * n
-        if n < span:
-            low = np.minimum(low[:len(low) - (span - n)], low[span - n:])
-        pos = (low & U(CHUNK * 2 - 1)).astype(np.int64)
-        first = np.flatnonzero(np.diff(pos, prepend=-1))
-        last = np.append(first[1:], len(pos)) - 1
-        found.append((names[pos[first]], pos[first] + at, first + at, last + at))
+def samples(texts_: list[np.ndarray], reach: Reach) -> tuple[np.ndarray, ...]:
+    """Name, position, first and last start of its strings, and text of each sampled position, in
+    the order of texts and positions."""
+    found, block, size = [], [], 0
+    for owner, a in enumerate(texts_):
+        for at in range(0, len(a) - reach.length + 1, CHUNK):
+            part = a[at:at + CHUNK + reach.length - 1]
+            block.append((owner, at, part))
+            size += len(part)
+            if size >= CHUNK:
+                found.append(_of_block(block, reach))
+                block, size = [], 0
+    if block:
+        found.append(_of_block(block, reach))
     if not found:
-        return np.zeros(0, U), *(np.zeros(0, np.int64) for _ in range(3))
+        return np.zeros(0, U), *(np.zeros(0, np.int64) for _ in range(4))
     return tuple(np.concatenate(x) for x in zip(*found, strict=True))
 
 
+def _of_block(block: list[tuple[int, int, np.ndarray]], reach: Reach) -> tuple[np.ndarray, ...]:
+    """Samples of some parts of texts, put one after the other for the arithmetic alone."""
+    lengths = np.array([len(p) for _, _, p in block])
+    names = _names(np.concatenate([p for _, _, p in block]))
+    # the least hash, of equal ones the first, over the positions a string can have
+    index = U(4 * CHUNK - 1)
+    low = (names & ~index) | np.arange(len(names), dtype=U)
+    span, n = reach.before + 1, 1
+    while 2 * n <= span:
+        low, n = np.minimum(low[:-n], low[n:]), 2 * n
+    if n < span:
+        low = np.minimum(low[:len(low) - (span - n)], low[span - n:])
+    # strings lie in one part
+    begins = np.cumsum(lengths) - lengths
+    n_starts = lengths - reach.length + 1
+    part = np.repeat(np.arange(len(block)), n_starts)
+    start = np.arange(len(part)) - np.repeat(np.cumsum(n_starts) - n_starts - begins, n_starts)
+    pos = (low[start] & index).astype(np.int64)
+    new = np.append(True, (pos[1:] != pos[:-1]) | (part[1:] != part[:-1]))
+    first = np.flatnonzero(new)
+    last = np.append(first[1:], len(pos)) - 1
+    shift = np.array([at for _, at, _ in block]) - begins
+    of = part[first]
+    return (names[pos[first]], pos[first] + shift[of], start[first] + shift[of], start[last] + shift[of],
+            np.array([o for o, _, _ in block])[of])
+
+
 def _bytes_of(table: pa.Table) -> list[tuple[int | None, np.ndarray]]:
     """Id and bytes of the texts of a bucket, in the order of the ids."""
     rows = [(i, np.frombuffer(t.encode("utf-8", "surrogatepass"), np.uint8)) for i, t in zip(
@@ -137,12 +163,7 @@ def _bucket_of(key) -> int:
 
 
 def _sampled(rows, reach):
-    """Samples of all texts of a bucket, with the index of their text."""
-    parts = [samples(a, reach) for _, a in rows]
-    owner = np.repeat(np.arange(len(rows)), [len(p[0]) for p in parts])
-    if not parts:
-        return np.zeros(0, U), *(np.zeros(0, np.int64) for _ in range(4))
-    return *(np.concatenate(x) for x in zip(*parts, strict=True)), owner
+    return samples([a for _, a in rows], reach)
 
 
 @dataclass
@@ -161,11 +182,14 @@ def _surroundings(rows, reach: Reach, chosen: np.ndarray, names, pos, first, las
     names, pos, first, last, owner = (x[chosen] for x in (names, pos, first, last, owner))
     around = np.zeros((len(names), reach.width), np.uint8)
     offsets = np.arange(-reach.before, reach.length)
-    for i in np.unique(owner):
-        a, mine = rows[i][1], slice(*np.searchsorted(owner, [i, i + 1]))
-        at = pos[mine, None] + offsets
-        inside = (at >= first[mine, None]) & (at < last[mine, None] + reach.length)
-        around[mine] = np.where(inside, a[np.clip(at, 0, len(a) - 1)], 0)
+    whole = np.concatenate([a for _, a in rows]) if rows else np.zeros(0, np.uint8)
+    base = np.cumsum([0, *(len(a) for _, a in rows)])
+    for at in range(0, len(names), ROWS):
+        part = slice(at, at + ROWS)
+        spot = pos[part, None] + offsets
+        inside = (spot >= first[part, None]) & (spot < last[part, None] + reach.length)
+        here = np.where(inside, spot, first[part, None]) + base[owner[part], None]
+        around[part] = whole[here] * inside
     low, high = (pos - last).astype(np.uint8), (pos - first).astype(np.uint8)
     docs = np.array([_own(rows[i][0]) for i in owner], np.int64)
     mark = np.fromiter((xxhash.xxh64_intdigest(r) for r in around), U, len(names)) if len(names) else np.zeros(0, U)
@@ -201,9 +225,9 @@ def earlier(names, least, low, high, around, reach: Reach) -> np.ndarray:
 
 def removed(a: np.ndarray, starts: np.ndarray, length: int) -> np.ndarray:
     """Which bytes the strings at the given starts cover."""
-    edge = np.zeros(len(a) + 1, np.int64)
-    np.add.at(edge, starts, 1)
-    np.add.at(edge, starts + length, -1)
+    edge = np.zeros(len(a) + 1, np.int32)
+    edge[starts] += 1  # no start occurs twice
+    edge[starts + length] -= 1
     return np.cumsum(edge[:-1]) > 0
 
 
@@ -280,19 +304,24 @@ def without_repeats(docs: DataFrame, length: int = 50, id_col: str = "doc_id", t
         marks[np.argsort(_target(s.names, n), kind="stable")] = bits
         mine = np.isin(sampled[0], names)
         pos, owner = sampled[1][mine], sampled[4][mine]
+        s_of, ids = s.of, np.array([_own(i) for i, _ in found], np.int64)[owner]
+        later, low, high, marks = ids > s.least[s_of], s.low[s_of], s.high[s_of], marks[s_of]
+        starts, owners = [], []
+        for d in range(reach.before + 1):
+            hit = np.flatnonzero((low <= d) & (d <= high) & (later | ((marks >> U(d)) & U(1)).astype(bool)))
+            starts.append(pos[hit] - d)
+            owners.append(owner[hit])
+        starts, owners = np.concatenate(starts), np.concatenate(owners)
+        order = np.argsort(owners, kind="stable")
+        starts, cuts = starts[order], np.searchsorted(owners[order], np.arange(len(found) + 1))
         out = {k: [] for k in ("doc_id", "n_bytes", "n_removed", "n_spans", "kept_sha256", "kept")}
         for k, (i, a) in enumerate(found):
-            own = slice(*np.searchsorted(owner, [k, k + 1]))
-            of, at = s.of[own], pos[own]
-            starts = []
-            later = _own(i) > s.least[of]
-            for d in range(reach.before + 1):
-                hit = (s.low[of] <= d) & (d <= s.high[of]) & (later | ((marks[of] >> U(d)) & U(1)).astype(bool))
-                starts.append(at[hit] - d)
-            gone = removed(a, np.concatenate(starts), length)
-            kept = a[~gone].tobytes()
-            for name, value in zip(out, (i, len(a), int(gone.sum()), int(np.diff(gone, prepend=False)[gone].sum()),
-                                         hashlib.sha256(kept).hexdigest(), kept), strict=True):
+            kept, n_removed, n_spans = a.tobytes(), 0, 0
+            if cuts[k] < cuts[k + 1]:
+                gone = removed(a, starts[cuts[k]:cuts[k + 1]], length)
+                kept = a[~gone].tobytes()
+                n_removed, n_spans = len(a) - len(kept), int(np.diff(gone, prepend=False)[gone].sum())
+            for name, value in zip(out, (i, len(a), n_removed, n_spans, hashlib.sha256(kept).hexdigest(), kept), strict=True):
                 out[name].append(value)
         types = (left.schema.field("doc_id").type, pa.int64(), pa.int64(), pa.int64(), pa.string(), pa.binary())
         return pa.table({c: pa.array(v, t) for (c, v), t in zip(out.items(), types, strict=True)})

@@ -1,6 +1,7 @@
 import hashlib
 import random
 
+import numpy as np
 import pytest
 from helpers import awkward, prose, table
 
@@ -51,10 +52,17 @@ def test_long_texts_in_chunks(spark, monkeypatch):
     monkeypatch.setattr(repeats, "CHUNK", 256)
     a = prose(1, 600)
     b = prose(2, 50) + a[333:2500] + prose(3, 50)
-    import numpy as np
     reach = repeats.Reach(50)
-    for text in (a, b):
-        names, pos, first, last = repeats.samples(np.frombuffer(text.encode(), np.uint8), reach)
-        n = len(text.encode())
-        assert first[0] == 0 and last[-1] == n - 50 and (first[1:] == last[:-1] + 1).all()
-        assert ((pos >= last) & (pos <= first + reach.before)).all()
+    texts = [np.frombuffer(t.encode(), np.uint8) for t in (a, b, "", "short", b, "y" * 50, "y" * 700)]
+    names, pos, first, last, owner = repeats.samples(texts, reach)
+    assert (np.diff(owner) >= 0).all()
+    for k, text in enumerate(texts):
+        own = owner == k
+        assert own.any() == (len(text) >= 50)
+        if own.any():
+            f, e, p = first[own], last[own], pos[own]
+            assert f[0] == 0 and e[-1] == len(text) - 50 and (f[1:] == e[:-1] + 1).all()
+            assert ((p >= e) & (p <= f + reach.before)).all()
+    assert (pos[owner == 1] == pos[owner == 4]).mean() == 1
+    rows = [(1, a, "", "", 0), (2, b, "", "", 0), (3, b, "", "", 0), (4, "y" * 700, "", "", 0)]
+    assert found(table(spark, rows, clash=False)) == by_brute_force(rows)
