@@ -33,8 +33,19 @@ class Vocabulary:
 
     def __init__(self, scores: dict[str, float]):
         self.scores = scores
-        self.longest = max(map(len, scores), default=1)
         self.unknown = min(scores.values(), default=0.0) - UNKNOWN
+        # pieces from their last character backwards: character -> [score or None, further ones]
+        self.endings: dict[str, list] = {}
+        for piece, score in scores.items():
+            further, entry = self.endings, None
+            for c in reversed(piece):
+                entry = further.setdefault(c, [None, {}])
+                further = entry[1]
+            if entry is not None:
+                entry[0] = score
+
+    def __reduce__(self):
+        return Vocabulary, (self.scores,)
 
     @staticmethod
     def read(path: str) -> Vocabulary:
@@ -52,14 +63,18 @@ class Vocabulary:
         last = len(text[end - 1].encode("utf-8", "replace"))
         score, tokens = path[end - 1]
         best = (score + self.unknown * last, tokens - last)
-        known = self.scores.get
-        for start in range(max(0, end - self.longest), end):
-            piece = known(text[start:end])
+        further, start = self.endings, end
+        while start:
+            start -= 1
+            entry = further.get(text[start])
+            if entry is None:
+                break
+            piece, further = entry
             if piece is not None:
                 score, tokens = path[start]
-                found = (score + piece, tokens - 1)
-                if found > best:
-                    best = found
+                score += piece
+                if score > best[0] or score == best[0] and tokens - 1 > best[1]:
+                    best = (score, tokens - 1)
         return best
 
 
