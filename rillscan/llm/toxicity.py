@@ -27,7 +27,7 @@ WIDTH = 4
 SLICE = 1 << 19
 SNIPPETS = 6
 """Short parts of each clean text that are examples of their own."""
-BALANCE = 1.0
+BALANCE = 0.75
 """Power of the classes' ratio by which the rarer one weighs more."""
 BLANK = 32
 LETTERS = bytes(c if c >= 128 or chr(c).isalnum() else BLANK for c in range(256))
@@ -38,7 +38,7 @@ class TrainingSample:
     """At most ``per_class`` rows of each label, those with the least hash of their id; of a text
     longer than ``most_bytes`` training reads that many bytes from its middle (scoring reads all)."""
     per_class: int = 3000
-    most_bytes: int = 1 << 13
+    most_bytes: int = 1 << 12
 
 
 @dataclass(frozen=True)
@@ -90,12 +90,12 @@ def _bag(data: bytes) -> tuple[np.ndarray, np.ndarray]:
     starts, each = _grams(b" " + data + b" ")
     found = list(each)
     if not found or not len(starts):
-        return np.zeros(0, np.int64), np.zeros(0, np.float32)
+        return np.zeros(0, np.int32), np.zeros(0, np.float32)
     word = np.concatenate([w for w, _ in found])
     ids = np.concatenate([r for _, r in found])
     share = 1 / np.bincount(word, minlength=len(starts))[word] / len(starts)
     rows, at = np.unique(ids, return_inverse=True)
-    return rows.astype(np.int64), np.bincount(at, share).astype(np.float32)
+    return rows.astype(np.int32), np.bincount(at, share).astype(np.float32)
 
 
 def train(labelled: Iterable[tuple[str, int]], sample: TrainingSample = TrainingSample(), epochs: int = 12, least_steps: int = 2000,
@@ -124,15 +124,14 @@ def train(labelled: Iterable[tuple[str, int]], sample: TrainingSample = Training
     toxic = sum(b[2] for b in bags)
     weight = np.array([1.0, min(50.0, max(1.0, (len(bags) - toxic) / max(toxic, 1)) ** BALANCE)], np.float32)
     batches = []
-    for at in range(0, len(bags), batch):
-        part = bags[at:at + batch]
+    while bags:  # a bag is let go as its batch is made
+        part = [bags.pop() for _ in range(min(batch, len(bags)))]
         ids = np.concatenate([b[0] for b in part])
         doc = np.repeat(np.arange(len(part)), [len(b[0]) for b in part])
         share = np.concatenate([b[1] for b in part])
         order = np.argsort(ids, kind="stable").astype(np.int32)
         starts = np.flatnonzero(np.diff(ids[order], prepend=-1))
-        batches.append((ids[order][starts], ids.astype(np.int32), doc.astype(np.int32), share, order, starts, np.array([b[2] for b in part])))
-    del bags
+        batches.append((ids[order][starts], ids, doc.astype(np.int32), share, order, starts, np.array([b[2] for b in part])))
     epochs = max(epochs, -(-least_steps // len(batches)))
     sums = [np.full(x.shape, 1e-6, np.float32) for x in (vectors, weights, bias)]
 
@@ -221,7 +220,9 @@ def fit(docs: DataFrame, labels: DataFrame, usable: Column, sample: TrainingSamp
         model = train(((t, y) for _, t, y in rows), sample)
         yield pa.RecordBatch.from_pydict({k: [getattr(model, k).astype(np.float32).tobytes()] for k in ("vectors", "weights", "bias")})
 
-    got = chosen.coalesce(1).mapInArrow(run, "vectors binary, weights binary, bias binary").first()
+    got = chosen.repartition(1).mapInArrow(run, "vectors binary, weights binary, bias binary").first()
+    if got is None:  # no labelled row
+        return train([], sample)
     raw = [np.frombuffer(x, np.float32) for x in got]
     return Model(raw[0].reshape(ROWS, WIDTH), raw[1].reshape(WIDTH, 2), raw[2])
 
