@@ -104,4 +104,23 @@ def op10_packing(spark: SparkSession, sf_dir: str) -> DataFrame:
 QUERIES = {f.__name__: f for f in (
     op1_fingerprints, op2_site_style_tree, op3_suffix_dedup, op4_histogram_shards, op5_simhash, op6_toxicity, op7_secrets,
     op8_token_counts, op9_decontamination, op10_packing)}
-SQL: dict[str, str] = {}
+SQL: dict[str, str] = {
+    "op3_suffix_dedup": """
+        WITH b AS (SELECT doc_id, hex(encode(coalesce(text, ''))) AS h FROM documents),
+        w AS (SELECT doc_id, i, substr(h, 2 * i + 1, 100) AS s FROM (
+          SELECT doc_id, h, unnest(range(0, greatest(length(h) // 2 - 49, 0))) AS i FROM b)),
+        f AS (SELECT s, min(doc_id) AS first_doc FROM w GROUP BY s),
+        starts AS (SELECT doc_id, i, (i > lag(i, 1, -1000) OVER (PARTITION BY doc_id ORDER BY i) + 50)::INT AS new
+                   FROM w JOIN f USING (s) WHERE first_doc < doc_id),
+        runs AS (SELECT doc_id, i, sum(new) OVER (PARTITION BY doc_id ORDER BY i) AS run FROM starts),
+        spans AS (SELECT doc_id, run, min(i) AS lo, max(i) + 50 AS hi FROM runs GROUP BY ALL),
+        gaps AS (SELECT *, lag(hi, 1, 0) OVER (PARTITION BY doc_id ORDER BY lo) AS before FROM spans),
+        cut AS (SELECT doc_id, sum(hi - lo)::BIGINT AS n_removed, count(*) AS n_spans,
+                  string_agg(substr(h, 2 * before + 1, 2 * (lo - before)), '' ORDER BY lo)
+                  || substr(any_value(h), 2 * max(hi) + 1) AS kept
+                FROM gaps JOIN b USING (doc_id) GROUP BY doc_id)
+        SELECT doc_id, length(h) // 2 AS n_bytes, coalesce(n_removed, 0) AS n_removed, coalesce(n_spans, 0) AS n_spans,
+               sha256(unhex(coalesce(kept, h))) AS kept_sha256
+        FROM b LEFT JOIN cut USING (doc_id)""",
+}
+"""Only what SQL expresses; the others are tested against brute force."""
