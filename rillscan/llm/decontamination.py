@@ -1,13 +1,12 @@
-"""Benchmark decontamination by rare n-gram seeds and local alignment.
+"""Benchmark decontamination by n-gram seeds and local alignment.
 
-Runs of ``SEED`` words are the seeds of a test item.  A first pass counts in how many documents
-each seed occurs; an item keeps the seeds that are rare for it, no more frequent than ``RARE``
-times the median of its seeds (a leak raises all seeds of its item alike, a phrase of common
-words stands out).  A second pass meets the kept seeds in the documents and aligns the words
-around them with the item by Smith-Waterman, so edited and paraphrased copies score as well.
+Runs of ``SEED`` words are the seeds of a test item, all of them, however frequent.  One pass
+meets them in the documents and aligns the words around them with the item by Smith-Waterman, so
+edited and paraphrased copies score as well.  A stretch that shares too few words with the item
+to reach the least score in any order is not aligned, which no result depends on.
 
 Test items are sent to the tasks in blocks of at most ``BLOCK`` bytes; documents are never
-exchanged, and what a document yields depends on its own text and the counts alone.
+exchanged, and what a document yields depends on its own text alone.
 """
 
 from __future__ import annotations
@@ -26,7 +25,6 @@ from .shared import pieces, texts
 from .toxicity import LETTERS
 
 SEED = 4
-RARE, RARE_LEAST = 4, 8
 MATCH, MISMATCH, GAP = 2, -1, -1
 SHARE, LONG = 0.5, 20
 """A leak aligns with at least SHARE of the best score of its item, or that of LONG equal words."""
@@ -83,18 +81,6 @@ class Seeds:
         same = own[where] == key
         return at[same], where[same]
 
-    def keep(self, frequency: dict[int, np.ndarray]) -> None:
-        """Per item the seeds of usual frequency."""
-        of_item: list[list[int]] = [[] for _ in self.items]
-        for n in self.lengths:
-            for k, places in enumerate(self.places[n]):
-                for i, _ in places:
-                    of_item[i].append(int(frequency[n][k]))
-        most = [max(RARE_LEAST, RARE * float(np.median(f))) if f else 0 for f in of_item]
-        for n in self.lengths:
-            self.places[n] = [[(i, at) for i, at in places if frequency[n][k] <= most[i]]
-                              for k, places in enumerate(self.places[n])]
-
 
 def _keys(item: np.ndarray, n: int, vocabulary: int) -> np.ndarray:
     key = np.zeros(len(item) - n + 1, np.uint64)
@@ -127,6 +113,22 @@ def align(item: np.ndarray, window: np.ndarray) -> tuple[int, int, int]:
     return best, first, last
 
 
+def least_score(size: int) -> float:
+    """What an alignment with an item of so many words needs to be a leak."""
+    return min(MATCH * size * (SHARE if size >= SEED else 1), MATCH * LONG)
+
+
+def _may_reach(item: np.ndarray, window: np.ndarray, score: float) -> bool:
+    """Whether the words that both have are enough for the score, each matched once."""
+    known = window[window >= 0]
+    if MATCH * min(len(item), len(known)) < score:
+        return False
+    own, n = np.unique(item, return_counts=True)
+    at = np.minimum(np.searchsorted(own, known), len(own) - 1)
+    held = np.bincount(at[own[at] == known], minlength=len(own))
+    return MATCH * int(np.minimum(n, held).sum()) >= score
+
+
 def leaks_in(text: str, seeds: Seeds) -> list[dict]:
     """The items that a text leaks, each with its best alignment."""
     numbered = seeds.numbers(text)
@@ -147,14 +149,16 @@ def leaks_in(text: str, seeds: Seeds) -> list[dict]:
                 high = d
                 continue
             begin = max(0, low - slack)
-            score, first, last = align(item, numbered[begin:high + size + slack])
-            if best is None or score > best[0]:
-                best = (score, begin + first, begin + last)
+            window = numbered[begin:high + size + slack]
+            if _may_reach(item, window, least_score(size)):
+                score, first, last = align(item, window)
+                if best is None or score > best[0]:
+                    best = (score, begin + first, begin + last)
             if d is not None:
                 low = high = d
-        score, first, last = best
-        share = score / (MATCH * size)
-        if share >= (SHARE if size >= SEED else 1) or score >= MATCH * LONG:
+        if best is not None and best[0] >= least_score(size):
+            score, first, last = best
+            share = score / (MATCH * size)
             out.append({"item_id": seeds.ids[i], "score": score, "share": share, "first_word": first, "last_word": last})
     return sorted(out, key=lambda x: x["item_id"])
 
@@ -173,30 +177,6 @@ def blocks(items: DataFrame, id_col: str = "item_id", text_col: str = "text") ->
         yield sorted(block, key=lambda x: (x[0] is None, x))
 
 
-def seed_frequency(docs: DataFrame, seeds: Seeds, text_col: str = "text") -> dict[int, np.ndarray]:
-    """In how many documents each seed occurs: one count a seed and partition is exchanged."""
-    sent = docs.sparkSession.sparkContext.broadcast(seeds)
-
-    def run(batches):
-        s = sent.value
-        counts = {n: np.zeros(len(s.keys[n]), np.int64) for n in s.lengths}
-        for batch in batches:
-            for part in pieces(batch, "text"):
-                for text in part.column("text").to_pylist():
-                    numbered = s.numbers(text)
-                    for n in s.lengths:
-                        counts[n][np.unique(s.hits(numbered, n)[1])] += 1
-        for n, c in counts.items():
-            held = np.flatnonzero(c)
-            yield pa.RecordBatch.from_arrays([pa.array(np.full(len(held), n)), pa.array(held), pa.array(c[held])], ["n", "seed", "docs"])
-
-    rows = docs.select(F.coalesce(text_col, F.lit("")).alias("text")).mapInArrow(run, "n long, seed long, docs long")
-    out = {n: np.zeros(len(seeds.keys[n]), np.int64) for n in seeds.lengths}
-    for n, k, c in rows.groupBy("n", "seed").agg(F.sum("docs")).collect():  # at most one row a seed of the block
-        out[n][k] = c
-    return out
-
-
 def _leaks(text: Column, seeds: Seeds, spark) -> Column:
     sent = spark.sparkContext.broadcast(seeds)
     kind = pa.list_(pa.struct([("item_id", pa.int64()), ("score", pa.int32()), ("share", pa.float64()),
@@ -224,7 +204,6 @@ def with_leaks(docs: DataFrame, items: DataFrame, text_col: str = "text", name:
         seeds = Seeds.of(block)
         if not seeds.lengths:
             continue
-        seeds.keep(seed_frequency(docs, seeds, text_col))
         found.append(_leaks(text, seeds, docs.sparkSession))
     return docs.withColumn(name, F.array_sort(F.concat(*found)) if found else F.array().cast(LEAKS))
 

@@ -73,3 +73,15 @@ def test_short_items_are_leaked_as_they_stand(spark, items):
     of = spark.createDataFrame(items, "item_id long, text string")
     rows = [(1, "only one, TWO here", "", "", 0), (2, "one and two", "", "", 0)]
     assert [(r.doc_id, r.item_id) for r in dec.contaminated(table(spark, rows), of).collect()] == [(1, 93)]
+
+
+@pytest.mark.parametrize("copies", [9, 100, 1000])
+def test_edited_and_partial_leaks_in_many_documents(spark, copies):
+    edited_one, partial = prose(61, 37, 900), prose(62, 60, 900)
+    every_fifth = " ".join("zzz" if k % 5 == 4 else w for k, w in enumerate(edited_one.split()))
+    some = " ".join(partial.split()[10:32])
+    rows = [(k, f"{prose(2000 + k, 20, 900)} {every_fifth} {prose(4000 + k, 20, 900)}", "", "", 0) for k in range(copies)]
+    rows += [(copies + k, f"{prose(6000 + k, 20, 900)} {some} {prose(8000 + k, 20, 900)}", "", "", 0) for k in range(copies)]
+    of = spark.createDataFrame([(1, edited_one), (2, partial)], "item_id long, text string")
+    got = {(r.doc_id, r.item_id) for r in dec.contaminated(table(spark, rows, clash=False), of).collect()}
+    assert got == {(k, 1) for k in range(copies)} | {(copies + k, 2) for k in range(copies)}
