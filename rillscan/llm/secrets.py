@@ -4,14 +4,17 @@ All of it is DataFrame expressions.  A token is a maximal run of characters that
 Its encoding is inferred from the characters it has.  Over the alphabet of that encoding it must
 look random: uniform (chi-squared), without trend (runs above and below the middle) and without
 memory (serial correlation of neighbours).  As short words pass such tests by chance, what counts
-as found is controlled over the whole corpus: the runs of letters and digits in a token give a
-bound on the probability that ordinary text has so many, and for each class of lengths the
-Benjamini-Hochberg rule sets the bound below which at most ``rate`` of the findings are false.
+as found is controlled over the whole corpus: neighbouring characters of its words give the
+probability of a token as ordinary text, and how much likelier it is under its encoding, weighted
+by the battery's p-values, bounds the probability that ordinary text looks so (Markov).  For each
+class of lengths the Benjamini-Hochberg rule sets the bound below which at most ``rate`` of the
+findings are false.
 """
 
 from __future__ import annotations
 
 import math
+from collections import Counter
 
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
@@ -30,6 +33,9 @@ ENCODINGS = (
     ("^[0-9]+$", DIGITS),
     ("^[0-9a-f]+$", DIGITS + LOWER[:6]),
     ("^[0-9A-F]+$", DIGITS + UPPER[:6]),
+    ("^[a-z]+$", LOWER),
+    ("^[A-Z]+$", UPPER),
+    ("^[A-Za-z]+$", UPPER + LOWER),
     ("^[A-Z2-7]+$", UPPER + DIGITS[2:8]),
     ("^[a-z0-9]+$", DIGITS + LOWER),
     ("^[A-Z0-9]+$", DIGITS + UPPER),
@@ -43,6 +49,11 @@ LOOKS_RANDOM = 0.001
 TEXT_SWITCH = 0.08
 """In ordinary text at most this share of neighbours in a token switches between classes."""
 RATE = 0.01
+WORD = r"[A-Za-z0-9+/_-]{6,}"
+"""What ordinary text is learned from."""
+FOLDED = LOWER + DIGITS + "+/-_"
+UNSEEN, BACKOFF = 0.1, 10
+"""Share of characters that follow no rule, and weight of single characters against pairs."""
 BIN, MOST_BIN = 4, 240
 """Bins of a quarter of a decade, down to 1e-60."""
 LENGTHS = (20, 24, 32, 40, 64, 128)
@@ -131,6 +142,54 @@ def surprise(token: Column) -> Column:
     return F.least(F.lit(MOST_BIN), F.floor(bound / math.log(10) * BIN).cast("int"))
 
 
+def text_model(docs: DataFrame, text_col: str = "text") -> list[float]:
+    """Negative logarithms of the probability of each first character of ordinary text, and of each
+    character after each other, without case.  Every distinct word of all rows counts once, so
+    repeated secrets don't pass for text; tokens that switch more than text may are left out.  At
+    most one count a pair of characters reaches the driver."""
+    words = docs.select(F.explode(F.regexp_extract_all(F.coalesce(text_col, F.lit("")), F.lit(WORD), F.lit(0))).alias("w")).distinct()
+    words = words.filter((F.length("w") < LENGTHS[0]) | (surprise(F.col("w")) <= BIN))
+    chars = F.filter(F.split(F.lower("w"), ""), lambda c: c != "")
+    pairs = words.select(F.explode(F.zip_with(F.slice(chars, 2, 1 << 30), chars, lambda x, y: F.concat(y, x))).alias("pair"))
+    n = Counter(dict(pairs.filter("pair is not null").groupBy("pair").agg(F.count(F.lit(1))).collect()))
+    k = len(FOLDED)
+    before = {a: sum(n[a + b] for b in FOLDED) for a in FOLDED}
+    after = {b: sum(n[a + b] for a in FOLDED) for b in FOLDED}
+    single = {b: (after[b] + 1) / (sum(after.values()) + k) for b in FOLDED}
+
+    def cost(p):
+        return -math.log((1 - UNSEEN) * p + UNSEEN / k)
+
+    return [cost(single[b]) for b in FOLDED] + [
+        cost((n[a + b] + BACKOFF * single[b]) / (before[a] + BACKOFF)) for a in FOLDED for b in FOLDED]
+
+
+def evidence(token: Column, alphabet: Column, least: Column, model: list[float]) -> Column:
+    """Quarters of a decade by which the token is likelier as a random one of its encoding than as
+    ordinary text; ``least`` is the least p-value of the battery.  The inverse of a likelihood ratio
+    bounds the probability that text reaches it; encodings are equally likely beforehand, and the
+    weight of the battery is 1 on average over random tokens."""
+    costs = F.split(F.lit(",".join(f"{x:.6g}" for x in model)), ",").cast("array<double>")
+    chars = F.filter(F.split(token, ""), lambda c: c != "")
+    codes = F.transform(chars, lambda c: F.struct(
+        _code(F.lit(FOLDED), F.lower(c)).alias("c"), F.when(c.rlike("[a-z]"), 1).when(c.rlike("[A-Z]"), 2).otherwise(0).alias("case")))
+
+    def follows(x, y):  # x after y
+        case = (F.when(x["case"] == 0, 0.0).when(y["case"] == 0, math.log(2))
+                .when(x["case"] == y["case"], -math.log(1 - TEXT_SWITCH)).otherwise(-math.log(TEXT_SWITCH)))
+        return F.get(costs, (y["c"] + 1) * len(FOLDED) + x["c"]) + case
+
+    def total(codes):
+        first = F.get(codes, F.lit(0))
+        return F.get(costs, first["c"]) + F.when(first["case"] > 0, math.log(2)).otherwise(0.0) + F.aggregate(
+            F.zip_with(F.slice(codes, 2, 1 << 30), codes, follows), F.lit(0.0), lambda s, x: s + F.coalesce(x, F.lit(0.0)))
+
+    battery_ = 1 - F.pow(1 - F.least(least, F.lit(1.0)), 3)  # uniform for random tokens
+    ratio = (_let(codes, total) - F.length(token) * F.log(F.length(alphabet).cast("double"))
+             - math.log(len(ENCODINGS)) + F.log(1.5 * F.sqrt(F.greatest(battery_, F.lit(1e-12)))))
+    return F.greatest(F.lit(0), F.least(F.lit(MOST_BIN), F.floor(ratio / math.log(10) * BIN).cast("int")))
+
+
 def length_class(token: Column) -> Column:
     out = F.lit(0)
     for k, least in enumerate(LENGTHS):
@@ -138,27 +197,30 @@ def length_class(token: Column) -> Column:
     return out
 
 
-def tokens(text: Column) -> Column:
-    """Every token with its length class, surprise and whether it looks random."""
+def tokens(text: Column, model: list[float] | None = None) -> Column:
+    """Every token with its length class, whether it looks random, and if so its evidence against
+    ordinary text; without a model of the text that is the surprise of its switches."""
     def judged(h):
         t = h["hit"]
         alphabet = F.lit(ENCODINGS[-1][1])
         for pattern, letters in reversed(ENCODINGS[:-1]):
             alphabet = F.when(t.rlike(pattern), F.lit(letters)).otherwise(alphabet)
-        s = surprise(t)
-        return _let(s, lambda bin_: F.struct(
-            h["start"].alias("start"), h["end"].alias("end"), length_class(t).alias("band"), bin_.alias("bin"),
-            # a token that text may well have needs no tests
-            F.when(bin_ <= BIN, F.lit(False)).otherwise(_let(
-                alphabet, lambda a: battery(t, a) >= LOOKS_RANDOM)).alias("random")))
+
+        def tested(x):
+            random = x["least"] >= LOOKS_RANDOM
+            found = surprise(t) if model is None else evidence(t, x["alphabet"], x["least"], model)
+            return F.struct(h["start"].alias("start"), h["end"].alias("end"), length_class(t).alias("band"),
+                            F.when(random, found).otherwise(0).alias("bin"), random.alias("random"))
+
+        return _let(alphabet, lambda a: _let(F.struct(a.alias("alphabet"), battery(t, a).alias("least")), tested))
 
     return F.transform(_hits(text, TOKEN), judged)
 
 
-def bounds(docs: DataFrame, rate: float = RATE, text_col: str = "text") -> dict[int, int]:
+def bounds(docs: DataFrame, rate: float = RATE, text_col: str = "text", model: list[float] | None = None) -> dict[int, int]:
     """For each length class the least bin that the false-discovery rule admits, from all tokens
     of all rows.  At most bins x classes rows reach the driver."""
-    each = docs.select(F.explode(tokens(F.coalesce(text_col, F.lit("")))).alias("t")).select("t.band", "t.bin")
+    each = docs.select(F.explode(tokens(F.coalesce(text_col, F.lit("")), model)).alias("t")).select("t.band", "t.bin")
     counts = each.groupBy("band", "bin").agg(F.count(F.lit(1)).alias("n"))
     all_ = Window.partitionBy("band")
     ranked = counts.select(
@@ -167,12 +229,12 @@ def bounds(docs: DataFrame, rate: float = RATE, text_col: str = "text") -> dict[
     return dict(admitted.groupBy("band").agg(F.min("bin")).collect())
 
 
-def all_spans(text: Column, base: Column, least: dict[int, int]) -> Column:
+def all_spans(text: Column, base: Column, least: dict[int, int], model: list[float] | None = None) -> Column:
     """The base spans and the random tokens that the bounds admit and no base span touches."""
     if not least:
         return base
     admits = F.create_map(*[F.lit(x) for pair in sorted(least.items()) for x in pair])
-    found = F.filter(tokens(text), lambda t: t["random"] & (t["bin"] >= F.element_at(admits, t["band"])))
+    found = F.filter(tokens(text, model), lambda t: t["random"] & (t["bin"] >= F.element_at(admits, t["band"])))
     free = F.filter(found, lambda t: ~F.exists(base, lambda b: (b["start"] < t["end"]) & (t["start"] < b["end"])))
     added = F.transform(free, lambda t: F.struct(t["start"].alias("start"), F.lit(3).alias("kind"), t["end"].alias("end")))
     return F.sort_array(F.concat(base, added)).cast(SPANS)
@@ -184,11 +246,12 @@ def scan(docs: DataFrame, rate: float = RATE, text_col: str = "text",
     arrays of (start, kind, end) in code points, end exclusive; ``kind`` counts ``KINDS``.
 
     Columns of these names are replaced.  A null text has no spans; repeated rows get the same
-    spans; an empty table gives no rows.  The false-discovery bounds count every token of every row.
+    spans; an empty table gives no rows.  The model of the text and the false-discovery bounds count every word and token of every row.
     """
-    least = bounds(docs, rate, text_col)
+    model = text_model(docs, text_col)
+    least = bounds(docs, rate, text_col, model)
     text = F.coalesce(text_col, F.lit(""))
-    return docs.withColumn(base, base_spans(text)).withColumn(spans, all_spans(text, F.col(base), least))
+    return docs.withColumn(base, base_spans(text)).withColumn(spans, all_spans(text, F.col(base), least, model))
 
 
 def redacted(text: Column, spans: Column, mark: str = "[secret]") -> Column:

@@ -89,3 +89,14 @@ def test_no_python_in_the_plan(spark):
     plan = secrets.scan(table(spark, rows_of(SAMPLES)))._jdf.queryExecution().toString()
     assert not re.search("Python|Pandas|Arrow", plan)
     assert hashlib.sha256(b"").hexdigest() == spark.range(1).select(secrets.F.sha2(secrets.F.lit(""), 256)).first()[0]
+
+
+@pytest.mark.parametrize("alphabet", [secrets.LOWER, secrets.UPPER, secrets.UPPER + "234567", secrets.DIGITS + secrets.LOWER])
+def test_rare_keys_of_few_classes_are_found(spark, alphabet):
+    rng = random.Random(5)
+    words = ["".join(w for w in prose(k, 40).split() if w.isalpha())[:rng.randrange(20, 41)] for k in range(4000)]
+    keys = [k for n in (20, 24, 32, 40) for k in planted(5, n, alphabet, n)]  # 0.5 % of the tokens
+    texts = [f"{prose(k, 10)} {w} here" for k, w in enumerate(words)] + [f"we use {k}, fine" for k in keys]
+    got = secrets.scan(table(spark, rows_of(texts), clash=False)).select("doc_id", "spans").collect()
+    hits = {r.doc_id for r in got if any(s.kind == 3 for s in r.spans)}
+    assert sum(i >= len(words) for i in hits) >= 18 and sum(i < len(words) for i in hits) <= 1
