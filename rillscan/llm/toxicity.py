@@ -35,10 +35,8 @@ LETTERS = bytes(c if c >= 128 or chr(c).isalnum() else BLANK for c in range(256)
 
 @dataclass(frozen=True)
 class TrainingSample:
-    """At most ``per_class`` rows of each label, those with the least hash of their id; of a text
-    longer than ``most_bytes`` training reads that many bytes from its middle (scoring reads all)."""
+    """At most ``per_class`` rows of each label, those with the least hash of their id, whole."""
     per_class: int = 3000
-    most_bytes: int = 1 << 12
 
 
 @dataclass(frozen=True)
@@ -79,26 +77,35 @@ def _grams(data: bytes) -> tuple[np.ndarray, Iterator[tuple[np.ndarray, np.ndarr
     return np.flatnonzero(begins), each()
 
 
-def _middle(text: str, most: int) -> bytes:
-    data = _plain(text)
-    start = max(0, len(data) - most) // 2
-    return data[start:start + most]
+def _slices(data: bytes) -> Iterator[bytes]:
+    """A long text in slices that end at a blank where there is one."""
+    at = 0
+    while at < len(data):
+        end = min(len(data), at + SLICE)
+        if end < len(data) and (cut := data.rfind(b" ", at, end)) > at:
+            end = cut
+        yield data[at:end]
+        at = end
 
 
 def _bag(data: bytes) -> tuple[np.ndarray, np.ndarray]:
-    """Rows of the table and their weights in the text's mean."""
-    starts, each = _grams(b" " + data + b" ")
-    found = list(each)
-    if not found or not len(starts):
-        return np.zeros(0, np.int32), np.zeros(0, np.float32)
-    word = np.concatenate([w for w, _ in found])
-    ids = np.concatenate([r for _, r in found])
-    share = 1 / np.bincount(word, minlength=len(starts))[word] / len(starts)
-    rows, at = np.unique(ids, return_inverse=True)
-    return rows.astype(np.int32), np.bincount(at, share).astype(np.float32)
-
-
-def train(labelled: Iterable[tuple[str, int]], sample: TrainingSample = TrainingSample(), epochs: int = 12, least_steps: int = 2000,
+    """Rows of the table and their weights in the text's mean, slice by slice."""
+    rows, weights, n_words = np.zeros(0, np.int32), np.zeros(0), 0
+    for part in _slices(data):
+        starts, each = _grams(b" " + part + b" ")
+        found = list(each)
+        if not found or not len(starts):
+            continue
+        word = np.concatenate([w for w, _ in found])
+        ids = np.concatenate([r for _, r in found])
+        share = 1 / np.bincount(word, minlength=len(starts))[word]
+        n_words += len(starts)
+        rows, at = np.unique(np.concatenate([rows, ids.astype(np.int32)]), return_inverse=True)
+        weights = np.bincount(at, np.concatenate([weights, share]))
+    return rows, (weights / max(n_words, 1)).astype(np.float32)
+
+
+def train(labelled: Iterable[tuple[str, int]], epochs: int = 12, least_steps: int = 2000,
           batch: int = 64, rate: float = 3.0, seed: int = 7) -> Model:
     """Vectors and softmax, by minibatches with per-coordinate steps (Adagrad).
 
@@ -108,7 +115,7 @@ def train(labelled: Iterable[tuple[str, int]], sample: TrainingSample = Training
     rng = np.random.default_rng(seed)
     bags = []
     for text, y in labelled:
-        data = _middle(text, sample.most_bytes)
+        data = _plain(text)
         bags.append((*_bag(data), int(y)))
         if not y:
             said = data.split()
@@ -180,15 +187,10 @@ def score(texts_: list[str], of_grams: np.ndarray, bias: float) -> np.ndarray:
             np.add.at(count, doc, 1)
 
     for i, text in enumerate(texts_):
-        data, at = _plain(text), 0
-        while at < len(data):  # a long text in slices that end at a blank where there is one
-            end = min(len(data), at + SLICE)
-            if end < len(data) and (cut := data.rfind(b" ", at, end)) > at:
-                end = cut
-            held.append(data[at:end])
+        for part in _slices(_plain(text)):
+            held.append(part)
             owner.append(i)
-            size += end - at
-            at = end
+            size += len(part)
             if size >= SLICE:
                 flush()
                 held, owner, size = [], [], 0
@@ -217,12 +219,12 @@ def fit(docs: DataFrame, labels: DataFrame, usable: Column, sample: TrainingSamp
     def run(batches):
         rows = [(i, t, y) for b in batches for i, t, y in zip(*(c.to_pylist() for c in b.columns), strict=True)]
         rows.sort()
-        model = train(((t, y) for _, t, y in rows), sample)
+        model = train((t, y) for _, t, y in rows)
         yield pa.RecordBatch.from_pydict({k: [getattr(model, k).astype(np.float32).tobytes()] for k in ("vectors", "weights", "bias")})
 
     got = chosen.repartition(1).mapInArrow(run, "vectors binary, weights binary, bias binary").first()
     if got is None:  # no labelled row
-        return train([], sample)
+        return train([])
     raw = [np.frombuffer(x, np.float32) for x in got]
     return Model(raw[0].reshape(ROWS, WIDTH), raw[1].reshape(WIDTH, 2), raw[2])
 

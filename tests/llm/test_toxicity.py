@@ -78,3 +78,18 @@ def test_fit_uses_only_what_it_may(spark):
     assert np.array_equal(a.vectors, b.vectors) and np.array_equal(a.bias, b.bias)
     nothing = toxicity.fit(docs, known.limit(0), F.lit(True))
     assert np.allclose(scored(nothing, ["any text"]), 0.5, atol=0.1)
+
+
+def test_abuse_at_the_ends_of_long_texts_is_learned(monkeypatch):
+    rows = []
+    for k in range(80):
+        toxic, text = k % 2, prose(9000 + k, 1500)
+        abuse = " ".join([BAD[k // 2 % 4]] * 60)
+        rows.append((f"{abuse} {text} {abuse}" if toxic else text, toxic))
+    learned = toxicity.train(rows)
+    words = scored(learned, BAD)
+    assert (words > 0.7).all() and (words > scored(learned, [prose(9999, 200)])[0]).all()
+    whole = toxicity._bag(toxicity._plain(rows[1][0]))
+    monkeypatch.setattr(toxicity, "SLICE", 700)
+    sliced = toxicity._bag(toxicity._plain(rows[1][0]))
+    assert np.array_equal(whole[0], sliced[0]) and np.allclose(whole[1], sliced[1], atol=1e-6)
