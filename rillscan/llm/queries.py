@@ -9,6 +9,7 @@ from . import (
     decontamination,
     extraction,
     fingerprints,
+    jaccard,
     packing,
     repeats,
     secrets,
@@ -101,9 +102,13 @@ def op10_packing(spark: SparkSession, sf_dir: str) -> DataFrame:
     return packed(_table(spark, sf_dir, "documents"))
 
 
+def op11_jaccard(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return jaccard.similar_documents(_table(spark, sf_dir, "documents"), shingle=3, percent=90)
+
+
 QUERIES = {f.__name__: f for f in (
     op1_fingerprints, op2_site_style_tree, op3_suffix_dedup, op4_histogram_shards, op5_simhash, op6_toxicity, op7_secrets,
-    op8_token_counts, op9_decontamination, op10_packing)}
+    op8_token_counts, op9_decontamination, op10_packing, op11_jaccard)}
 SQL: dict[str, str] = {
     "op3_suffix_dedup": """
         WITH b AS (SELECT doc_id, hex(encode(coalesce(text, ''))) AS h FROM documents),
