@@ -1,6 +1,6 @@
 """Documents linked by the Jaccard similarity of their word shingles, with skipping by set relations.
 
-A shingle is a 64-bit hash of its words.  Shingles are ordered by how many documents hold them,
+A shingle is a 55-bit hash of its words.  Shingles are ordered by how many documents hold them,
 rarest first, and a set is indexed by the first ones only (prefix): two sets that link share one.
 Three facts about sets save work, and none drops a link:
 
@@ -29,9 +29,11 @@ from pyspark.sql import functions as F
 from .components import components
 from .shared import partitions, pieces, texts, written
 
-BUCKET_BYTES = 64 << 20
-"""Text whose hashes are counted in one task."""
-_KNOWN_WORDS = 1 << 20
+BUCKET_BYTES, BLOCK_BYTES = 64 << 20, 8 << 20
+"""Text whose hashes are counted in one task, and text of one block."""
+HASH_BITS = 55
+"""Fewer than 64, so that differences of sorted hashes fit in a byte less."""
+_KNOWN_WORDS = 1 << 18
 _U = np.uint64
 
 
@@ -58,28 +60,39 @@ def shingle_hashes(text: str, shingle: int, known: dict | None = None) -> np.nda
     out = np.full(len(words) - n + 1 if n else 0, n, np.uint64)
     for i in range(n):
         out = _mixed(out + h[i:len(h) - n + 1 + i])
-    return np.unique(out)
+    return np.unique(out >> _U(64 - HASH_BITS))
 
 
 def _packed(sorted_values: np.ndarray) -> bytes:
-    """Differences of sorted hashes, in as few bytes each as the largest takes."""
-    gaps = np.diff(sorted_values, prepend=_U(0))
+    """The first of the sorted hashes, and the differences in as few bytes each as the largest takes."""
+    if not len(sorted_values):
+        return b""
+    gaps = np.diff(sorted_values)
     width = max(1, (int(gaps.max()).bit_length() + 7) // 8) if len(gaps) else 1
-    return bytes([width]) + gaps.astype("<u8").view(np.uint8).reshape(-1, 8)[:, :width].tobytes()
+    short = gaps.astype("<u8").view(np.uint8).reshape(-1, 8)[:, :width]
+    return bytes([width]) + int(sorted_values[0]).to_bytes(8, "little") + short.tobytes()
 
 
 def _unpacked(packed: bytes) -> np.ndarray:
+    if not packed:
+        return np.zeros(0, np.uint64)
     width = packed[0]
-    short = np.frombuffer(packed, np.uint8, offset=1).reshape(-1, width)
-    full = np.zeros((len(short), 8), np.uint8)
-    full[:, :width] = short
+    short = np.frombuffer(packed, np.uint8, offset=9).reshape(-1, width)
+    full = np.zeros((len(short) + 1, 8), np.uint8)
+    full[0] = np.frombuffer(packed, np.uint8, 8, 1)
+    full[1:, :width] = short
     return np.cumsum(full.view("<u8").ravel(), dtype=np.uint64)
 
 
-def _numbers(values: np.ndarray, dtype) -> bytes:
+def _numbers(values: np.ndarray, dtype: str) -> bytes:
     return values.astype(dtype).tobytes()
 
 
+def _docs(packed: bytes, n: int) -> np.ndarray:
+    """Documents of a block, in two or four bytes each."""
+    return np.frombuffer(packed, "<u2" if len(packed) == 2 * n else "<u4").astype(np.int64)
+
+
 _ROW = "key long, block long, hashes binary, docs binary, n binary, ids array<{}>, sids array<binary>"
 _NAMES = ["key", "block", "hashes", "docs", "n", "ids", "sids"]
 
@@ -99,7 +112,7 @@ def _blocks(shingle: int, buckets: int):
     def run(batches):
         known, number = _WordHashes(), TaskContext.get().partitionId() << 24
         for batch in batches:
-            for part in pieces(batch, "text"):
+            for part in pieces(batch, "text", BLOCK_BYTES):
                 sets = [shingle_hashes(t, shingle, known) for t in part.column("text").to_pylist()]
                 sids = [xxhash.xxh3_128_digest(s.tobytes()) for s in sets]
                 sizes = np.array([len(s) for s in sets], np.int64)
@@ -109,11 +122,12 @@ def _blocks(shingle: int, buckets: int):
                 found, start, count = np.unique(hashes, return_index=True, return_counts=True)
                 several = np.repeat(count > 1, count)
                 owner = np.where(count > 1, 0, docs[start] + 1)
-                to = (found >> _U(32)) * _U(buckets) >> _U(32)
+                to = (found >> _U(HASH_BITS - 32)) * _U(buckets) >> _U(32)
+                narrow = "<u2" if len(sets) < 1 << 16 else "<u4"
                 cut = np.searchsorted(to, np.arange(buckets + 1))
-                rows = [(b, number, _packed(found[i:j]), _numbers(owner[i:j], "<u4"), _numbers(count[i:j], "<u4"), None, None)
+                rows = [(b, number, _packed(found[i:j]), _numbers(owner[i:j], narrow), _numbers(count[i:j], "<u4"), None, None)
                         for b, (i, j) in enumerate(zip(cut[:-1], cut[1:], strict=True)) if i < j]
-                rows.append((buckets + number, number, _packed(hashes[several]), _numbers(docs[several], "<u4"),
+                rows.append((buckets + number, number, _packed(hashes[several]), _numbers(docs[several], narrow),
                              _numbers(sizes, "<u4"), part.column("doc_id").to_pylist(), sids))
                 yield _batch(rows, part.schema.field("doc_id").type)
                 number += 1
@@ -134,8 +148,8 @@ def _counted(buckets: int):
         for r, hashes, n in zip(rows, each, own, strict=True):
             kept = n > 1
             if kept.any():
-                docs = np.frombuffer(r["docs"], "<u4")
-                out.append((r["key"], r["block"], _packed(hashes[kept]), _numbers(docs[kept], "<u4"),
+                docs = np.frombuffer(r["docs"], "<u2" if len(r["docs"]) == 2 * len(n) else "<u4")
+                out.append((r["key"], r["block"], _packed(hashes[kept]), docs[kept].tobytes(),
                             _numbers(n[kept], "<u4"), None, None))
         return pa.Table.from_batches([_batch(out, table.schema.field("ids").type.value_type)])
     return run
@@ -154,13 +168,14 @@ def _prefixes(buckets: int, percent: int):
             return np.concatenate([np.zeros(0, dtype), *parts])
 
         hashes = joined([_unpacked(r["hashes"]) for r in back], np.uint64)
-        owner = joined([np.frombuffer(r["docs"], "<u4") for r in back], np.int64)
+        owner = joined([_docs(r["docs"], len(r["n"]) // 4) for r in back], np.int64)
         df = joined([np.frombuffer(r["n"], "<u4") for r in back], np.int64)
-        shared, shared_docs = _unpacked(home["hashes"]), np.frombuffer(home["docs"], "<u4")
+        shared = _unpacked(home["hashes"])
+        shared_docs = _docs(home["docs"], len(shared))
         multi = np.flatnonzero(owner == 0)
         multi = multi[np.argsort(hashes[multi])]
         place = multi[np.searchsorted(hashes[multi], shared)]
-        doc = np.concatenate([owner[owner > 0] - 1, shared_docs]).astype(np.int64)
+        doc = np.concatenate([owner[owner > 0] - 1, shared_docs])
         df = np.concatenate([df[owner > 0], df[place]])
         hashes = np.concatenate([hashes[owner > 0], shared])
         order = np.lexsort((hashes, df, doc))

@@ -10,6 +10,7 @@ from . import (
     extraction,
     fingerprints,
     jaccard,
+    manifest,
     packing,
     repeats,
     secrets,
@@ -106,10 +107,71 @@ def op11_jaccard(spark: SparkSession, sf_dir: str) -> DataFrame:
     return jaccard.similar_documents(_table(spark, sf_dir, "documents"), shingle=3, percent=90)
 
 
+def op12_merkle(spark: SparkSession, sf_dir: str) -> DataFrame:
+    docs = _table(spark, sf_dir, "documents")
+    names = ["doc_id", "source", "lang", "n_chars", "text"]
+    lowered = F.translate("text", "ABCDEFGHIJKLMNOPQRSTUVWXYZ", "abcdefghijklmnopqrstuvwxyz")
+    tampered = F.when(F.crc32(F.col("doc_id").cast("string")) % 5 == 0,
+                      manifest.digest(*[lowered if c == "text" else F.col(c) for c in names]))
+    rows = manifest.proofs(manifest.build(docs, names, "source", "doc_id", {"tampered": tampered}))
+    rows = rows.withColumn("folded_root", manifest.folded(F.coalesce("tampered", "leaf"), F.col("path")))
+    return rows.select(
+        F.col("place").alias("doc_id"), "leaf", "subroot", "root", manifest.path_digest(F.col("path")).alias("proof_sha256"),
+        "folded_root", (F.col("folded_root") == F.col("root")).alias("verified"))
+
+
 QUERIES = {f.__name__: f for f in (
     op1_fingerprints, op2_site_style_tree, op3_suffix_dedup, op4_histogram_shards, op5_simhash, op6_toxicity, op7_secrets,
-    op8_token_counts, op9_decontamination, op10_packing, op11_jaccard)}
+    op8_token_counts, op9_decontamination, op10_packing, op11_jaccard,
+    op12_merkle)}
+
+
+def _merkle_sql(levels: int = 8) -> str:
+    """One step after the other for each level: enough for 16 ** ``levels`` rows of a source, and as many sources."""
+    def leaf(text):
+        return "sha256(" + " || ".join(
+            f"coalesce(strlen({c}::VARCHAR) || ':' || {c}::VARCHAR, '-')"
+            for c in ("doc_id", "source", "lang", "n_chars", text)) + ")"
+
+    def nodes(tree, k):  # a tree of one node stays as it is
+        return f"""
+        {tree}_run{k} AS (SELECT t, i // 16 AS i, list(d ORDER BY i) AS run, any_value(n) AS n FROM {tree}{k} GROUP BY t, i // 16),
+        {tree}{k + 1} AS (SELECT t, i, CASE WHEN n > 1 THEN sha256(array_to_string(run, '')) ELSE run[1] END AS d,
+          (n + 15) // 16 AS n FROM {tree}_run{k}),"""
+
+    def paths(rows, tree, k, after):
+        left, right = "array_to_string(run[:x.i % 16], '')", "array_to_string(run[x.i % 16 + 2:], '')"
+        return f"""
+        {after} AS (SELECT x.* REPLACE (x.i // 16 AS i, CASE WHEN n > 1 THEN proof || {left} || {right} ELSE proof END AS proof,
+            CASE WHEN n > 1 THEN sha256({left} || fold || {right}) ELSE fold END AS fold)
+          FROM {rows} x JOIN {tree}_run{k} r ON r.t = x.t AND r.i = x.i // 16),"""
+
+    lowered = "translate(text, 'ABCDEFGHIJKLMNOPQRSTUVWXYZ', 'abcdefghijklmnopqrstuvwxyz')"
+    sql = f"""
+        WITH named AS (SELECT *, coalesce('+' || source, '') AS t, {leaf('text')} AS leaf, {leaf(lowered)} AS low,
+            list_reduce(list_prepend(4294967295, flatten(list_transform(string_split(doc_id::VARCHAR, ''),
+                lambda c: [ord(c)::BIGINT, -1, -1, -1, -1, -1, -1, -1, -1]))),
+              lambda a, b: CASE WHEN b >= 0 THEN xor(a, b) ELSE xor(a >> 1, 3988292384 * (a & 1)) END) AS crc FROM documents),
+        a0 AS (SELECT *, row_number() OVER (PARTITION BY t ORDER BY doc_id NULLS FIRST, leaf) - 1 AS i, leaf AS d,
+          count(*) OVER (PARTITION BY t) AS n FROM named),"""
+    sql += "".join(nodes("a", k) for k in range(levels))
+    sql += f"""
+        b0 AS (SELECT '' AS t, t AS name, row_number() OVER (ORDER BY encode(t)) - 1 AS i, d, count(*) OVER () AS n FROM a{levels}),"""
+    sql += "".join(nodes("b", k) for k in range(levels))
+    sql += """
+        p0 AS (SELECT doc_id, leaf, t, i, '' AS proof, CASE WHEN (4294967295 - crc) % 5 = 0 THEN low ELSE leaf END AS fold FROM a0),"""
+    sql += "".join(paths(f"p{k}", "a", k, f"p{k + 1}") for k in range(levels))
+    sql += f"""
+        q0 AS (SELECT doc_id, leaf, b.d AS subroot, b.t, b.i, proof, fold FROM p{levels} p JOIN b0 b ON b.name = p.t),"""
+    sql += "".join(paths(f"q{k}", "b", k, f"q{k + 1}") for k in range(levels))
+    return sql + f"""
+        result AS (SELECT doc_id, leaf, subroot, b.d AS root, sha256(proof) AS proof_sha256, fold AS folded_root,
+          fold = b.d AS verified FROM q{levels} CROSS JOIN b{levels} b)
+        SELECT * FROM result"""
+
+
 SQL: dict[str, str] = {
+    "op12_merkle": _merkle_sql(),
     "op3_suffix_dedup": """
         WITH b AS (SELECT doc_id, hex(encode(coalesce(text, ''))) AS h FROM documents),
         w AS (SELECT doc_id, i, substr(h, 2 * i + 1, 100) AS s FROM (
