@@ -1,7 +1,7 @@
 """Documents linked by the Jaccard similarity of their word shingles, with skipping by set relations.
 
-A shingle is a 55-bit hash of its words.  Shingles are ordered by how many documents hold them,
-rarest first, and a set is indexed by the first ones only (prefix): two sets that link share one.
+A shingle is a 55-bit hash of its words.  Shingles are ordered by how many documents hold them (to a
+twelfth), rarest first, and a set is indexed by the first ones only (prefix): two sets that link share one.
 Three facts about sets save work, and none drops a link:
 
 * *Singles.*  A shingle of one document meets nothing.  It takes a position in its set, but no row.
@@ -63,34 +63,32 @@ def shingle_hashes(text: str, shingle: int, known: dict | None = None) -> np.nda
     return np.unique(out >> _U(64 - HASH_BITS))
 
 
+def _squeezed(values: np.ndarray) -> bytes:
+    """Whole numbers in as few bytes each as the largest takes, equal places of all together, compressed."""
+    width = max(1, (int(values.max()).bit_length() + 7) // 8) if len(values) else 1
+    places = values.astype("<u8").view(np.uint8).reshape(-1, 8)[:, :width].T.tobytes()
+    return len(places).to_bytes(8, "little") + bytes([width]) + pa.compress(places, "zstd", asbytes=True)
+
+
+def _restored(packed: bytes) -> np.ndarray:
+    size, width = int.from_bytes(packed[:8], "little"), packed[8]
+    places = pa.decompress(packed[9:], size, "zstd", asbytes=True)
+    full = np.zeros((size // width, 8), np.uint8)
+    full[:, :width] = np.frombuffer(places, np.uint8).reshape(width, -1).T
+    return full.view("<u8").ravel().astype(np.uint64, copy=False)
+
+
 def _packed(sorted_values: np.ndarray) -> bytes:
-    """The first of the sorted hashes, and the differences in as few bytes each as the largest takes."""
+    """The first of the sorted hashes, and their differences."""
     if not len(sorted_values):
         return b""
-    gaps = np.diff(sorted_values)
-    width = max(1, (int(gaps.max()).bit_length() + 7) // 8) if len(gaps) else 1
-    short = gaps.astype("<u8").view(np.uint8).reshape(-1, 8)[:, :width]
-    return bytes([width]) + int(sorted_values[0]).to_bytes(8, "little") + short.tobytes()
+    return int(sorted_values[0]).to_bytes(8, "little") + _squeezed(np.diff(sorted_values))
 
 
 def _unpacked(packed: bytes) -> np.ndarray:
     if not packed:
         return np.zeros(0, np.uint64)
-    width = packed[0]
-    short = np.frombuffer(packed, np.uint8, offset=9).reshape(-1, width)
-    full = np.zeros((len(short) + 1, 8), np.uint8)
-    full[0] = np.frombuffer(packed, np.uint8, 8, 1)
-    full[1:, :width] = short
-    return np.cumsum(full.view("<u8").ravel(), dtype=np.uint64)
-
-
-def _numbers(values: np.ndarray, dtype: str) -> bytes:
-    return values.astype(dtype).tobytes()
-
-
-def _docs(packed: bytes, n: int) -> np.ndarray:
-    """Documents of a block, in two or four bytes each."""
-    return np.frombuffer(packed, "<u2" if len(packed) == 2 * n else "<u4").astype(np.int64)
+    return np.cumsum(np.append(_U(int.from_bytes(packed[:8], "little")), _restored(packed[8:])), dtype=np.uint64)
 
 
 _ROW = "key long, block long, hashes binary, docs binary, n binary, ids array<{}>, sids array<binary>"
@@ -123,34 +121,34 @@ def _blocks(shingle: int, buckets: int):
                 several = np.repeat(count > 1, count)
                 owner = np.where(count > 1, 0, docs[start] + 1)
                 to = (found >> _U(HASH_BITS - 32)) * _U(buckets) >> _U(32)
-                narrow = "<u2" if len(sets) < 1 << 16 else "<u4"
                 cut = np.searchsorted(to, np.arange(buckets + 1))
-                rows = [(b, number, _packed(found[i:j]), _numbers(owner[i:j], narrow), _numbers(count[i:j], "<u4"), None, None)
+                rows = [(b, number, _packed(found[i:j]), _squeezed(owner[i:j]), _squeezed(count[i:j]), None, None)
                         for b, (i, j) in enumerate(zip(cut[:-1], cut[1:], strict=True)) if i < j]
-                rows.append((buckets + number, number, _packed(hashes[several]), _numbers(docs[several], narrow),
-                             _numbers(sizes, "<u4"), part.column("doc_id").to_pylist(), sids))
+                rows.append((buckets + number, number, _packed(hashes[several]), _squeezed(docs[several]),
+                             _squeezed(sizes), part.column("doc_id").to_pylist(), sids))
                 yield _batch(rows, part.schema.field("doc_id").type)
                 number += 1
     return run
 
 
 def _counted(buckets: int):
-    """The rows of a bucket, without hashes of one document and with the number of documents of the others."""
+    """The rows of a bucket, without hashes of one document and with a rank of the others: eight for each
+    doubling of the documents that hold them."""
     def run(table):
         if table.column("key")[0].as_py() >= buckets:
             return table
         rows = table.to_pylist()
         each = [_unpacked(r["hashes"]) for r in rows]
-        counts = [np.frombuffer(r["n"], "<u4") for r in rows]
+        counts = [_restored(r["n"]) for r in rows]
         found, at = np.unique(np.concatenate(each), return_inverse=True)
         df = np.bincount(at, weights=np.concatenate(counts)).astype(np.int64)
-        own, out = np.split(np.minimum(df, 2**32 - 1)[at], np.cumsum([len(e) for e in each])[:-1]), []
+        own, out = np.split(df[at], np.cumsum([len(e) for e in each])[:-1]), []
         for r, hashes, n in zip(rows, each, own, strict=True):
             kept = n > 1
             if kept.any():
-                docs = np.frombuffer(r["docs"], "<u2" if len(r["docs"]) == 2 * len(n) else "<u4")
-                out.append((r["key"], r["block"], _packed(hashes[kept]), docs[kept].tobytes(),
-                            _numbers(n[kept], "<u4"), None, None))
+                rank = np.floor(8 * np.log2(n[kept])).astype(np.int64)
+                out.append((r["key"], r["block"], _packed(hashes[kept]), _squeezed(_restored(r["docs"])[kept]),
+                            _squeezed(rank), None, None))
         return pa.Table.from_batches([_batch(out, table.schema.field("ids").type.value_type)])
     return run
 
@@ -161,24 +159,24 @@ def _prefixes(buckets: int, percent: int):
     def run(table):
         rows = table.to_pylist()
         home = next(r for r in rows if r["key"] >= buckets)
-        sizes = np.frombuffer(home["n"], "<u4").astype(np.int64)
+        sizes = _restored(home["n"]).astype(np.int64)
         back = [r for r in rows if r["key"] < buckets]
 
         def joined(parts, dtype):
             return np.concatenate([np.zeros(0, dtype), *parts])
 
         hashes = joined([_unpacked(r["hashes"]) for r in back], np.uint64)
-        owner = joined([_docs(r["docs"], len(r["n"]) // 4) for r in back], np.int64)
-        df = joined([np.frombuffer(r["n"], "<u4") for r in back], np.int64)
+        owner = joined([_restored(r["docs"]).astype(np.int64) for r in back], np.int64)
+        rank = joined([_restored(r["n"]).astype(np.int64) for r in back], np.int64)
         shared = _unpacked(home["hashes"])
-        shared_docs = _docs(home["docs"], len(shared))
+        shared_docs = _restored(home["docs"]).astype(np.int64)
         multi = np.flatnonzero(owner == 0)
         multi = multi[np.argsort(hashes[multi])]
         place = multi[np.searchsorted(hashes[multi], shared)]
         doc = np.concatenate([owner[owner > 0] - 1, shared_docs])
-        df = np.concatenate([df[owner > 0], df[place]])
+        rank = np.concatenate([rank[owner > 0], rank[place]])
         hashes = np.concatenate([hashes[owner > 0], shared])
-        order = np.lexsort((hashes, df, doc))
+        order = np.lexsort((hashes, rank, doc))
         doc, hashes = doc[order], hashes[order].view(np.int64)
         held = np.bincount(doc, minlength=len(sizes))
         first = np.cumsum(held) - held
