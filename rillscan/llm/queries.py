@@ -12,6 +12,7 @@ from . import (
     jaccard,
     manifest,
     packing,
+    ranked,
     repeats,
     secrets,
     sharding,
@@ -120,10 +121,14 @@ def op12_merkle(spark: SparkSession, sf_dir: str) -> DataFrame:
         "folded_root", (F.col("folded_root") == F.col("root")).alias("verified"))
 
 
+def op13_ranked_search(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return ranked.search(_table(spark, sf_dir, "documents"), _table(spark, sf_dir, "benchmark"), k=20)
+
+
 QUERIES = {f.__name__: f for f in (
     op1_fingerprints, op2_site_style_tree, op3_suffix_dedup, op4_histogram_shards, op5_simhash, op6_toxicity, op7_secrets,
     op8_token_counts, op9_decontamination, op10_packing, op11_jaccard,
-    op12_merkle)}
+    op12_merkle, op13_ranked_search)}
 
 
 def _merkle_sql(levels: int = 8) -> str:
@@ -172,6 +177,22 @@ def _merkle_sql(levels: int = 8) -> str:
 
 SQL: dict[str, str] = {
     "op12_merkle": _merkle_sql(),
+    "op13_ranked_search": r"""
+        WITH d AS (SELECT doc_id, unnest(regexp_extract_all(text, '[^\x00-\x2F\x3A-\x40\x5B-\x60\x7B-\x7F]+')) AS raw FROM documents),
+        dt AS (SELECT doc_id, translate(raw, 'ABCDEFGHIJKLMNOPQRSTUVWXYZ', 'abcdefghijklmnopqrstuvwxyz') AS term,
+                 count(*)::BIGINT AS tf FROM d GROUP BY ALL),
+        per_doc AS (SELECT doc_id, sum(tf)::BIGINT AS n FROM dt GROUP BY doc_id),
+        total AS (SELECT count(*)::BIGINT AS nn, sum(n)::BIGINT AS ll FROM per_doc),
+        q AS (SELECT item_id, unnest(regexp_extract_all(text, '[^\x00-\x2F\x3A-\x40\x5B-\x60\x7B-\x7F]+')) AS raw FROM benchmark),
+        qt AS (SELECT item_id, translate(raw, 'ABCDEFGHIJKLMNOPQRSTUVWXYZ', 'abcdefghijklmnopqrstuvwxyz') AS term,
+                 count(*)::BIGINT AS c FROM q GROUP BY ALL),
+        w AS (SELECT term, floor(1000 * ln((2 * nn + 2)::DOUBLE / (2 * count(*) + 1)))::BIGINT AS w
+              FROM dt CROSS JOIN total GROUP BY term, nn),
+        s AS (SELECT item_id, doc_id, sum(c * w * ((1000000000 * tf) // (1000 * tf + 12 * (75 + (25 * n * nn) // ll))))::BIGINT AS score
+              FROM qt JOIN dt USING (term) JOIN w USING (term) JOIN per_doc USING (doc_id) CROSS JOIN total GROUP BY ALL),
+        r AS (SELECT item_id, row_number() OVER (PARTITION BY item_id ORDER BY score DESC, doc_id)::INT AS rank, doc_id, score
+              FROM s WHERE score > 0)
+        SELECT * FROM r WHERE rank <= 20""",
     "op3_suffix_dedup": """
         WITH b AS (SELECT doc_id, hex(encode(coalesce(text, ''))) AS h FROM documents),
         w AS (SELECT doc_id, i, substr(h, 2 * i + 1, 100) AS s FROM (
