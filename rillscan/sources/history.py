@@ -6,7 +6,7 @@ from pyspark.sql.types import StringType, StructField, StructType
 
 from ..operators import history, report, tickets
 
-LOG_SPLITS = 32
+ROWS_PER_FILE = 5_000_000
 
 
 def run_rows(findings: DataFrame, runs: DataFrame, reviewed: bool) -> DataFrame:
@@ -20,18 +20,20 @@ def record(findings: DataFrame, runs: DataFrame, root: str, batch: str,
     """Add runs and their findings (``repo, run_id`` and the finding columns) to the history.
 
     The caller gives the run ids, so nothing is read back.  A batch has a folder of its own
-    and replaces it: a job that is run again after a failure leaves no doubles.  Rows of one
-    repository are dealt to several tasks, since one repository may hold much of the batch.
+    and replaces it: a job that is run again after a failure leaves no doubles.
     """
-    log = history.log_rows(findings, store_code)
-    split = F.pmod(F.xxhash64("fingerprint", "run_id", "line"), F.lit(LOG_SPLITS))
-    _write(log.withColumn("split", split).repartition("repo", "split").drop("split"),
-           root, "findings_log", batch)
+    _write(history.log_rows(findings, store_code), root, "findings_log", batch)
     _write(run_rows(findings, runs, reviewed), root, "runs", batch)
 
 
 def _write(rows: DataFrame, root: str, name: str, batch: str) -> None:
-    rows.write.mode("overwrite").partitionBy("repo").parquet(f"{root}/{name}/batch={batch}")
+    """A file for each repository, and more only for what is measured to be large.
+
+    Rebalancing leaves the sizes to Spark: small repositories share a task, and one that holds
+    much of the batch is split over several.
+    """
+    rows.hint("rebalance", "repo").write.mode("overwrite").option("maxRecordsPerFile", ROWS_PER_FILE).partitionBy(
+        "repo").parquet(f"{root}/{name}/batch={batch}")
 
 
 def read(spark: SparkSession, root: str, name: str, repo: str | None = None) -> DataFrame:

@@ -98,23 +98,59 @@ def test_deltas_by_brute_force_with_a_hot_repository(spark):
         assert (r.introduced, r.fixed) == (len(now - was), len(was - now))
 
 
-def test_record_and_read(spark, two_runs, tmp_path):
-    runs, log = two_runs
+def test_record_and_read(spark, runs_and_log, tmp_path):
+    """Batches of one run each; one is recorded three times, at last with a model's review and with its code."""
+    runs, log = runs_and_log
+    root = str(tmp_path)
+
+    def record(run, **how):
+        store.record(log.where(F.col("run_id") == run), runs.where(F.col("run_id") == run), root, f"b{run}", **how)
+
+    record(10, store_code=False)
+    record(20)
+    for how in ({}, {"store_code": False}, {"reviewed": True}):
+        record(30, **how)
+
+    def saved(name, repo=None):
+        return store.read(spark, root, name, repo)
+
+    # identity comes from the code, kept or not
+    assert sorted((r.run_id, r.fingerprint) for r in saved("findings_log").collect()) == sorted(
+        (r.run_id, r.fingerprint) for r in log.collect())
+    codes = {run: {r.code for r in saved("findings_log", "a").where(F.col("run_id") == run).collect()} for run in (10, 20, 30)}
+    assert codes == {10: {""}, 20: {"one", "five"}, 30: {"one", "two", "six"}}
+    assert saved("findings_log", "clean").count() == 0
+
+    kept = {(r.repo, r.run_id): r for r in saved("runs").collect()}
+    assert {k: r.engine for k, r in kept.items()} == {
+        ("a", 10): "static", ("a", 20): "static", ("a", 30): "static+llm", ("clean", 10): "static"}
+    assert {k: r.total for k, r in kept.items()} == {("a", 10): 3, ("a", 20): 2, ("a", 30): 3, ("clean", 10): 0}
+    assert (kept["a", 30].critical, kept["a", 30].info, kept["a", 20].critical) == (1, 1, 0)
+    assert [kept["a", n].commit_sha for n in (10, 20, 30)] == ["sha10", "sha20", "sha30"]
+
+    # what was computed from memory comes out of the tables as well
+    for of in (history.fix_rate, history.run_history):
+        rows = [sorted(map(str, of(*tables).select(*columns).collect())) for tables in
+                [(runs, log), (saved("runs").select(*runs.columns), saved("findings_log"))]
+                for columns in [("repo", "distinct", "open") if of is history.fix_rate else ("repo", "run_id", "introduced", "fixed")]]
+        assert rows[0] == rows[1]
+
+
+def _files(root, name, batch):
+    return sorted(os.path.relpath(os.path.join(folder, f), root) for folder, _, names in os.walk(f"{root}/{name}/batch={batch}")
+                  for f in names if f.endswith(".parquet"))
+
+
+def test_files_of_a_batch_follow_its_size(spark, tmp_path, monkeypatch):
     root = str(tmp_path)
-    for run in (1, 2, 2):  # a batch that is recorded again replaces itself
-        store.record(log.where(F.col("run_id") == run), runs.where(F.col("run_id") == run), root,
-                     f"run{run}", reviewed=run == 2, store_code=run == 1)
-    saved = store.read(spark, root, "findings_log", "a")
-    assert saved.where("run_id = 1").where("code = ''").count() == 0
-    assert saved.where("run_id = 2").where("code <> ''").count() == 0
-    assert sorted(r.fingerprint for r in saved.collect()) == sorted(
-        r.fingerprint for r in log.collect())
-    kept = {(r.repo, r.run_id): r for r in store.read(spark, root, "runs").collect()}
-    assert kept["a", 1].engine == "static" and kept["a", 2].engine == "static+llm"
-    assert kept["empty", 1].total == 0 and kept["a", 2].critical == 1
-    rate = {r.repo: r.fix_rate for r in history.fix_rate(
-        store.read(spark, root, "runs"), store.read(spark, root, "findings_log")).collect()}
-    assert rate == {"a": 0.25, "empty": 0.0}
+    runs = _runs(spark, [(f"r{i}", 1) for i in range(12)])
+    log = _log(spark, [(f"r{i % 12}", 1, f"x{i}", "c", "LOW") for i in range(2400)]).repartition(8)
+    store.record(log, runs, root, "small")
+    assert len(_files(root, "findings_log", "small")) == len(_files(root, "runs", "small")) == 12
+    monkeypatch.setattr(store, "ROWS_PER_FILE", 50)
+    store.record(log, runs, root, "large")
+    assert len(_files(root, "findings_log", "large")) == 12 * 4
+    assert store.read(spark, root, "findings_log").count() == 4800
 
 
 def _findings(spark, rows):
