@@ -27,23 +27,34 @@ def _with(*parts: str) -> str:
 
 _TEMPLATES = ",\n".join(f"({_text(e)}, {_list(rows)})" for e, rows in TEMPLATES.items())
 
-CORPUS = f"""
+
+
+def _corpus(documents: str) -> str:
+    """``before`` goes before a path, ``shift`` moves the choice of templates."""
+    return f"""
 tpl(ext, tpls) AS (VALUES {_TEMPLATES}),
 docs AS (
-  SELECT doc_id, 'repo' || (doc_id % 10) AS repo,
+  SELECT doc_id, 'repo' || (doc_id % 10) AS repo, before, shift,
          list_extract({_list(EXTENSIONS)}, (doc_id % 8 + 1)::INT) AS ext,
          string_split(replace(text, chr(10), ' '), ' ') AS words
-  FROM documents),
+  FROM ({documents})),
 cl AS (
-  SELECT repo, 'src/f' || doc_id || ext AS path, ext, i AS line,
+  SELECT repo, before || 'src/f' || doc_id || ext AS path, ext, i AS line,
          repeat('  ', ((length(w) * 5 + i - 1) % 5)::INT)
-         || list_extract(tpls, ((length(w) * 7 + (i - 1) * 3 + doc_id) % len(tpls) + 1)::INT) AS raw
-  FROM (SELECT doc_id, repo, ext, unnest(words) AS w,
+         || list_extract(tpls, ((length(w) * 7 + (i - 1) * 3 + doc_id + shift) % len(tpls) + 1)::INT) AS raw
+  FROM (SELECT doc_id, before, shift, repo, ext, unnest(words) AS w,
                unnest(range(1, len(words) + 1)) AS i FROM docs)
   JOIN tpl USING (ext)),
 li AS (SELECT *, trim(raw) AS s FROM cl)
 """
 
+
+CORPUS = _corpus("SELECT *, '' AS before, 0 AS shift FROM documents")
+# Both heads at once: files go by head and path, and every third one differs at the second head.
+HEADS = _corpus("""SELECT *, head || ':' AS before, (head = 'c1' AND doc_id % 3 = 0)::INT AS shift
+  FROM documents CROSS JOIN (VALUES ('c0'), ('c1')) h(head)""")
+AT_HEADS = "heads AS (SELECT * REPLACE (substr(path, 4) AS path), left(path, 2) AS commit_sha FROM found)"
+
 BRACES = """
 ev AS (
   SELECT repo, path, line, 0 AS col, NULL AS mark,
@@ -282,6 +293,7 @@ def _findings(*prefixes: str, only=None) -> str:
 
 _SHOWN = "repo, path, line, rule_id, category, severity, code"
 _SCAN = (CORPUS, BRACES, INDENT, ANNOTATED)
+_SCAN_HEADS = (HEADS, BRACES, INDENT, ANNOTATED, _findings(), AT_HEADS)
 
 
 def _scan(*prefixes, only=None, select=f"SELECT {_SHOWN} FROM found") -> str:
@@ -556,15 +568,16 @@ def sql() -> dict[str, str]:
         "changed_scope_semi": _with(*_SCAN, _findings(), CHANGED) + f"""
             SELECT {_SHOWN} FROM found f WHERE EXISTS (SELECT 1 FROM changed c
               WHERE c.repo = f.repo AND c.path = f.path AND c.line = f.line)""",
-        "changed_review_commits": _with(*_SCAN, _findings(), CHANGED) + f"""
-            SELECT commit_sha, {_SHOWN} FROM found JOIN (
+        "scan_incremental": _with(*_SCAN_HEADS) + f"SELECT commit_sha, {_SHOWN} FROM heads",
+        "changed_review_commits": _with(*_SCAN_HEADS, CHANGED) + f"""
+            SELECT commit_sha, {_SHOWN} FROM heads JOIN (
               SELECT DISTINCT repo, 'c' || (push_id % 2) AS commit_sha, path, line FROM changed) c
-            USING (repo, path, line)""",
-        "review_gate": _with(*_SCAN, _findings(), CHANGED) + """
+            USING (repo, commit_sha, path, line)""",
+        "review_gate": _with(*_SCAN_HEADS, CHANGED) + """
             , touched AS (SELECT DISTINCT repo, 'c' || (push_id % 2) AS commit_sha, path, line FROM changed),
-            kept AS (SELECT f.repo, commit_sha, CASE WHEN f.line % 3 = 1 THEN 'CRITICAL' ELSE severity END AS sev
-                     FROM found f JOIN touched USING (repo, path, line)
-                     WHERE rule_id <> 'sql.select_star' AND f.line % 3 <> 0)
+            kept AS (SELECT repo, commit_sha, CASE WHEN line % 3 = 1 THEN 'CRITICAL' ELSE severity END AS sev
+                     FROM heads f JOIN touched USING (repo, commit_sha, path, line)
+                     WHERE rule_id <> 'sql.select_star' AND line % 3 <> 0)
             SELECT r.repo, r.commit_sha, count(sev) AS total, count(*) FILTER (sev = 'CRITICAL') AS critical,
                    count(*) FILTER (sev = 'HIGH') AS high, count(*) FILTER (sev = 'MEDIUM') AS medium,
                    count(*) FILTER (sev = 'LOW') AS low, count(*) FILTER (sev = 'INFO') AS info,

@@ -108,22 +108,27 @@ def sources(spark: SparkSession, sf_dir: str) -> DataFrame:
     """``repo, path, content``: each document becomes a file, each word a line."""
     docs = spread(
         table(spark, sf_dir, "documents").select("doc_id", "text"), "doc_id")
+    return _files_of(docs.withColumn("shift", F.lit(0)))
+
+
+def _files_of(docs: DataFrame, *keep: str) -> DataFrame:
+    """``shift`` moves the choice of templates, so the same words make other lines."""
     ext = extension_of(F.col("doc_id"))
     by_ext = F.create_map(*[
         x for name, lines in TEMPLATES.items()
         for x in (F.lit(name), F.array(*map(F.lit, lines)))])
     docs = docs.select(
-        "doc_id", "text", ext.alias("ext"), F.element_at(by_ext, ext).alias("lines"))
+        "doc_id", "text", "shift", *keep, ext.alias("ext"), F.element_at(by_ext, ext).alias("lines"))
 
     def line(word, i):
-        pick = (F.length(word) * 7 + i * 3 + F.col("doc_id")) % F.size("lines") + 1
+        pick = (F.length(word) * 7 + i * 3 + F.col("doc_id") + F.col("shift")) % F.size("lines") + 1
         return F.concat(
             F.repeat(F.lit("  "), (F.length(word) * 5 + i) % 5),
             F.element_at(F.col("lines"), pick.cast("int")))
 
     words = F.split(F.translate("text", "\n", " "), " ", -1)
     return docs.select(
-        repo_of(F.col("doc_id")).alias("repo"),
+        repo_of(F.col("doc_id")).alias("repo"), *keep,
         path_of(F.col("doc_id")).alias("path"),
         F.array_join(F.transform(words, line), "\n").alias("content"))
 
@@ -138,9 +143,12 @@ def broken_sources(spark: SparkSession, sf_dir: str) -> DataFrame:
 HEADS = ("c0", "c1")
 
 
-def at_heads(files: DataFrame) -> DataFrame:
-    """Every file at each of the heads."""
-    return files.withColumn("commit_sha", F.explode(F.array(*map(F.lit, HEADS))))
+def at_heads(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Every file at each of the heads; every third one has another content at the second."""
+    docs = spread(table(spark, sf_dir, "documents").select("doc_id", "text"), "doc_id")
+    docs = docs.withColumn("commit_sha", F.explode(F.array(*map(F.lit, HEADS))))
+    moved = (F.col("commit_sha") == HEADS[1]) & (F.col("doc_id") % 3 == 0)
+    return _files_of(docs.withColumn("shift", moved.cast("int")), "commit_sha")
 
 
 def heads(pushes: DataFrame, number: Column) -> DataFrame:

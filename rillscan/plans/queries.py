@@ -7,6 +7,7 @@ from ..functions import text
 from ..operators import (history, lines, policy, report, retrieval, scan, scope, tickets,
                          verdicts)
 from ..rules import CATALOGUE, RuleSpec, rules_for
+from ..sources import contents
 from ..sources import diffs as diff_source
 from ..sources import notes as note_source
 from . import corpus, review
@@ -102,6 +103,13 @@ def detector_errors(spark, sf):
     return found.where(F.col("rule_id").startswith("engine.")).select(*SHOWN, "title")
 
 
+def scan_incremental(spark, sf):
+    """Two heads into one store: the second scan sees the contents that the first did not have."""
+    files, store = corpus.at_heads(spark, sf), contents.ContentStore.new(spark)
+    store.scan(files.where(F.col("commit_sha") == corpus.HEADS[0]), "first")
+    return store.scan(files, "second").select("commit_sha", *SHOWN)
+
+
 # --- changes and policy -------------------------------------------------------------------
 
 def diff_changed_lines(spark, sf):
@@ -116,9 +124,9 @@ def changed_scope_semi(spark, sf):
 
 
 def changed_review_commits(spark, sf):
-    """Findings on the lines changed at each of two heads, where every file has one content a head."""
+    """Findings on the lines changed at each of two heads, at which some files differ."""
     changed = diff_source.changed_lines(corpus.heads(corpus.diffs(spark, sf), F.col("push_id")))
-    files = corpus.at_heads(corpus.sources(spark, sf))
+    files = corpus.at_heads(spark, sf)
     rules = review.ReviewPolicy(ignore_paths=["f1/"])
     return review.review(files, changed, rules).select("commit_sha", *SHOWN)
 
@@ -131,7 +139,7 @@ def review_gate(spark, sf):
         F.col("line") % 3 == 1, 'Sure: {"severity": "critical"}.').otherwise("no idea"))
     runs = at.select("repo", "commit_sha").distinct()
     rules = review.ReviewPolicy(fail_on="HIGH", ignore_rules=["sql.select_star"])
-    rows = review.gated(corpus.at_heads(corpus.sources(spark, sf)), changed, answers, runs, rules)
+    rows = review.gated(corpus.at_heads(spark, sf), changed, answers, runs, rules)
     return rows.select("repo", "commit_sha", "total", *history.COUNTS, "failed")
 
 
@@ -377,6 +385,7 @@ QUERIES = {
     "first_hit_per_file": first_hit_per_file,
     "user_rule": user_rule,
     "detector_errors": detector_errors,
+    "scan_incremental": scan_incremental,
     "diff_changed_lines": diff_changed_lines,
     "changed_scope_semi": changed_scope_semi,
     "changed_review_commits": changed_review_commits,
