@@ -28,6 +28,7 @@ from pyspark.sql import functions as F
 
 from .components import components
 from .shared import partitions, pieces, texts, written
+from .squeeze import restored, squeezed
 
 BUCKET_BYTES, BLOCK_BYTES = 64 << 20, 8 << 20
 """Text whose hashes are counted in one task, and text of one block."""
@@ -63,32 +64,17 @@ def shingle_hashes(text: str, shingle: int, known: dict | None = None) -> np.nda
     return np.unique(out >> _U(64 - HASH_BITS))
 
 
-def _squeezed(values: np.ndarray) -> bytes:
-    """Whole numbers in as few bytes each as the largest takes, equal places of all together, compressed."""
-    width = max(1, (int(values.max()).bit_length() + 7) // 8) if len(values) else 1
-    places = values.astype("<u8").view(np.uint8).reshape(-1, 8)[:, :width].T.tobytes()
-    return len(places).to_bytes(8, "little") + bytes([width]) + pa.compress(places, "zstd", asbytes=True)
-
-
-def _restored(packed: bytes) -> np.ndarray:
-    size, width = int.from_bytes(packed[:8], "little"), packed[8]
-    places = pa.decompress(packed[9:], size, "zstd", asbytes=True)
-    full = np.zeros((size // width, 8), np.uint8)
-    full[:, :width] = np.frombuffer(places, np.uint8).reshape(width, -1).T
-    return full.view("<u8").ravel().astype(np.uint64, copy=False)
-
-
 def _packed(sorted_values: np.ndarray) -> bytes:
     """The first of the sorted hashes, and their differences."""
     if not len(sorted_values):
         return b""
-    return int(sorted_values[0]).to_bytes(8, "little") + _squeezed(np.diff(sorted_values))
+    return int(sorted_values[0]).to_bytes(8, "little") + squeezed(np.diff(sorted_values))
 
 
 def _unpacked(packed: bytes) -> np.ndarray:
     if not packed:
         return np.zeros(0, np.uint64)
-    return np.cumsum(np.append(_U(int.from_bytes(packed[:8], "little")), _restored(packed[8:])), dtype=np.uint64)
+    return np.cumsum(np.append(_U(int.from_bytes(packed[:8], "little")), restored(packed[8:])), dtype=np.uint64)
 
 
 _ROW = "key long, block long, hashes binary, docs binary, n binary, ids array<{}>, sids array<binary>"
@@ -122,10 +108,10 @@ def _blocks(shingle: int, buckets: int):
                 owner = np.where(count > 1, 0, docs[start] + 1)
                 to = (found >> _U(HASH_BITS - 32)) * _U(buckets) >> _U(32)
                 cut = np.searchsorted(to, np.arange(buckets + 1))
-                rows = [(b, number, _packed(found[i:j]), _squeezed(owner[i:j]), _squeezed(count[i:j]), None, None)
+                rows = [(b, number, _packed(found[i:j]), squeezed(owner[i:j]), squeezed(count[i:j]), None, None)
                         for b, (i, j) in enumerate(zip(cut[:-1], cut[1:], strict=True)) if i < j]
-                rows.append((buckets + number, number, _packed(hashes[several]), _squeezed(docs[several]),
-                             _squeezed(sizes), part.column("doc_id").to_pylist(), sids))
+                rows.append((buckets + number, number, _packed(hashes[several]), squeezed(docs[several]),
+                             squeezed(sizes), part.column("doc_id").to_pylist(), sids))
                 yield _batch(rows, part.schema.field("doc_id").type)
                 number += 1
     return run
@@ -139,7 +125,7 @@ def _counted(buckets: int):
             return table
         rows = table.to_pylist()
         each = [_unpacked(r["hashes"]) for r in rows]
-        counts = [_restored(r["n"]) for r in rows]
+        counts = [restored(r["n"]) for r in rows]
         found, at = np.unique(np.concatenate(each), return_inverse=True)
         df = np.bincount(at, weights=np.concatenate(counts)).astype(np.int64)
         own, out = np.split(df[at], np.cumsum([len(e) for e in each])[:-1]), []
@@ -147,8 +133,8 @@ def _counted(buckets: int):
             kept = n > 1
             if kept.any():
                 rank = np.floor(8 * np.log2(n[kept])).astype(np.int64)
-                out.append((r["key"], r["block"], _packed(hashes[kept]), _squeezed(_restored(r["docs"])[kept]),
-                            _squeezed(rank), None, None))
+                out.append((r["key"], r["block"], _packed(hashes[kept]), squeezed(restored(r["docs"])[kept]),
+                            squeezed(rank), None, None))
         return pa.Table.from_batches([_batch(out, table.schema.field("ids").type.value_type)])
     return run
 
@@ -159,17 +145,17 @@ def _prefixes(buckets: int, percent: int):
     def run(table):
         rows = table.to_pylist()
         home = next(r for r in rows if r["key"] >= buckets)
-        sizes = _restored(home["n"]).astype(np.int64)
+        sizes = restored(home["n"]).astype(np.int64)
         back = [r for r in rows if r["key"] < buckets]
 
         def joined(parts, dtype):
             return np.concatenate([np.zeros(0, dtype), *parts])
 
         hashes = joined([_unpacked(r["hashes"]) for r in back], np.uint64)
-        owner = joined([_restored(r["docs"]).astype(np.int64) for r in back], np.int64)
-        rank = joined([_restored(r["n"]).astype(np.int64) for r in back], np.int64)
+        owner = joined([restored(r["docs"]).astype(np.int64) for r in back], np.int64)
+        rank = joined([restored(r["n"]).astype(np.int64) for r in back], np.int64)
         shared = _unpacked(home["hashes"])
-        shared_docs = _restored(home["docs"]).astype(np.int64)
+        shared_docs = restored(home["docs"]).astype(np.int64)
         multi = np.flatnonzero(owner == 0)
         multi = multi[np.argsort(hashes[multi])]
         place = multi[np.searchsorted(hashes[multi], shared)]
@@ -287,7 +273,7 @@ def _roots(sets: DataFrame, percent: int) -> DataFrame:
         "hash", "sid", "size", "at", "n", F.col("p.sid").alias("pivot"), F.col("p.size").alias("p_size"),
         F.col("p.at").alias("p_at")).where("sid <> pivot"))
     wanted = listed.select("sid").union(listed.select("pivot")).distinct()
-    held = written(sets.select("sid", "held").join(wanted, "sid", "left_semi").dropDuplicates(["sid"]))
+    held = written(sets.select("sid", "held").dropDuplicates(["sid"]).join(wanted, "sid", "left_semi"))
 
     # every set of a list of three or more is compared with the pivot, for the bounds
     met = listed.where((F.col("n") > 2) | _may_link("size", "at", "p_size", "p_at", percent)).select(
