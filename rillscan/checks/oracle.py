@@ -525,7 +525,7 @@ def sql() -> dict[str, str]:
     recent = _with(HISTORY, _SHOWN_RUNS, COUNTS, _DELTAS.format(runs="recent"))
     queue = _with(HISTORY, TICKETS)
     verdict_cols = "event_id, is_verdict, v_confirmed, v_explanation, v_severity, v_fix"
-    return {
+    out = {
         "lines_explode": _with(CORPUS) + "SELECT repo, path, line, raw FROM cl",
         "code_lines_kept": _with(CORPUS) + f"""
             SELECT repo, path, ruleset, count(*) AS n
@@ -607,6 +607,12 @@ def sql() -> dict[str, str]:
                      FROM newest JOIN fps USING (repo) GROUP BY ALL)
             SELECT repo, "distinct", "open", resolved, round(resolved / "distinct", 6) AS fix_rate, runs,
                    round_even(resolved / "distinct" * 100, 0)::INT AS percent FROM sums""",
+        "lifecycle_intervals": _with(HISTORY) + """,
+            placed AS (SELECT n.repo, fingerprint, run_ord, run_ord - row_number() OVER (
+                     PARTITION BY n.repo, fingerprint ORDER BY run_ord) AS island FROM seen JOIN numbered n USING (repo, run_id)),
+            latest AS (SELECT repo, max(run_ord) AS latest FROM numbered GROUP BY repo)
+            SELECT repo, fingerprint, min(run_ord)::INT AS from_ord, nullif(max(run_ord), any_value(latest))::INT AS to_ord
+            FROM placed JOIN latest USING (repo) GROUP BY repo, fingerprint, island""",
         "gate_verdict": _with(HISTORY) + """
             SELECT r.repo, r.run_id, coalesce(bool_or(l.severity IN ('HIGH', 'CRITICAL')), false) AS failed
             FROM runs r LEFT JOIN log l USING (repo, run_id) GROUP BY ALL""",
@@ -719,3 +725,5 @@ def sql() -> dict[str, str]:
                    round(total / greatest(max(total) OVER (PARTITION BY repo), 1), 6) AS height,
                    round(critical / greatest(total, 1), 6) AS critical_share FROM shown""",
     }
+    out["lifecycle_deltas"], out["lifecycle_fix_rate"] = out["run_deltas"], out["fix_rate"]
+    return out

@@ -10,6 +10,7 @@ from ..rules import CATALOGUE, RuleSpec, rules_for
 from ..sources import contents
 from ..sources import diffs as diff_source
 from ..sources import notes as note_source
+from ..sources.lifecycle import LifecycleTable
 from . import corpus, review
 
 SHOWN = ("repo", "path", "line", "rule_id", "category", "severity", "code")
@@ -193,6 +194,34 @@ def fix_rate(spark, sf):
         "fix_rate": F.round("fix_rate", 6)})
 
 
+def _lifecycle(spark, sf):
+    """Three batches, by the time of their runs, into a table of intervals."""
+    runs, log = _history(spark, sf)
+    table, cuts = LifecycleTable.new(spark), (0, 1_704_931_200, 1_705_795_200, 1 << 40)
+    for begin, end in zip(cuts[:-1], cuts[1:], strict=True):
+        of_batch = (F.col("run_id") >= begin) & (F.col("run_id") < end)
+        table.add(runs.where(of_batch), log.where(of_batch))
+    return table
+
+
+def lifecycle_deltas(spark, sf):
+    return _lifecycle(spark, sf).deltas().select("repo", "run_id", "introduced", "fixed")
+
+
+def lifecycle_fix_rate(spark, sf):
+    return _lifecycle(spark, sf).fix_rate().withColumns({
+        "percent": report.whole_percent(F.col("fix_rate")),
+        "fix_rate": F.round("fix_rate", 6)})
+
+
+def lifecycle_intervals(spark, sf):
+    """Every interval, closed or open (``to_ord`` null)."""
+    versions = _lifecycle(spark, sf).versions
+    opened = versions.read("state").where("open_from IS NOT NULL").select(
+        "repo", "fingerprint", F.col("open_from").alias("from_ord"), F.lit(None).cast("int").alias("to_ord"))
+    return versions.read("closed").unionByName(opened)
+
+
 def gate_verdict(spark, sf):
     runs, log = _history(spark, sf)
     return history.gate(runs, log, "HIGH").select("repo", "run_id", "failed")
@@ -398,6 +427,9 @@ QUERIES = {
     "run_deltas": run_deltas,
     "run_history": run_history,
     "fix_rate": fix_rate,
+    "lifecycle_deltas": lifecycle_deltas,
+    "lifecycle_fix_rate": lifecycle_fix_rate,
+    "lifecycle_intervals": lifecycle_intervals,
     "gate_verdict": gate_verdict,
     "latest_runs_topn": latest_runs_topn,
     "ticket_queue": ticket_queue,

@@ -5,6 +5,7 @@ from pyspark.sql import functions as F
 from pyspark.sql.types import StringType, StructField, StructType
 
 from ..operators import history, report, tickets
+from .versions import Versions
 
 ROWS_PER_FILE = 5_000_000
 
@@ -52,26 +53,19 @@ def utc_now():
 
 
 def read_tickets(spark: SparkSession, root: str) -> tuple[DataFrame | None, int]:
-    """The newest complete version of the ticket table and its number; (None, 0) if there is none.
-
-    A version is complete when its writer has left the mark of success.
-    """
-    done = spark.sparkContext._jvm.org.apache.hadoop.fs.Path(f"{root}/version=*/_SUCCESS")
-    fs = done.getFileSystem(spark.sparkContext._jsc.hadoopConfiguration())
-    found = [s.getPath().getParent() for s in fs.globStatus(done) or []]
-    if not found:
-        return None, 0
-    newest = max(found, key=lambda p: int(p.getName().split("=")[1]))
-    return spark.read.parquet(newest.toString()), int(newest.getName().split("=")[1])
+    """The newest complete version of the ticket table and its number; (None, 0) if there is none."""
+    versions = Versions(spark, root)
+    number = versions.number()
+    return versions.read("tickets", number), number
 
 
 def save_tickets(spark: SparkSession, filed: DataFrame, root: str) -> int:
     """Put ``filed`` into the ticket table as a new version and return its number.
 
-    The version before stays as it is.  Two writers that start from one version want the same
-    folder, and the second fails instead of losing what the first has filed.
+    Only the buckets of the tickets filed are rewritten.  Two writers that start from one version want
+    the same next one, and the second fails instead of losing what the first has filed.
     """
-    old, number = read_tickets(spark, root)
-    table = filed.select(*tickets.TICKET) if old is None else tickets.upsert(old, filed)
-    table.write.mode("errorifexists").parquet(f"{root}/version={number + 1}")
-    return number + 1
+    change = Versions(spark, root).change()
+    change.upsert("tickets", filed.select(*tickets.TICKET), ["fingerprint"],
+                  lambda old, new: new if old is None else tickets.upsert(old, new))
+    return change.commit()
