@@ -1,16 +1,19 @@
 """The registered queries: each runs one operator or plan over the whole supplied tables."""
 
+import uuid
+
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from ..functions import text
-from ..operators import (history, lines, policy, report, retrieval, scan, scope, tickets,
-                         verdicts)
+from ..operators import (history, lines, policy, pruned, report, retrieval, scan, scope,
+                         tickets, verdicts)
 from ..rules import CATALOGUE, RuleSpec, rules_for
 from ..sources import contents
 from ..sources import diffs as diff_source
 from ..sources import notes as note_source
 from ..sources.lifecycle import LifecycleTable
+from ..sources.shared import work_folder
 from . import corpus, review
 
 SHOWN = ("repo", "path", "line", "rule_id", "category", "severity", "code")
@@ -288,6 +291,14 @@ def kb_top2(spark, sf):
     return best.select("q_id", "note_ord", F.round("score", 6).alias("score"), "rank")
 
 
+def kb_top2_pruned(spark, sf):
+    """The same from an index with bounds."""
+    queries = corpus.spread(corpus.queries(spark, sf))
+    index = pruned.NoteIndex.of(corpus.notes(spark, sf)).stored(f"{work_folder(spark)}/notes-{uuid.uuid4().hex}")
+    best = pruned.best_notes(queries, "q_id", index)
+    return best.select("q_id", "note_ord", F.round("score", 6).alias("score"), "rank")
+
+
 def kb_references(spark, sf):
     """Topics for each rule, over the built-in notes and the supplied passages."""
     indexed = corpus.notes(spark, sf).select(
@@ -440,6 +451,7 @@ QUERIES = {
     "term_frequency": term_frequency,
     "document_frequency": document_frequency,
     "kb_top2": kb_top2,
+    "kb_top2_pruned": kb_top2_pruned,
     "kb_references": kb_references,
     "knowledge_base": knowledge_base,
     "greedy_chunks": greedy_chunks,
