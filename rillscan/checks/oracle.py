@@ -556,6 +556,18 @@ def sql() -> dict[str, str]:
             SELECT {_SHOWN} FROM found UNION ALL
             SELECT repo, path, line, 'own.return_in_loop', 'ALGORITHMIC', 'LOW', s FROM an
             WHERE ext = '.py' AND dep > 0 AND starts_with(s, 'return')"""),
+        "user_udtf_rule": _with(CORPUS) + """
+            SELECT repo, path, line, 'own.third_time' AS rule_id, 'ALGORITHMIC' AS category, 'LOW' AS severity, s AS code,
+                   'Repeated line' AS title
+            FROM (SELECT *, row_number() OVER (PARTITION BY path, s ORDER BY line) AS nth FROM li)
+            WHERE ext IN ('.py', '.sql') AND s <> '' AND nth = 3
+            UNION ALL
+            SELECT repo, path, CASE WHEN line % 7 = 0 THEN 1 ELSE line END,
+                   CASE WHEN line % 7 = 0 THEN 'engine.detector_error' ELSE 'own.last_line' END,
+                   CASE WHEN line % 7 = 0 THEN 'INFO' ELSE 'MEMORY' END, CASE WHEN line % 7 = 0 THEN 'INFO' ELSE 'MEDIUM' END,
+                   CASE WHEN line % 7 = 0 THEN '' ELSE s END,
+                   CASE WHEN line % 7 = 0 THEN 'Detector error on ' || path ELSE 'Last line' END
+            FROM li WHERE ext IN ('.sql', '.txt') QUALIFY row_number() OVER (PARTITION BY path ORDER BY line DESC) = 1""",
         "detector_errors": f"""
             SELECT repo, path, 1 AS line, 'engine.detector_error' AS rule_id, 'INFO' AS category,
                    'INFO' AS severity, '' AS code, 'Detector error on ' || path AS title

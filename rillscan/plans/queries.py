@@ -6,8 +6,9 @@ from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from ..functions import text
-from ..operators import (history, lines, policy, pruned, report, retrieval, scan, scope,
+from ..operators import (history, lines, own_rules, policy, pruned, report, retrieval, scan, scope,
                          tickets, verdicts)
+from ..operators.own_rules import FileRule
 from ..rules import CATALOGUE, RuleSpec, rules_for
 from ..sources import contents
 from ..sources import diffs as diff_source
@@ -102,6 +103,29 @@ def user_rule(spark, sf):
     return scan.scan(corpus.sources(spark, sf), rules_for("python") + [own]).select(*SHOWN)
 
 
+def user_udtf_rule(spark, sf):
+    """Two rules in Python; one raises on some files."""
+    def third_time(path, content):
+        """Lines that a file has for the third time."""
+        seen = {}
+        for number, row in enumerate(content.split("\n"), 1):
+            row = row.strip(" ")
+            seen[row] = seen.get(row, 0) + 1
+            if row and seen[row] == 3:
+                yield number, row
+
+    def last_line(path, content):
+        rows = content.split("\n")
+        if len(rows) % 7 == 0:
+            raise ValueError("a multiple of seven")
+        yield len(rows), rows[-1].strip(" ")
+
+    rules = [
+        FileRule("own.third_time", (".py", ".sql"), third_time, "Repeated line", "ALGORITHMIC", "LOW", "It is there twice.", "Name it."),
+        FileRule("own.last_line", (".sql", ".txt"), last_line, "Last line", "MEMORY", "MEDIUM", "It is the last.", "Look at it.")]
+    return own_rules.own_findings(corpus.sources(spark, sf), rules).select(*SHOWN, "title")
+
+
 def detector_errors(spark, sf):
     found = scan.scan(corpus.broken_sources(spark, sf))
     return found.where(F.col("rule_id").startswith("engine.")).select(*SHOWN, "title")
@@ -424,6 +448,7 @@ QUERIES = {
     "findings_by_severity": findings_by_severity,
     "first_hit_per_file": first_hit_per_file,
     "user_rule": user_rule,
+    "user_udtf_rule": user_udtf_rule,
     "detector_errors": detector_errors,
     "scan_incremental": scan_incremental,
     "diff_changed_lines": diff_changed_lines,
