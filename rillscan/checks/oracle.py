@@ -738,5 +738,5 @@ def sql() -> dict[str, str]:
                    round(critical / greatest(total, 1), 6) AS critical_share FROM shown""",
     }
     out["lifecycle_deltas"], out["lifecycle_fix_rate"] = out["run_deltas"], out["fix_rate"]
-    out["kb_top2_pruned"] = out["kb_top2"]
+    out["kb_top2_pruned"], out["diff_changed_inline"] = out["kb_top2"], out["diff_changed_lines"]
     return out

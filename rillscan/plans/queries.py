@@ -144,6 +144,12 @@ def diff_changed_lines(spark, sf):
     return diff_source.changed_lines(corpus.diffs(spark, sf))
 
 
+def diff_changed_inline(spark, sf):
+    """The same by a fold within each row, as streams use it."""
+    rows = diff_source.changed_files(corpus.diffs(spark, sf), "repo", "push_id")
+    return rows.select("repo", "push_id", "path", F.explode(diff_source.lines_of(F.col("ranges"))).alias("line"))
+
+
 def changed_scope_semi(spark, sf):
     """Findings of all rulesets on the lines that any push changed."""
     changed = diff_source.changed_lines(corpus.diffs(spark, sf)).select("repo", "path", "line").distinct()
@@ -452,6 +458,7 @@ QUERIES = {
     "detector_errors": detector_errors,
     "scan_incremental": scan_incremental,
     "diff_changed_lines": diff_changed_lines,
+    "diff_changed_inline": diff_changed_inline,
     "changed_scope_semi": changed_scope_semi,
     "changed_review_commits": changed_review_commits,
     "review_gate": review_gate,
