@@ -1,27 +1,35 @@
 """Main text of web pages by a site style tree.
 
-The pages of a host are merged: an element is known by its path of tags and presentation
-(class, id, role).  For each element of the merged tree it is counted how the pages present it
-(the sequence of its children) and which texts they put into it.  An element whose presentation
-and texts hardly vary between pages has little entropy, so it is no content: such branches are
-removed from every page, as are those whose tag or name tells a menu, an advert and the like.
-Counts are aggregated by (host, element, value), never by host, so a large host is no large group.
+The pages of a host are merged: an element is known by its path of tags and presentation (class, id, role).
+For each element of the merged tree it is counted how the pages present it (the sequence of its children)
+and which words they put into it.  Words that recur on most pages that have the element, in an element whose
+presentation hardly varies, are no content.  A branch is removed from every page if its importance is
+low and so is that of all elements with text in it.
+
+Most hosts have few pages, on which nothing recurs.  So pages are merged a second time, over hosts, by their
+skeleton: the elements right below the body.  A host's own tree speaks first, the tree of the
+skeleton second.  Where neither has seen enough pages, tags and names (menu, advert and the like) decide; they
+never remove what a tree calls content.  Plain tags of an ``article`` or ``main`` element are content.
+
+Counts are added up within a task first and then by (tree, element, word), so neither a large host nor a
+frequent word is a large group.
 """
 
 from __future__ import annotations
 
 import html as entities
 import re
+from collections import Counter
 from dataclasses import dataclass, field
 from urllib.parse import urlsplit
 
-import pandas as pd
 import pyarrow as pa
 import xxhash
-from pyspark.sql import Column, DataFrame
+from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from .shared import pieces
+from ..operators.joins import lookup
+from .shared import pieces, written
 from .simhash import signed
 
 # Names by which elements are told.
@@ -46,21 +54,32 @@ CLOSES = {  # a start tag of the key ends an open element of the values
 }
 SCOPES = frozenset("ul ol dl table article main body html div section".split())
 
-LOW, LEAST_PAGES, CONTENT_WEIGHT = 0.3, 5, 0.9
-"""An element of a host is removed if at least LEAST_PAGES pages have it and its importance,
-CONTENT_WEIGHT parts content and the rest presentation, is below LOW."""
+TEXT_TAGS = frozenset("p h1 h2 h3 h4 h5 h6 li dt dd td th blockquote pre figcaption caption".split())
+
+LOW = ((200, 0.8), (30, 0.5), (5, 0.3))
+"""A branch is removed below this importance, by how many pages have it: with few pages common words weigh more."""
+SURE = (200, 0.85)
+"""From so many pages on, and this importance, an element is content whatever its name."""
+DECAY = 0.9
+"""Share of the content in an element's importance, to the power of the ways it is presented; the rest is presentation."""
+DEEPEST = 64
+"""Elements below this depth count as their ancestor there."""
+SENT_BYTES = 32 << 20
+"""Verdicts up to this measured size are sent to all tasks; more are joined with the pages."""
+SALTS = 64
+_HELD = 1 << 20
 
-TAG = re.compile(
-    r"""<!--.*?(?:-->|\Z)|<(?P<end>/?)(?P<name>[a-zA-Z][^\s/>]*)(?P<rest>(?:"[^"]*"|'[^']*'|[^>"'])*)>|<[!?][^>]*>|</?[a-zA-Z][^>]*>""",
-    re.S)
 NAMES = re.compile(r"""\b(?:class|id|role)\s*=\s*("[^"]*"|'[^']*'|[^\s"'>]+)""", re.I)
+NAME = re.compile(r"</?([a-zA-Z][^\s/>]*)")
+QUOTE_OR_END = re.compile(r"""[>"']""")
 
 
 @dataclass
 class Element:
     key: str
     path: str
-    noise: bool
+    depth: int
+    noise: bool  # by tags and names
     main: bool
     plain: bool  # named only by tags since the main element
     children: list[str] = field(default_factory=list)
@@ -71,6 +90,11 @@ class Page:
     elements: list[Element]
     blocks: list[tuple[Element, str]]  # in page order
 
+    @property
+    def skeleton(self) -> str:
+        """The elements right below the body, each once."""
+        return "|".join(dict.fromkeys(k for e in self.elements if e.path in ("html", "html>body") for k in e.children if k != "body"))
+
 
 def _element(parent: Element | None, name: str, rest: str) -> Element:
     named = sorted({t for m in NAMES.findall(rest) for t in re.split(r"[^a-z0-9]+", m.lower()) if t}) if rest else []
@@ -81,10 +105,65 @@ def _element(parent: Element | None, name: str, rest: str) -> Element:
     inside = parent is not None and parent.main
     noise = parent is not None and parent.noise
     if not main and name not in ("html", "body"):
-        noise = noise or name in NOISE_TAGS or name == "header" and not inside or not NOISE_NAMES.isdisjoint(named)
-    return Element(
-        key, f"{parent.path}>{key}" if parent else key, noise, main or inside,
-        main or inside and parent.plain and not named)
+        if inside:  # an article's headline block or board of notices is named for more than one thing
+            by_name = bool(named) and name not in TEXT_TAGS and NOISE_NAMES.issuperset(named)
+        else:
+            by_name = not NOISE_NAMES.isdisjoint(named)
+        noise = noise or name in NOISE_TAGS or name == "header" and not inside or by_name
+    depth = parent.depth + 1 if parent else 0
+    path = key if parent is None else parent.path if depth > DEEPEST else f"{parent.path}>{key}"
+    return Element(key, path, depth, noise, main or inside, main or inside and parent.plain and not named)
+
+
+class _Source:
+    """A page's markup, read once from left to right however broken it is."""
+
+    def __init__(self, text: str):
+        self.text, self.size = text, len(text)
+        self.last_end = text.rfind(">")
+        self.quotes = True  # until the quotes of a tag run to the end of the page
+
+    def _end(self, at: int) -> int:
+        """After the end of the tag that starts at ``at``; quoted ends do not count."""
+        k = at
+        while self.quotes:
+            m = QUOTE_OR_END.search(self.text, k)
+            if m is None:
+                self.quotes = False
+            elif m[0] == ">":
+                return m.end()
+            else:
+                k = self.text.find(m[0], m.end()) + 1
+                self.quotes = k > 0
+        return self.text.find(">", at) + 1
+
+    def tags(self):
+        """(start, end, name, is an end tag, attributes) of tags; comments and declarations have no name."""
+        at = self.text.find("<")
+        while 0 <= at < self.size:
+            text = self.text
+            if text.startswith("<!--", at):
+                close = text.find("-->", at + 4)
+                end = self.size if close < 0 else close + 3
+                yield at, end, None, False, ""
+            elif at > self.last_end:
+                return
+            elif text[at + 1:at + 2] in ("!", "?"):
+                end = text.find(">", at) + 1
+                yield at, end, None, False, ""
+            elif m := NAME.match(text, at):
+                end = self._end(m.end())
+                skip = yield at, end, m[1].lower(), text[at + 1] == "/", text[m.end():end - 1]
+                end = skip or end
+            else:
+                end = at + 1
+            at = text.find("<", end)
+
+    def after(self, name: str, at: int) -> int:
+        """The end of raw text that starts at ``at``."""
+        m = re.compile(rf"</{re.escape(name)}\b", re.I).search(self.text, at)
+        end = self.text.find(">", m.end()) + 1 if m else 0
+        return end or self.size
 
 
 def parse(source: str) -> Page:
@@ -93,8 +172,8 @@ def parse(source: str) -> Page:
     root = _element(None, "html", "")
     page = Page([root], [])
     stack: list[tuple[str, Element]] = [("html", root)]
+    opened: Counter[str] = Counter()
     held: list[str] = []
-    at = 0
 
     def flush():
         if held:
@@ -103,61 +182,75 @@ def parse(source: str) -> Page:
                 page.blocks.append((stack[-1][1], text))
             held.clear()
 
+    def push(name, element):
+        stack.append((name, element))
+        opened[name] += 1
+
+    def cut(k):
+        for name, _ in stack[k:]:
+            opened[name] -= 1
+        del stack[k:]
+
     def close(names, bounds=SCOPES):
+        if not any(opened[n] for n in names):
+            return
         for k in range(len(stack) - 1, 0, -1):
             if stack[k][0] in names:
-                del stack[k:]
+                cut(k)
                 return
             if stack[k][0] in bounds:
                 return
 
-    size = len(source)
-    while at < size:
-        m = TAG.search(source, at)
-        if m is None:
-            held.append(source[at:])
-            break
-        if m.start() > at:
-            held.append(source[at:m.start()])
-        at = m.end()
-        name = m["name"]
-        if name is None:
-            continue
-        name = name.lower()
-        if name in INLINE:
-            continue
-        if name in VOID:
-            if name == "br":
-                held.append(" ")
-            elif name == "hr":
-                flush()
-            continue
-        flush()
-        if m["end"]:
-            if name == "p":
-                close(("p",))
-            elif any(name == n for n, _ in stack[1:]):
-                while stack.pop()[0] != name:
-                    pass
-            continue
+    def start(name, rest):
+        """An element of a start tag; the place to go on from, if what follows is raw text."""
         if name in ("html", "body"):
             if name == "body":
                 close(("head",), ())
-                stack.append((name, _element(stack[-1][1], name, "")))
-                page.elements.append(stack[-1][1])
-            continue
-        if name in RAW:
-            end = re.compile(rf"</{name}\b[^>]*>", re.I).search(source, at)
-            at = end.end() if end else size
-            continue
+                element = _element(stack[-1][1], name, "")
+                page.elements.append(element)
+                push(name, element)
+            return
         close(("p",))
         if name in CLOSES:
             for _ in range(2):
                 close(CLOSES[name])
-        element = _element(stack[-1][1], name, m["rest"])
+        element = _element(stack[-1][1], name, rest)
         page.elements.append(element)
-        if not m["rest"].endswith("/"):
-            stack.append((name, element))
+        if not rest.endswith("/"):
+            push(name, element)
+
+    markup, read = _Source(source), 0
+    tags = markup.tags()
+    found = next(tags, None)
+    while found:
+        at, end, name, is_end, rest = found
+        held.append(source[read:at])
+        read, skip = end, None
+        if name in RAW and not is_end:
+            flush()
+            read = skip = markup.after(name, end)
+        elif name == "br":
+            held.append(" ")
+        elif name is None or name in INLINE or name in VOID and name != "hr":
+            pass
+        else:
+            flush()
+            if name == "hr":
+                pass
+            elif not is_end:
+                start(name, rest)
+            elif name == "p":
+                close(("p",))
+            elif opened[name]:
+                k = len(stack) - 1
+                while stack[k][0] != name:
+                    k -= 1
+                cut(k)
+        try:
+            found = tags.send(skip)
+        except StopIteration:
+            found = None
+    held.append(source[read:])
     flush()
     return page
 
@@ -173,76 +266,135 @@ def _hash(text: str) -> int:
     return signed(xxhash.xxh64_intdigest(text.encode("utf-8", "surrogatepass")))
 
 
+def _own_tree(url: str | None) -> str:
+    return "h:" + host_of(url)
+
+
+def _page_tree(page: Page) -> str:
+    return f"s:{_hash(page.skeleton):x}"
+
+
 def _values(batches):
-    """For each page its distinct (element, presentation) and (element, text) as hashes."""
+    """Counts of (tree, element, presentation) and (tree, element, word) over some pages at a time."""
+    counts: Counter[tuple[str, str, bool, int]] = Counter()
+
+    def out():
+        trees, paths, words, values = zip(*counts, strict=True) if counts else ((), (), (), ())
+        batch = pa.RecordBatch.from_arrays(
+            [pa.array(trees, pa.string()), pa.array(paths, pa.string()), pa.array(words, pa.bool_()),
+             pa.array(values, pa.int64()), pa.array(list(counts.values()), pa.int64())], ["tree", "path", "is_word", "value", "k"])
+        counts.clear()
+        return batch
+
     for batch in batches:
         for part in pieces(batch, "html"):
-            hosts, paths, texts, values = [], [], [], []
             for url, source in zip(part.column("url").to_pylist(), part.column("html").to_pylist(), strict=True):
-                page, host = parse(source or ""), host_of(url)
-                found = {(e.path, False, _hash(">".join(e.children))) for e in page.elements if not e.noise}
-                found |= {(e.path, True, _hash(t)) for e, t in page.blocks if not e.noise}
-                for path, is_text, value in found:
-                    hosts.append(host)
-                    paths.append(path)
-                    texts.append(is_text)
-                    values.append(value)
-            yield pa.RecordBatch.from_arrays(
-                [pa.array(hosts, pa.string()), pa.array(paths, pa.string()), pa.array(texts, pa.bool_()),
-                 pa.array(values, pa.int64())], ["host", "path", "is_text", "value"])
+                page = parse(source or "")
+                found = {(e.path, False, _hash(">".join(e.children))) for e in page.elements}
+                words: dict[str, set[str]] = {}
+                for e, text in page.blocks:
+                    words.setdefault(e.path, set()).update(text.split())
+                found |= {(path, True, _hash(w)) for path, own in words.items() for w in own}
+                for tree in (_own_tree(url), _page_tree(page)):
+                    counts.update((tree, *f) for f in found)
+                if len(counts) > _HELD:
+                    yield out()
+    yield out()
 
 
 def style_tree(pages: DataFrame, url_col: str = "url", html_col: str = "html") -> DataFrame:
-    """``host, path, pages, presentation, content, importance`` of each element of the merged trees.
+    """``tree, path, pages, presentation, content, own, importance, richest`` of each element with text in its branch.
 
-    ``presentation`` is the entropy of the element's child sequences, ``content`` 1 less the mean
-    entropy of the texts in its branch, both to the base of the pages that have the element; an
-    element of one page has importance 1.
+    A word that k of the m pages with an element have in it has the entropy log(k) / log(m).  ``own`` is 1 less
+    its mean over the words of the element itself, ``content`` over those of its branch; ``richest`` is the
+    greatest ``own`` in the branch.  ``presentation`` is the entropy of the element's child sequences, to the base
+    m as well.  With l sequences ``importance`` is (1 - DECAY ** l) parts presentation and the rest content; for an
+    element with text of its own alone it is the content.
     """
     rows = pages.select(F.col(url_col).alias("url"), F.col(html_col).alias("html"))
-    seen = rows.mapInArrow(_values, "host string, path string, is_text boolean, value long")
-    counts = seen.groupBy("host", "path", "is_text", "value").agg(F.count(F.lit(1)).alias("k"))
-    own = counts.groupBy("host", "path").agg(
-        F.sum(F.when(~F.col("is_text"), F.col("k"))).alias("pages"),
-        F.sum(F.when(~F.col("is_text"), F.col("k") * F.log("k"))).alias("k_log_k"),
-        F.coalesce(F.sum(F.when(F.col("is_text"), 1)), F.lit(0)).alias("texts"),
-        F.coalesce(F.sum(F.when(F.col("is_text"), F.log("k"))), F.lit(0.0)).alias("log_k"))
-    # the texts of a branch count in every element above them
+    seen = rows.mapInArrow(_values, "tree string, path string, is_word boolean, value long, k long")
+    counts = seen.groupBy("tree", "path", "is_word", "value").agg(F.sum("k").alias("k"))
+    word = F.col("is_word")
+    own = written(counts.groupBy("tree", "path").agg(
+        F.sum(F.when(~word, F.col("k"))).alias("pages"),
+        F.sum(F.when(~word, F.col("k") * F.log("k"))).alias("k_log_k"),
+        F.count_if(~word).alias("styles"), F.count_if(word).alias("words"),
+        F.coalesce(F.sum(F.when(word, F.log("k"))), F.lit(0.0)).alias("log_k")).withColumn(
+        "base", F.log(F.greatest("pages", F.lit(2)))))
+    entropy = F.col("log_k") / F.col("base")  # each element by its own pages
     parts = F.split("path", ">")
-    above = own.filter("texts > 0").select("host", "texts", "log_k", F.explode(F.transform(
-        F.sequence(F.lit(1), F.size(parts)), lambda n: F.array_join(F.slice(parts, 1, n), ">"))).alias("path"))
-    branch = above.groupBy("host", "path").agg(F.sum("texts").alias("texts"), F.sum("log_k").alias("log_k"))
-    base = F.log(F.greatest("pages", F.lit(2)))
-    presentation = (F.log("pages") - F.col("k_log_k") / F.col("pages")) / base
-    content = 1 - F.least(F.col("log_k") / F.col("texts") / base, F.lit(1.0))
-    return (
-        own.select("host", "path", "pages", "k_log_k").join(branch, ["host", "path"])
-        .select("host", "path", "pages", presentation.alias("presentation"), content.alias("content"))
-        .withColumn("importance", F.when(F.col("pages") < 2, F.lit(1.0)).otherwise(
-            CONTENT_WEIGHT * F.col("content") + (1 - CONTENT_WEIGHT) * F.col("presentation")))
-    )
-
-
-def main_text(source: str, low: frozenset[str]) -> str:
-    """The blocks of the page outside noise and outside the branches of ``low``; where the page
-    has a main element, only those in it.  Plain tags of a main element are always content."""
+    above = own.where("words > 0").select(
+        "tree", "words", entropy.alias("entropy"), (1 - entropy / F.col("words")).alias("own"), F.explode(F.transform(
+            F.sequence(F.lit(1), F.size(parts)), lambda n: F.array_join(F.slice(parts, 1, n), ">"))).alias("path"))
+    branch = above.groupBy("tree", "path").agg(
+        F.sum("words").alias("words"), F.sum("entropy").alias("entropy"), F.max("own").alias("richest"))
+    content = 1 - F.col("b.entropy") / F.col("b.words")
+    presentation = (F.log("pages") - F.col("k_log_k") / F.col("pages")) / F.col("base")
+    share = F.when((F.col("o.words") > 0) & (F.col("o.words") == F.col("b.words")), F.lit(1.0)).otherwise(F.pow(F.lit(DECAY), "styles"))
+    return own.alias("o").join(branch.alias("b"), (F.col("o.tree") == F.col("b.tree")) & (F.col("o.path") == F.col("b.path"))).select(
+        "o.tree", "o.path", "pages", presentation.alias("presentation"), content.alias("content"),
+        F.when(F.col("o.words") > 0, 1 - F.col("log_k") / F.col("base") / F.col("o.words")).alias("own"), "richest",
+        ((1 - share) * presentation + share * content).alias("importance"))
+
+
+def verdicts(tree: DataFrame) -> DataFrame:
+    """``tree, path, noise`` of the elements on which a tree can say something: branches to remove
+    (``noise``), and elements that are content for sure."""
+    least = F.lit(None).cast("double")
+    for pages, low in reversed(LOW):
+        least = F.when(F.col("pages") >= pages, low).otherwise(least)
+    bound = F.greatest("importance", "richest")
+    sure = (F.col("pages") >= SURE[0]) & F.coalesce(F.col("own") >= SURE[1], F.lit(False))
+    whole = F.element_at(F.split(F.element_at(F.split("path", ">"), -1), r"\."), 1).isin("html", "body")
+    return tree.select("tree", "path", F.when((bound < least) & ~whole, True).when(sure, False).alias("noise")).where(
+        F.col("noise").isNotNull())
+
+
+@dataclass(frozen=True)
+class Verdicts:
+    """Of one tree: paths to remove, and paths that are content."""
+    noise: frozenset[str] = frozenset()
+    content: frozenset[str] = frozenset()
+
+    def of(self, path: str) -> bool | None:
+        """True for a branch to remove; the first element from the root that is one decides."""
+        parts = path.split(">")
+        if any(">".join(parts[:n]) in self.noise for n in range(1, len(parts) + 1)):
+            return True
+        return False if path in self.content else None
+
+
+def main_text(source: str, trees: dict[str, Verdicts] | None = None, url: str | None = None) -> str:
+    """The blocks of the page that are content by the tree of its host, else by that of its skeleton, else by tags
+    and names; where the page has a main element and names decide, only those in it.  Text of an article under
+    plain tags is never removed by a tree, since whole pages may be copies of one another."""
     page = parse(source)
+    found = [t for t in ((trees or {}).get(k) for k in (_own_tree(url), _page_tree(page))) if t]
+    said: dict[str, bool | None] = {}
+    for element, _ in page.blocks:
+        if element.path not in said:
+            said[element.path] = next((v for v in (t.of(element.path) for t in found) if v is not None), None)
     any_main = any(e.main and not e.noise for e, _ in page.blocks)
     out = []
     for element, text in page.blocks:
-        if element.noise or any_main and not element.main:
-            continue
-        if low and not element.plain and _in_branch(element.path, low):
-            continue
-        out.append(text)
+        noise = said[element.path]
+        if noise is None or element.plain:
+            noise = element.noise or any_main and not element.main
+        if not noise:
+            out.append(text)
     return "\n\n".join(out)
 
 
-def _in_branch(path: str, low: frozenset[str]) -> bool:
-    parts = path.split(">")
-    # a branch that holds a whole body or main element is never cut as one
-    return any(">".join(parts[:n]) in low and parts[n - 1].split(".")[0] not in ("html", "body", *MAIN)
-               for n in range(1, len(parts) + 1))
+def _texts(part: pa.RecordBatch, trees) -> pa.RecordBatch:
+    texts = [main_text(h or "", t, u) for h, u, t in zip(
+        part.column("html").to_pylist(), part.column("url").to_pylist(), trees, strict=True)]
+    return pa.RecordBatch.from_arrays(
+        [part.column("page_id"), part.column("url"), pa.array(texts, pa.string()),
+         pa.array([len(t) for t in texts], pa.int64())], ["page_id", "url", "text", "n_chars"])
+
+
+def _trees(rows) -> dict[str, Verdicts]:
+    return {r["tree"]: Verdicts(frozenset(r["noise"]), frozenset(r["content"])) for r in rows}
 
 
 def extract(pages: DataFrame, id_col: str = "page_id", url_col: str = "url", html_col: str = "html") -> DataFrame:
@@ -250,30 +402,47 @@ def extract(pages: DataFrame, id_col: str = "page_id", url_col: str = "url", htm
 
     Blocks are joined by two newlines, white space in a block is one blank, character references
     are decoded.  A null or empty page has an empty text; a null url is the host ''; repeated rows
-    give repeated results (and count as pages of the tree); other columns are not read.
+    give repeated results (and count as pages of the trees); other columns are not read.  The trees take one
+    reading of the pages, the texts another; pages are not exchanged unless there are more verdicts than can be
+    sent to all tasks.
     """
-    low = style_tree(pages, url_col, html_col).filter((F.col("importance") < LOW) & (F.col("pages") >= LEAST_PAGES))
-    by_host = low.groupBy("host").agg(F.collect_set("path").alias("low"))  # distinct paths of templates
     rows = pages.select(F.col(id_col).alias("page_id"), F.col(url_col).alias("url"), F.col(html_col).alias("html"))
-    hosted = rows.withColumn("host", _host(F.col("url")))
-
-    def run(batches):
+    said = written(verdicts(style_tree(rows)).groupBy("tree").agg(
+        F.collect_list(F.when(F.col("noise"), F.col("path"))).alias("noise"),
+        F.collect_list(F.when(~F.col("noise"), F.col("path"))).alias("content")))
+    size = said.agg(F.sum(F.length("tree") + F.length(F.to_json(F.struct("noise", "content"))))).first()[0] or 0
+    kind = f"page_id {rows.schema['page_id'].dataType.simpleString()}, url string, text string, n_chars long"
+    if size <= SENT_BYTES:
+        sent = rows.sparkSession.sparkContext.broadcast(_trees(said.toLocalIterator()))
+
+        def run(batches):
+            for batch in batches:
+                for part in pieces(batch, "html"):
+                    yield _texts(part, [sent.value] * part.num_rows)
+
+        return rows.mapInArrow(run, kind)
+
+    def run_joined(batches):
         for batch in batches:
             for part in pieces(batch, "html"):
-                texts = [main_text(h or "", frozenset(low or ())) for h, low in zip(
-                    part.column("html").to_pylist(), part.column("low").to_pylist(), strict=True)]
-                yield pa.RecordBatch.from_arrays(
-                    [part.column("page_id"), part.column("url"), pa.array(texts, pa.string()),
-                     pa.array([len(t) for t in texts], pa.int64())], ["page_id", "url", "text", "n_chars"])
-
-    kind = rows.schema["page_id"].dataType.simpleString()
-    return hosted.join(by_host, "host", "left").select("page_id", "url", "html", "low").mapInArrow(
-        run, f"page_id {kind}, url string, text string, n_chars long")
+                trees = [_trees(x for x in (a, b) if x) for a, b in zip(
+                    part.column("of_host").to_pylist(), part.column("of_skeleton").to_pylist(), strict=True)]
+                yield _texts(part, trees)
 
+    keys = rows.mapInArrow(_with_trees, "page_id {0}, url string, html string, host_tree string, skeleton_tree string".format(
+        rows.schema["page_id"].dataType.simpleString()))
+    for key, name in (("host_tree", "of_host"), ("skeleton_tree", "of_skeleton")):
+        tree = said.select(F.col("tree").alias(key), F.struct("tree", "noise", "content").alias(name))
+        keys = lookup(keys, tree, [key], ["url"], "left", SALTS)
+    return keys.select("page_id", "url", "html", "of_host", "of_skeleton").mapInArrow(run_joined, kind)
 
-def _host(url: Column) -> Column:
-    @F.pandas_udf("string")
-    def find(u: pd.Series) -> pd.Series:
-        return pd.Series([host_of(x) for x in u], dtype=object)
 
-    return find(url)
+def _with_trees(batches):
+    for batch in batches:
+        for part in pieces(batch, "html"):
+            urls, pages = part.column("url").to_pylist(), part.column("html").to_pylist()
+            yield pa.RecordBatch.from_arrays(
+                [part.column("page_id"), part.column("url"), part.column("html"),
+                 pa.array([_own_tree(u) for u in urls], pa.string()),
+                 pa.array([_page_tree(parse(h or "")) for h in pages], pa.string())],
+                ["page_id", "url", "html", "host_tree", "skeleton_tree"])
