@@ -11,8 +11,8 @@ skeleton: the elements right below the body.  A host's own tree speaks first, th
 skeleton second.  Where neither has seen enough pages, tags and names (menu, advert and the like) decide; they
 never remove what a tree calls content.  Plain tags of an ``article`` or ``main`` element are content.
 
-Counts are added up within a task first and then by (tree, element, word), so neither a large host nor a
-frequent word is a large group.
+Words move as hashes, once for some pages at a time, to buckets that count them over all pages; an element's
+words are in all buckets, so neither a large host nor a frequent word is a large group.
 """
 
 from __future__ import annotations
@@ -23,14 +23,16 @@ from collections import Counter
 from dataclasses import dataclass, field
 from urllib.parse import urlsplit
 
+import numpy as np
 import pyarrow as pa
 import xxhash
+from pandas.util import hash_array
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from ..operators.joins import lookup
-from .shared import pieces, written
-from .simhash import signed
+from .shared import partitions, pieces, written
+from .squeeze import packed, restored, squeezed, unpacked
 
 # Names by which elements are told.
 VOID = frozenset("area base br col embed hr img input link meta param source track wbr".split())
@@ -67,7 +69,9 @@ DEEPEST = 64
 SENT_BYTES = 32 << 20
 """Verdicts up to this measured size are sent to all tasks; more are joined with the pages."""
 SALTS = 64
-_HELD = 1 << 20
+BUCKET_BYTES = 64 << 20
+"""Markup whose words are counted in one task."""
+_HELD, _BITS = 1 << 20, 48
 
 NAMES = re.compile(r"""\b(?:class|id|role)\s*=\s*("[^"]*"|'[^']*'|[^\s"'>]+)""", re.I)
 NAME = re.compile(r"</?([a-zA-Z][^\s/>]*)")
@@ -262,44 +266,87 @@ def host_of(url: str | None) -> str:
         return ""
 
 
-def _hash(text: str) -> int:
-    return signed(xxhash.xxh64_intdigest(text.encode("utf-8", "surrogatepass")))
-
-
 def _own_tree(url: str | None) -> str:
     return "h:" + host_of(url)
 
 
 def _page_tree(page: Page) -> str:
-    return f"s:{_hash(page.skeleton):x}"
-
-
-def _values(batches):
-    """Counts of (tree, element, presentation) and (tree, element, word) over some pages at a time."""
-    counts: Counter[tuple[str, str, bool, int]] = Counter()
-
-    def out():
-        trees, paths, words, values = zip(*counts, strict=True) if counts else ((), (), (), ())
-        batch = pa.RecordBatch.from_arrays(
-            [pa.array(trees, pa.string()), pa.array(paths, pa.string()), pa.array(words, pa.bool_()),
-             pa.array(values, pa.int64()), pa.array(list(counts.values()), pa.int64())], ["tree", "path", "is_word", "value", "k"])
-        counts.clear()
-        return batch
-
-    for batch in batches:
-        for part in pieces(batch, "html"):
-            for url, source in zip(part.column("url").to_pylist(), part.column("html").to_pylist(), strict=True):
-                page = parse(source or "")
-                found = {(e.path, False, _hash(">".join(e.children))) for e in page.elements}
-                words: dict[str, set[str]] = {}
-                for e, text in page.blocks:
-                    words.setdefault(e.path, set()).update(text.split())
-                found |= {(path, True, _hash(w)) for path, own in words.items() for w in own}
-                for tree in (_own_tree(url), _page_tree(page)):
-                    counts.update((tree, *f) for f in found)
-                if len(counts) > _HELD:
-                    yield out()
-    yield out()
+    return "s:" + xxhash.xxh64_hexdigest(page.skeleton.encode("utf-8", "surrogatepass"))
+
+
+_ROW = "bucket long, tree string, path string, is_word boolean, hashes binary, k binary"
+
+
+def _values(buckets: int):
+    """Hashes of the words and of the presentations of each element, and how many pages have them, over some
+    pages at a time, in packed rows by the bucket of the hash."""
+    def out(texts, segments):
+        hashes = hash_array(np.array(texts, dtype=object), categorize=False) >> np.uint64(64 - _BITS)
+        held: dict[tuple[str, str, bool], list[np.ndarray]] = {}
+        for trees, path, is_word, begin, end in segments:
+            for tree in trees:
+                held.setdefault((tree, path, is_word), []).append(hashes[begin:end])
+        rows = []
+        for (tree, path, is_word), parts in held.items():
+            found, k = np.unique(np.concatenate(parts), return_counts=True)
+            to = (found >> np.uint64(_BITS - 32)) * np.uint64(buckets) >> np.uint64(32)
+            cut = np.flatnonzero(np.diff(to, prepend=to[0])).tolist()
+            for i, j in zip([0, *cut], [*cut, len(found)], strict=True):
+                rows.append((int(to[i]), tree, path, is_word, packed(found[i:j]), squeezed(k[i:j])))
+        columns = list(zip(*rows, strict=True)) if rows else [()] * 6
+        types = (pa.int64(), pa.string(), pa.string(), pa.bool_(), pa.binary(), pa.binary())
+        return pa.RecordBatch.from_arrays([pa.array(list(c), t) for c, t in zip(columns, types, strict=True)],
+                                          ["bucket", "tree", "path", "is_word", "hashes", "k"])
+
+    def run(batches):
+        texts: list[str] = []  # words and presentations, each once for a page and element
+        segments: list[tuple] = []
+        for batch in batches:
+            for part in pieces(batch, "html"):
+                for url, source in zip(part.column("url").to_pylist(), part.column("html").to_pylist(), strict=True):
+                    page = parse(source or "")
+                    trees = (_own_tree(url), _page_tree(page))
+                    words: dict[str, list[str]] = {}
+                    for e, text in page.blocks:
+                        words.setdefault(e.path, []).append(text)
+                    styles: dict[str, set[str]] = {}
+                    for e in page.elements:
+                        styles.setdefault(e.path, set()).add(">".join(e.children))
+                    for is_word, found in ((True, words), (False, styles)):
+                        for path, own in found.items():
+                            begin = len(texts)
+                            texts.extend(set(" ".join(own).split()) if is_word else own)
+                            segments.append((trees, path, is_word, begin, len(texts)))
+                    if len(texts) > _HELD:
+                        yield out(texts, segments)
+                        texts, segments = [], []
+        if segments:
+            yield out(texts, segments)
+    return run
+
+
+_SUMS = "tree string, path string, pages long, k_log_k double, styles long, words long, log_k double"
+
+
+def _sums(table: pa.Table) -> pa.Table:
+    """Of a bucket, what it adds to the sums of each element."""
+    held: dict[tuple[str, str], dict[bool, list]] = {}
+    for r in table.to_pylist():
+        held.setdefault((r["tree"], r["path"]), {True: [], False: []})[r["is_word"]].append((unpacked(r["hashes"]), restored(r["k"])))
+    rows = []
+    for (tree, path), parts in held.items():
+        counts = {}
+        for is_word, own in parts.items():
+            if own:
+                _, at = np.unique(np.concatenate([h for h, _ in own]), return_inverse=True)
+                counts[is_word] = np.bincount(at, weights=np.concatenate([k for _, k in own]))
+            else:
+                counts[is_word] = np.zeros(0)
+        styles, words = counts[False], counts[True]
+        rows.append((tree, path, int(styles.sum()), float((styles * np.log(styles)).sum()), len(styles), len(words), float(np.log(words).sum())))
+    types = (pa.string(), pa.string(), pa.int64(), pa.float64(), pa.int64(), pa.int64(), pa.float64())
+    names = ["tree", "path", "pages", "k_log_k", "styles", "words", "log_k"]
+    return pa.table([pa.array(list(c), t) for c, t in zip(zip(*rows, strict=True), types, strict=True)], names=names)
 
 
 def style_tree(pages: DataFrame, url_col: str = "url", html_col: str = "html") -> DataFrame:
@@ -312,14 +359,11 @@ def style_tree(pages: DataFrame, url_col: str = "url", html_col: str = "html") -
     element with text of its own alone it is the content.
     """
     rows = pages.select(F.col(url_col).alias("url"), F.col(html_col).alias("html"))
-    seen = rows.mapInArrow(_values, "tree string, path string, is_word boolean, value long, k long")
-    counts = seen.groupBy("tree", "path", "is_word", "value").agg(F.sum("k").alias("k"))
-    word = F.col("is_word")
-    own = written(counts.groupBy("tree", "path").agg(
-        F.sum(F.when(~word, F.col("k"))).alias("pages"),
-        F.sum(F.when(~word, F.col("k") * F.log("k"))).alias("k_log_k"),
-        F.count_if(~word).alias("styles"), F.count_if(word).alias("words"),
-        F.coalesce(F.sum(F.when(word, F.log("k"))), F.lit(0.0)).alias("log_k")).withColumn(
+    size = rows.agg(F.sum(F.octet_length("html").cast("long"))).first()[0] or 0
+    buckets = max(partitions(rows.sparkSession), -(-size // BUCKET_BYTES))
+    sums = rows.mapInArrow(_values(buckets), _ROW).groupBy("bucket").applyInArrow(lambda t: _sums(t), _SUMS)
+    names = ("pages", "k_log_k", "styles", "words", "log_k")
+    own = written(sums.groupBy("tree", "path").agg(*[F.sum(n).alias(n) for n in names]).withColumn(
         "base", F.log(F.greatest("pages", F.lit(2)))))
     entropy = F.col("log_k") / F.col("base")  # each element by its own pages
     parts = F.split("path", ">")

@@ -28,7 +28,7 @@ from pyspark.sql import functions as F
 
 from .components import components
 from .shared import partitions, pieces, texts, written
-from .squeeze import restored, squeezed
+from .squeeze import packed, restored, squeezed, unpacked
 
 BUCKET_BYTES, BLOCK_BYTES = 64 << 20, 8 << 20
 """Text whose hashes are counted in one task, and text of one block."""
@@ -64,19 +64,6 @@ def shingle_hashes(text: str, shingle: int, known: dict | None = None) -> np.nda
     return np.unique(out >> _U(64 - HASH_BITS))
 
 
-def _packed(sorted_values: np.ndarray) -> bytes:
-    """The first of the sorted hashes, and their differences."""
-    if not len(sorted_values):
-        return b""
-    return int(sorted_values[0]).to_bytes(8, "little") + squeezed(np.diff(sorted_values))
-
-
-def _unpacked(packed: bytes) -> np.ndarray:
-    if not packed:
-        return np.zeros(0, np.uint64)
-    return np.cumsum(np.append(_U(int.from_bytes(packed[:8], "little")), restored(packed[8:])), dtype=np.uint64)
-
-
 _ROW = "key long, block long, hashes binary, docs binary, n binary, ids array<{}>, sids array<binary>"
 _NAMES = ["key", "block", "hashes", "docs", "n", "ids", "sids"]
 
@@ -108,9 +95,9 @@ def _blocks(shingle: int, buckets: int):
                 owner = np.where(count > 1, 0, docs[start] + 1)
                 to = (found >> _U(HASH_BITS - 32)) * _U(buckets) >> _U(32)
                 cut = np.searchsorted(to, np.arange(buckets + 1))
-                rows = [(b, number, _packed(found[i:j]), squeezed(owner[i:j]), squeezed(count[i:j]), None, None)
+                rows = [(b, number, packed(found[i:j]), squeezed(owner[i:j]), squeezed(count[i:j]), None, None)
                         for b, (i, j) in enumerate(zip(cut[:-1], cut[1:], strict=True)) if i < j]
-                rows.append((buckets + number, number, _packed(hashes[several]), squeezed(docs[several]),
+                rows.append((buckets + number, number, packed(hashes[several]), squeezed(docs[several]),
                              squeezed(sizes), part.column("doc_id").to_pylist(), sids))
                 yield _batch(rows, part.schema.field("doc_id").type)
                 number += 1
@@ -124,7 +111,7 @@ def _counted(buckets: int):
         if table.column("key")[0].as_py() >= buckets:
             return table
         rows = table.to_pylist()
-        each = [_unpacked(r["hashes"]) for r in rows]
+        each = [unpacked(r["hashes"]) for r in rows]
         counts = [restored(r["n"]) for r in rows]
         found, at = np.unique(np.concatenate(each), return_inverse=True)
         df = np.bincount(at, weights=np.concatenate(counts)).astype(np.int64)
@@ -133,7 +120,7 @@ def _counted(buckets: int):
             kept = n > 1
             if kept.any():
                 rank = np.floor(8 * np.log2(n[kept])).astype(np.int64)
-                out.append((r["key"], r["block"], _packed(hashes[kept]), squeezed(restored(r["docs"])[kept]),
+                out.append((r["key"], r["block"], packed(hashes[kept]), squeezed(restored(r["docs"])[kept]),
                             squeezed(rank), None, None))
         return pa.Table.from_batches([_batch(out, table.schema.field("ids").type.value_type)])
     return run
@@ -151,10 +138,10 @@ def _prefixes(buckets: int, percent: int):
         def joined(parts, dtype):
             return np.concatenate([np.zeros(0, dtype), *parts])
 
-        hashes = joined([_unpacked(r["hashes"]) for r in back], np.uint64)
+        hashes = joined([unpacked(r["hashes"]) for r in back], np.uint64)
         owner = joined([restored(r["docs"]).astype(np.int64) for r in back], np.int64)
         rank = joined([restored(r["n"]).astype(np.int64) for r in back], np.int64)
-        shared = _unpacked(home["hashes"])
+        shared = unpacked(home["hashes"])
         shared_docs = restored(home["docs"]).astype(np.int64)
         multi = np.flatnonzero(owner == 0)
         multi = multi[np.argsort(hashes[multi])]

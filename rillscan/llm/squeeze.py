@@ -20,3 +20,16 @@ def restored(packed: bytes) -> np.ndarray:
     full = np.zeros((size // width, 8), np.uint8)
     full[:, :width] = np.frombuffer(places, np.uint8).reshape(width, -1).T
     return full.view("<u8").ravel().astype(np.uint64, copy=False)
+
+
+def packed(sorted_values: np.ndarray) -> bytes:
+    """The first of sorted hashes, and their differences."""
+    if not len(sorted_values):
+        return b""
+    return int(sorted_values[0]).to_bytes(8, "little") + squeezed(np.diff(sorted_values))
+
+
+def unpacked(packed: bytes) -> np.ndarray:
+    if not packed:
+        return np.zeros(0, np.uint64)
+    return np.cumsum(np.append(np.uint64(int.from_bytes(packed[:8], "little")), restored(packed[8:])), dtype=np.uint64)

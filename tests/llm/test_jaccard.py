@@ -6,7 +6,7 @@ import numpy as np
 import pytest
 from helpers import awkward, prose, table
 
-from rillscan.llm import jaccard
+from rillscan.llm import jaccard, squeeze
 
 
 def shingles(text, k):
@@ -94,8 +94,8 @@ def test_small_buckets_and_blocks(spark, monkeypatch):
 
 def test_hashes_are_packed_without_loss():
     values = np.unique(np.random.default_rng(1).integers(0, 2**64 - 1, 1000, np.uint64))
-    assert (jaccard._unpacked(jaccard._packed(values)) == values).all()
-    assert len(jaccard._unpacked(jaccard._packed(values[:0]))) == 0
+    assert (squeeze.unpacked(squeeze.packed(values)) == values).all()
+    assert len(squeeze.unpacked(squeeze.packed(values[:0]))) == 0
     assert len(jaccard.shingle_hashes("a b c d a b c", 3)) == 4
     assert len(jaccard.shingle_hashes("A b", 3)) == 1 and len(jaccard.shingle_hashes(" \n", 3)) == 0
     known = jaccard._WordHashes()
