@@ -1,16 +1,19 @@
-"""Benchmark decontamination by n-gram seeds and local alignment.
+"""Benchmark decontamination by rare n-gram seeds and local alignment.
 
-Runs of ``SEED`` words are the seeds of a test item, all of them, however frequent.  One pass
-meets them in the documents and aligns the words around them with the item by Smith-Waterman, so
-edited and paraphrased copies score as well.  A stretch that shares too few words with the item
-to reach the least score in any order is not aligned, which no result depends on.
+All runs of ``SEED`` words of a test item are seeds, and the rarer half of its pairs of words: one reading of the
+documents counts how often each pair occurs.  A second one meets the seeds in the documents and
+aligns the words around them with the item by Smith-Waterman, so edited and paraphrased copies score as
+well.  A stretch that shares too few words with the item to reach the least score in any order is not
+aligned, which no result depends on.  A passage without any seed is not found: at half of the best score
+that takes an edit after every other word.
 
 Test items are sent to the tasks in blocks of at most ``BLOCK`` bytes; documents are never
-exchanged, and what a document yields depends on its own text alone.
+exchanged, and what a document yields depends on its own text and those counts alone.
 """
 
 from __future__ import annotations
 
+import math
 from collections.abc import Iterator
 from dataclasses import dataclass
 from itertools import repeat
@@ -24,7 +27,11 @@ from pyspark.sql.pandas.functions import arrow_udf
 from .shared import pieces, texts
 from .toxicity import LETTERS
 
-SEED = 4
+SEED, PAIR = 3, 2
+RARE = 0.5
+"""Share of an item's pairs of words that are seeds: the rarest of those that occur."""
+SHORT = 4
+"""Items of fewer words are leaked only as they stand."""
 MATCH, MISMATCH, GAP = 2, -1, -1
 SHARE, LONG = 0.5, 20
 """A leak aligns with at least SHARE of the best score of its item, or that of LONG equal words."""
@@ -47,19 +54,43 @@ class Seeds:
     places: dict[int, list[list[tuple[int, int]]]]  # of each key: (item, offset)
 
     @staticmethod
-    def of(items: list[tuple[int, str]]) -> Seeds:
+    def of(items: list[tuple[int, str]], n: int = SEED) -> Seeds:
+        """Seeds of ``n`` words."""
         vocabulary: dict[bytes, int] = {}
         numbered = [np.array([vocabulary.setdefault(w, len(vocabulary)) for w in words(t)], dtype=np.int64) for _, t in items]
         found: dict[int, dict[int, list[tuple[int, int]]]] = {}
         for i, item in enumerate(numbered):
-            n = min(SEED, len(item))  # an item shorter than a seed is one itself
-            if n:
-                for at, key in enumerate(_keys(item, n, len(vocabulary)).tolist()):
-                    found.setdefault(n, {}).setdefault(key, []).append((i, at))
+            size = min(n, len(item))  # an item shorter than a seed is one itself
+            if size:
+                for at, key in enumerate(_keys(item, size, len(vocabulary)).tolist()):
+                    found.setdefault(size, {}).setdefault(key, []).append((i, at))
         keys = {n: np.array(sorted(x), dtype=np.uint64) for n, x in found.items()}
         places = {n: [found[n][k] for k in sorted(found[n])] for n in found}
         return Seeds([i for i, _ in items], numbered, vocabulary, sorted(found), keys, places)
 
+    def with_rare_pairs(self, pairs: Seeds, counts: dict[int, int]) -> Seeds:
+        """These seeds and of each item the rarest of ``pairs``; ``counts`` by their place among the keys."""
+        if PAIR not in pairs.keys:
+            return self
+        of_item: dict[int, list[tuple[int, int]]] = {}
+        for k, places in enumerate(pairs.places[PAIR]):
+            for i in {i for i, _ in places}:
+                if counts.get(k):
+                    of_item.setdefault(i, []).append((counts[k], k))
+        # a pair that occurs nowhere finds nothing: it does not take the place of one that does
+        kept = {i: {k for _, k in sorted(own)[:math.ceil(RARE * len(own))]} for i, own in of_item.items()
+                if len(self.items[i]) >= SHORT}
+        places = [[p for p in places if k in kept.get(p[0], ())] for k, places in enumerate(pairs.places[PAIR])]
+        good = [k for k, own in enumerate(places) if own]
+        own_keys = dict(zip(pairs.keys[PAIR][good].tolist(), [places[k] for k in good], strict=True))
+        for key, at in zip(self.keys[PAIR].tolist(), self.places[PAIR], strict=True) if PAIR in self.keys else ():
+            own_keys.setdefault(key, []).extend(at)  # items of two words
+        if not own_keys:
+            return self
+        keys = {**self.keys, PAIR: np.array(sorted(own_keys), dtype=np.uint64)}
+        return Seeds(self.ids, self.items, self.vocabulary, sorted(keys), keys,
+                     {**self.places, PAIR: [own_keys[k] for k in sorted(own_keys)]})
+
     def numbers(self, text: str) -> np.ndarray:
         """The words of a text as numbers, -1 for words of no item."""
         return np.fromiter(map(self.vocabulary.get, words(text), repeat(-1)), np.int64)
@@ -115,7 +146,7 @@ def align(item: np.ndarray, window: np.ndarray) -> tuple[int, int, int]:
 
 def least_score(size: int) -> float:
     """What an alignment with an item of so many words needs to be a leak."""
-    return min(MATCH * size * (SHARE if size >= SEED else 1), MATCH * LONG)
+    return min(MATCH * size * (SHARE if size >= SHORT else 1), MATCH * LONG)
 
 
 def _may_reach(item: np.ndarray, window: np.ndarray, score: float) -> bool:
@@ -177,6 +208,23 @@ def blocks(items: DataFrame, id_col: str = "item_id", text_col: str = "text") ->
         yield sorted(block, key=lambda x: (x[0] is None, x))
 
 
+def pair_counts(docs: DataFrame, text: Column, pairs: Seeds) -> dict[int, int]:
+    """How often each pair of words of the items occurs in the documents, by its place among the keys."""
+    sent = docs.sparkSession.sparkContext.broadcast(pairs)
+
+    def run(batches):
+        for batch in batches:
+            for part in pieces(batch, "text"):
+                found = [sent.value.hits(sent.value.numbers(t), PAIR)[1] for t in part.column("text").to_pylist()]
+                pair, n = np.unique(np.concatenate(found), return_counts=True)
+                yield pa.RecordBatch.from_arrays([pa.array(pair, pa.int64()), pa.array(n, pa.int64())], ["pair", "n"])
+
+    rows = docs.select(text.alias("text")).mapInArrow(run, "pair long, n long").groupBy("pair").agg(F.sum("n").alias("n"))
+    counts = {r.pair: r.n for r in rows.toLocalIterator()}  # no more than the pairs of a block of items
+    sent.unpersist()
+    return counts
+
+
 def _leaks(text: Column, seeds: Seeds, spark) -> Column:
     sent = spark.sparkContext.broadcast(seeds)
     kind = pa.list_(pa.struct([("item_id", pa.int64()), ("score", pa.int32()), ("share", pa.float64()),
@@ -201,9 +249,11 @@ def with_leaks(docs: DataFrame, items: DataFrame, text_col: str = "text", name:
     text = F.coalesce(text_col, F.lit(""))
     found = []
     for block in blocks(items):
-        seeds = Seeds.of(block)
+        seeds, pairs = Seeds.of(block), Seeds.of(block, PAIR)
         if not seeds.lengths:
             continue
+        if PAIR in pairs.keys:
+            seeds = seeds.with_rare_pairs(pairs, pair_counts(docs, text, pairs))
         found.append(_leaks(text, seeds, docs.sparkSession))
     return docs.withColumn(name, F.array_sort(F.concat(*found)) if found else F.array().cast(LEAKS))
 

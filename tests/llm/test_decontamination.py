@@ -85,3 +85,30 @@ def test_edited_and_partial_leaks_in_many_documents(spark, copies):
     of = spark.createDataFrame([(1, edited_one), (2, partial)], "item_id long, text string")
     got = {(r.doc_id, r.item_id) for r in dec.contaminated(table(spark, rows, clash=False), of).collect()}
     assert got == {(k, 1) for k in range(copies)} | {(copies + k, 2) for k in range(copies)}
+
+
+@pytest.mark.parametrize("step", [3, 4, 5])
+def test_regular_edits_of_the_supplied_items(spark, step):
+    """Every third, fourth or fifth word replaced: all score at least half, and nearly all are found."""
+    of = spark.read.parquet("/root/testdata/sf0.01/benchmark.parquet")
+    rows = [(r.item_id, f"{prose(r.item_id, 40, 900)} " + " ".join(
+        "zzz" if k % step == step - 1 else w for k, w in enumerate(r.text.split())), "", "", 0) for r in of.collect()]
+    got = {(r.doc_id, r.item_id) for r in dec.contaminated(table(spark, rows), of).collect()}
+    found = sum((i, i) in got for i, *_ in rows)
+    assert found >= 0.9 * len(rows) and all(i == j for i, j in got)
+
+
+def test_pairs_are_chosen_by_rarity(spark):
+    items = [(0, "the one of the two of the three of the four")]
+    seeds, pairs = dec.Seeds.of(items), dec.Seeds.of(items, dec.PAIR)
+    rows = [(k, "of the " * (k + 1) + "zzz the two of zzz the one zzz one of" + " zzz two of" * k, "", "", 0) for k in range(5)]
+    docs = table(spark, rows, clash=False)
+    counts = dec.pair_counts(docs, docs.text, pairs)
+    spelled = {n: w for w, n in pairs.vocabulary.items()}
+    size = len(pairs.vocabulary) + 1
+    named = {tuple(spelled[x] for x in divmod(int(key), size)): counts.get(k, 0) for k, key in enumerate(pairs.keys[2])}
+    assert named == {(b"of", b"the"): 15, (b"the", b"one"): 5, (b"one", b"of"): 5, (b"the", b"two"): 5, (b"two", b"of"): 15,
+                     (b"the", b"three"): 0, (b"three", b"of"): 0, (b"the", b"four"): 0}
+    both = seeds.with_rare_pairs(pairs, counts)
+    kept = {tuple(spelled[x] for x in divmod(int(key), size)) for key in both.keys[2]}
+    assert kept == {(b"the", b"one"), (b"one", b"of"), (b"the", b"two")} and both.lengths == [2, 3]  # half of those that occur
