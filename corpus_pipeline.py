@@ -25,15 +25,17 @@ def without_toxic(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFram
 
 
 def without_near_duplicates(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
-    """Of each group the document that gives it its name.
+    """One document of each group: the one of the least id, null ids first.
 
-    Rows of one id are one document, of which one row stays; a row without an id stays as it is.
+    A row is known by its id and its text, so rows of one id with different texts are documents of their
+    own; rows that agree in both are one.
     """
     docs = docs.select(*COLUMNS)
-    groups = simhash.near_duplicates(docs, shingle=3, distance=2)
+    row = F.struct("doc_id", F.xxhash64(F.coalesce("text", F.lit(""))).alias("text_hash"))
+    groups = simhash.near_duplicates(docs.select(row.alias("row"), "text"), shingle=3, distance=2, id_col="row")
     gone = groups.filter("doc_id <> component_id").select("doc_id").distinct()
-    named = docs.join(gone, "doc_id", "left_anti").filter("doc_id is not null").dropDuplicates(["doc_id"])
-    return named.union(docs.filter("doc_id is null"))
+    keyed = docs.withColumn("row", row)
+    return keyed.join(gone, keyed.row == gone.doc_id, "left_anti").dropDuplicates(["row"]).select(*COLUMNS)
 
 
 def without_benchmark(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
