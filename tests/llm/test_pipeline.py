@@ -1,6 +1,6 @@
 import corpus_pipeline
 import pytest
-from helpers import n_words, table
+from helpers import n_words, prose, table
 
 import __spark_entry__
 from rillscan.llm import decontamination, packing, queries, secrets, simhash, toxicity  # noqa: F401
@@ -71,3 +71,14 @@ def test_awkward_tables(spark, tmp_path):
     for _, stage in corpus_pipeline.STAGES:
         empty = stage(spark, empty, folder)
     assert empty.count() == 0
+
+
+def test_rows_of_one_id_are_documents_of_their_own(spark):
+    """Copies go, also among rows without an id; other texts of the same id stay."""
+    copy = prose(1, 80)
+    rows = [(3, copy, "en", "a", 1), (3, prose(2, 80), "en", "a", 1), (3, copy, "en", "b", 1), (2, copy, "en", "a", 1),
+            (None, prose(3, 80), "en", "a", 1), (None, prose(3, 80), "en", "a", 1), (None, prose(4, 80), "en", "a", 1),
+            (5, None, "en", "a", None), (6, "", "en", "a", 0), (7, prose(2, 80), None, None, None)]
+    got = corpus_pipeline.without_near_duplicates(spark, table(spark, rows), "").collect()
+    assert sorted(((r.doc_id, r.text) for r in got), key=str) == sorted(
+        [(2, copy), (3, prose(2, 80)), (None, prose(3, 80)), (None, prose(4, 80)), (5, None)], key=str)
