@@ -274,29 +274,29 @@ def _page_tree(page: Page) -> str:
     return "s:" + xxhash.xxh64_hexdigest(page.skeleton.encode("utf-8", "surrogatepass"))
 
 
-_ROW = "bucket long, tree string, path string, is_word boolean, hashes binary, k binary"
+_ROW = "bucket long, elements array<struct<tree:string,path:string,is_word:boolean,hashes:binary,k:binary>>"
 
 
 def _values(buckets: int):
     """Hashes of the words and of the presentations of each element, and how many pages have them, over some
-    pages at a time, in packed rows by the bucket of the hash."""
+    pages at a time, in a packed row for each bucket of hashes."""
     def out(texts, segments):
         hashes = hash_array(np.array(texts, dtype=object), categorize=False) >> np.uint64(64 - _BITS)
         held: dict[tuple[str, str, bool], list[np.ndarray]] = {}
         for trees, path, is_word, begin, end in segments:
             for tree in trees:
                 held.setdefault((tree, path, is_word), []).append(hashes[begin:end])
-        rows = []
+        rows: dict[int, list[tuple]] = {}
         for (tree, path, is_word), parts in held.items():
             found, k = np.unique(np.concatenate(parts), return_counts=True)
             to = (found >> np.uint64(_BITS - 32)) * np.uint64(buckets) >> np.uint64(32)
             cut = np.flatnonzero(np.diff(to, prepend=to[0])).tolist()
             for i, j in zip([0, *cut], [*cut, len(found)], strict=True):
-                rows.append((int(to[i]), tree, path, is_word, packed(found[i:j]), squeezed(k[i:j])))
-        columns = list(zip(*rows, strict=True)) if rows else [()] * 6
-        types = (pa.int64(), pa.string(), pa.string(), pa.bool_(), pa.binary(), pa.binary())
-        return pa.RecordBatch.from_arrays([pa.array(list(c), t) for c, t in zip(columns, types, strict=True)],
-                                          ["bucket", "tree", "path", "is_word", "hashes", "k"])
+                rows.setdefault(int(to[i]), []).append((tree, path, is_word, packed(found[i:j]), squeezed(k[i:j])))
+        kind = pa.struct([("tree", pa.string()), ("path", pa.string()), ("is_word", pa.bool_()), ("hashes", pa.binary()), ("k", pa.binary())])
+        names = [f.name for f in kind]
+        elements = [[dict(zip(names, e, strict=True)) for e in own] for own in rows.values()]
+        return pa.RecordBatch.from_arrays([pa.array(list(rows), pa.int64()), pa.array(elements, pa.list_(kind))], ["bucket", "elements"])
 
     def run(batches):
         texts: list[str] = []  # words and presentations, each once for a page and element
@@ -331,7 +331,7 @@ _SUMS = "tree string, path string, pages long, k_log_k double, styles long, word
 def _sums(table: pa.Table) -> pa.Table:
     """Of a bucket, what it adds to the sums of each element."""
     held: dict[tuple[str, str], dict[bool, list]] = {}
-    for r in table.to_pylist():
+    for r in (e for row in table.to_pylist() for e in row["elements"]):
         held.setdefault((r["tree"], r["path"]), {True: [], False: []})[r["is_word"]].append((unpacked(r["hashes"]), restored(r["k"])))
     rows = []
     for (tree, path), parts in held.items():
