@@ -5,9 +5,11 @@ import re
 import pytest
 from pyspark.sql import functions as F
 
-from rillscan.operators import history, joins, scan
+from rillscan.operators import history, joins, policy, scan, verdicts
+from rillscan.plans import corpus
 from rillscan.plans.queries import QUERIES
 from rillscan.rules import rules_for
+from rillscan.sources import diffs, layout
 from rillscan.sources import history as store
 
 SF = "/root/testdata/sf0.001"
@@ -65,7 +67,8 @@ def test_one_repository_is_read_from_its_partition(spark, tmp_path):
 @pytest.mark.parametrize("name", list(QUERIES))
 def test_no_pairs_and_no_python(spark, name):
     text = plan(QUERIES[name](spark, SF))
-    for bad in ("CartesianProduct", "NestedLoopJoin", "EvalPython", "InPandas", "InArrow"):
+    python = ("EvalPython", "InPandas", "InArrow") if name != "user_udtf_rule" else ()  # whose rules are Python
+    for bad in ("CartesianProduct", "NestedLoopJoin", *python):
         assert bad not in text
 
 
@@ -79,3 +82,52 @@ def test_lookup_keeps_every_row_of_a_hot_key(spark):
     assert salted.select("k", "id", "v").exceptAll(plain).count() == 0
     gone = joins.lookup(left, right, ["k"], ["id"], "left_anti")
     assert gone.count() == left.join(right, "k", "left_anti").count()
+
+
+@pytest.fixture(scope="module")
+def placed(spark, tmp_path_factory):
+    """Files, changed lines and findings, each written once by buckets of their file."""
+    root = str(tmp_path_factory.mktemp("placed"))
+    files = corpus.sources(spark, SF).drop("commit_sha")
+    changed = diffs.changed_lines(corpus.diffs(spark, SF)).select("repo", "path", "line").distinct()
+    where = layout.Layout(8)
+    tables = {"files": where.write(files, f"{root}/files", "placed_files"),
+              "changed": where.write(changed, f"{root}/changed", "placed_changed")}
+    tables["found"] = where.write(scan.scan(tables["files"]), f"{root}/found", "placed_found")
+    yield tables
+    for name in ("files", "changed", "found"):
+        spark.sql(f"DROP TABLE placed_{name}")
+
+
+def _moved(df):
+    """Exchanges of the plan that runs, but those that broadcast."""
+    df.collect()
+    return len(re.findall(r"\bExchange (?:hash|range|single|round)", df._jdf.queryExecution().executedPlan().toString(), re.I))
+
+
+def test_files_in_their_buckets_are_not_exchanged(spark, placed):
+    files, found = placed["files"], placed["found"]
+    broadcast = spark.conf.get("spark.sql.autoBroadcastJoinThreshold")
+    spark.conf.set("spark.sql.autoBroadcastJoinThreshold", -1)  # as with tables of any size
+    try:
+        windows = verdicts.context_windows(found, files)
+        assert _moved(windows) == 0
+        again = scan.scan(files)
+        assert _moved(again) == 0
+        touched = policy.touched_files(files, placed["changed"])
+        assert _moved(touched) == 0
+        with layout.by_file(spark):
+            narrowed = policy.on_changed_lines(scan.scan(touched), placed["changed"])
+            assert _moved(narrowed) == 0
+        assert _moved(scan.scan(files.repartition(3))) > 1  # moved away and back
+    finally:
+        spark.conf.set("spark.sql.autoBroadcastJoinThreshold", broadcast)
+    plain = corpus.sources(spark, SF)
+    for ours, theirs in [(again, scan.scan(plain)), (windows, verdicts.context_windows(scan.scan(plain), plain))]:
+        assert ours.count() == theirs.count() and ours.exceptAll(theirs.select(ours.columns)).count() == 0
+
+
+def test_buckets_follow_the_size(spark):
+    files = spark.createDataFrame([("r", "a.py", "x" * 1000)] * 20, "repo string, path string, content string")
+    assert layout.Layout.of(files, 5_000).buckets == 4 and layout.Layout.of(files).buckets == 1
+    assert layout.Layout.of(files.limit(0)).buckets == 1
