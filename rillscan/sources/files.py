@@ -16,7 +16,8 @@ def _any_case(ext: str) -> str:
 def read_tree(spark: SparkSession, root: str, repo: str | None = None) -> DataFrame:
     """``repo, path, content`` of all supported files below ``root``.
 
-    Without a name the folders right below the root are the repositories, read all at once.
+    Without a name the folders right below the root are the repositories, read all at once; files
+    right below the root belong to the repository ''.
 
     The name pattern is applied while listing, so other files are never opened.  Broken bytes
     are replaced and files that cannot be read are left out.
@@ -34,7 +35,7 @@ def read_tree(spark: SparkSession, root: str, repo: str | None = None) -> DataFr
     full = F.url_decode(F.replace(F.regexp_replace(
         F.col("_metadata.file_path"), "^[A-Za-z][A-Za-z0-9+.-]*:(//[^/]*)?", ""), F.lit("+"), F.lit("%2B")))
     below = F.substring(full, F.lit(len(_qualified(spark, root)) + 1), F.length(full))
-    parts = F.split(below, "/", 2)
+    parts = F.split(F.when(F.contains(below, F.lit("/")), below).otherwise(F.concat(F.lit("/"), below)), "/", 2)
     return files.select(
         (F.lit(repo) if repo is not None else parts[0]).alias("repo"),
         (below if repo is not None else parts[1]).alias("path"),
