@@ -22,6 +22,8 @@ from pyspark.sql import functions as F
 from .shared import partitions, written
 
 PROBES = 64
+GROUP_SHARE = 0.05
+"""Equal texts of up to this share of a shard's bytes are never parted."""
 FIRST = -(1 << 63)
 LAST = (1 << 63) - 1
 
@@ -113,6 +115,29 @@ def splitters(rows: DataFrame, order: Keys, total: tuple[int, int],
                     high[i] = (keys[cut], below_keys[cut])
 
 
+def whole_groups(rows: DataFrame, order: Keys, found: list[tuple[int, int]], targets: list[float],
+                 most: float) -> list[tuple[int, int]]:
+    """The boundaries, each that cuts a group of equal texts moved to the nearer end of it.
+
+    A group of more than ``most`` bytes stays cut: no shard could hold it beside its share of the rest.
+    """
+    cut = sorted({k // order.span for k, _ in found if k % order.span})
+    if not cut:
+        return found
+    probes = sorted({end for g in cut for end in (g * order.span, min((g + 1) * order.span, order.end - 1))})
+    below = dict(zip(probes, _below(rows, [order.split(k) for k in probes]), strict=True))
+    out = []
+    for (key, n), target in zip(found, targets, strict=True):
+        g = key // order.span
+        if key % order.span:
+            ends = (g * order.span, min((g + 1) * order.span, order.end - 1))
+            low, high = (below[e] for e in ends)
+            if high[0] - low[0] <= most:
+                key, n = min(((e, below[e][1]) for e in ends), key=lambda x: abs(below[x[0]][0] - target))
+        out.append((key, n))
+    return out
+
+
 def _range_of(h: Column, own: Column, keys: list[tuple[int, int]]) -> Column:
     ats, owns = _arrays(keys)
 
@@ -135,9 +160,9 @@ def histogram_shards(docs: DataFrame, shards: int = 8, tolerance: float = 0.001,
     """Every row of ``docs`` with ``size, shard, slot`` (columns of these names are replaced).
 
     Size is the UTF-8 bytes of the text (null: none) plus 1.  Boundaries meet ``tolerance`` of the
-    mean bytes of a shard or lie beside the row that holds the target.  Equal texts stay
-    neighbours, in one shard unless a boundary must cut the group to meet the tolerance.  Rows
-    equal in text and id share a key and are never parted.  A null id sorts as the least.
+    mean bytes of a shard or lie beside the row that holds the target, but where they would cut a group of
+    equal texts: they lie beside the group then.  Only a group of more than ``GROUP_SHARE`` of a shard is
+    cut, into shards next to each other.  Rows equal in text and id share a key and are never parted.  A null id sorts as the least.
     An empty table gives no rows.
     """
     h, own, rng, place = (_free(x, docs.columns) for x in ("key_hash", "key_id", "key_range", "key_place"))
@@ -153,6 +178,8 @@ def histogram_shards(docs: DataFrame, shards: int = 8, tolerance: float = 0.001,
     wanted = [(total * k / (shards * each), total / shards * (tolerance if k % each == 0 else 1 / (8 * each)))
               for k in range(1, shards * each)]
     found = splitters(rows, order, (total, n), wanted)
+    main = slice(each - 1, None, each)  # between shards; the others are between ranges of one
+    found[main] = whole_groups(rows, order, found[main], [t for t, _ in wanted[main]], GROUP_SHARE * total / shards)
     ends = [found[k * each - 1] for k in range(1, shards)]
     bounds = sorted(set(found))
     starts = [(0, 0), *bounds]

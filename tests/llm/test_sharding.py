@@ -49,3 +49,28 @@ def test_splitters_by_brute_force(spark):
     for target, (key, n) in zip((1, 100, 333, 799), got, strict=True):
         below = [r for r in rows if (r[0], r[1]) < order.split(key)]
         assert n == len(below) and abs(sum(r[2] for r in below) - target) <= 7
+
+
+@pytest.mark.parametrize("shards", [2, 8])
+def test_groups_of_equal_texts_are_whole(spark, shards):
+    """Groups of up to nine rows everywhere, so most boundaries fall into one; and one too large for a shard."""
+    rows = [(k, f"text {k % 200} " + "y" * 40, "", "", 0) for k in range(1500)] + [(5000 + k, "hot " + "z" * 40, "", "", 0) for k in range(700)]
+    got, sizes = check_groups(spark, rows, shards)
+    held = defaultdict(set)
+    for r in got:
+        held[r.text].add(r.shard)
+    assert all(len(s) == 1 for t, s in held.items() if not t.startswith("hot"))
+    hot = sorted(held["hot " + "z" * 40])
+    assert hot == list(range(hot[0], hot[-1] + 1))
+    mean = sum(sizes.values()) / shards
+    assert max(abs(s - mean) for s in sizes.values()) <= 9 * 51
+
+
+def check_groups(spark, rows, shards):
+    got = sharding.histogram_shards(table(spark, rows, clash=False), shards).collect()
+    slots, sizes = defaultdict(list), defaultdict(int)
+    for r in got:
+        slots[r.shard].append(r.slot)
+        sizes[r.shard] += r.size
+    assert len(got) == len(rows) and all(sorted(s) == list(range(len(s))) for s in slots.values())
+    return got, sizes
