@@ -14,7 +14,7 @@ from ..sources import contents
 from ..sources import diffs as diff_source
 from ..sources import notes as note_source
 from ..sources.lifecycle import LifecycleTable
-from ..sources.shared import work_folder
+from ..sources.shared import staged, work_folder
 from . import corpus, review
 
 SHOWN = ("repo", "path", "line", "rule_id", "category", "severity", "code")
@@ -368,7 +368,8 @@ def verdict_merge(spark, sf):
 
 
 def review_cap(spark, sf):
-    found = scan.scan(corpus.sources(spark, sf)).select("repo", *ORDER, "rule_id")
+    # read for the border and for the rows: scanned once
+    found = staged(scan.scan(corpus.sources(spark, sf)).select("repo", *ORDER, "rule_id"))
     return verdicts.review_cap(found, ["repo"], ORDER).groupBy("repo", "rule_id", "reviewed").agg(
         F.count("*").alias("n"))
 
@@ -380,9 +381,9 @@ def context_windows(spark, sf):
 
 
 def prompt_rows(spark, sf):
-    """For every finding."""
+    """For every finding.  Rule texts, windows and rows each read the findings: scanned once."""
     files = corpus.sources(spark, sf)
-    rows = verdicts.prompts(scan.scan(files), files, note_source.built_in(spark))
+    rows = verdicts.prompts(staged(scan.scan(files)), files, note_source.built_in(spark))
     return rows.select("repo", "path", "line", "rule_id", "severity",
                        F.array_join("kb_refs", "|").alias("kb_refs"), "prompt")
 

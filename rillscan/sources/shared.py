@@ -1,8 +1,9 @@
 """A folder that driver and executors share."""
 
 import tempfile
+import uuid
 
-from pyspark.sql import SparkSession
+from pyspark.sql import DataFrame, SparkSession
 
 _own: list[str] = []
 
@@ -18,3 +19,10 @@ def work_folder(spark: SparkSession) -> str:
     if not _own:
         _own.append(tempfile.mkdtemp(prefix="rillscan-"))
     return _own[0]
+
+
+def staged(rows: DataFrame) -> DataFrame:
+    """The rows as a table in the shared folder, for what is read several times and costly to make."""
+    path = f"{work_folder(rows.sparkSession)}/staged-{uuid.uuid4().hex}"
+    rows.write.parquet(path)
+    return rows.sparkSession.read.schema(rows.schema).parquet(path)
