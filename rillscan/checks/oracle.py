@@ -568,6 +568,10 @@ def sql() -> dict[str, str]:
                    CASE WHEN line % 7 = 0 THEN '' ELSE s END,
                    CASE WHEN line % 7 = 0 THEN 'Detector error on ' || path ELSE 'Last line' END
             FROM li WHERE ext IN ('.sql', '.txt') QUALIFY row_number() OVER (PARTITION BY path ORDER BY line DESC) = 1""",
+        "literal_index_scan": _with(CORPUS) + r"""
+            SELECT repo, path, line, 'own.pool' AS rule_id, 'RESOURCE' AS category, 'LOW' AS severity, s AS code
+            FROM li WHERE ext = '.java' AND NOT regexp_matches(s, '^(//|\*)')
+              AND (contains(s, 'getConnection') OR contains(s, 'newCachedThreadPool'))""",
         "detector_errors": f"""
             SELECT repo, path, 1 AS line, 'engine.detector_error' AS rule_id, 'INFO' AS category,
                    'INFO' AS severity, '' AS code, 'Detector error on ' || path AS title

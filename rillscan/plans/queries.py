@@ -14,6 +14,7 @@ from ..sources import contents
 from ..sources import diffs as diff_source
 from ..sources import notes as note_source
 from ..sources.lifecycle import LifecycleTable
+from ..sources.literals import LiteralIndex
 from ..sources.shared import staged, work_folder
 from . import corpus, review
 
@@ -126,6 +127,16 @@ def user_udtf_rule(spark, sf):
     return own_rules.own_findings(corpus.sources(spark, sf), rules).select(*SHOWN, "title")
 
 
+def literal_index_scan(spark, sf):
+    """A rule added later, over the files that an index of pieces names."""
+    words = ("getConnection", "newCachedThreadPool")
+    rule = RuleSpec(
+        "own.pool", "java", lambda c: text.has(c.s, *words), "It opens something.", "Reuse it.",
+        title="Opened", category="RESOURCE", severity="LOW")
+    files = corpus.sources(spark, sf)
+    return LiteralIndex.write(files).scan(files, rule, words).select(*SHOWN)
+
+
 def detector_errors(spark, sf):
     found = scan.scan(corpus.broken_sources(spark, sf))
     return found.where(F.col("rule_id").startswith("engine.")).select(*SHOWN, "title")
@@ -456,6 +467,7 @@ QUERIES = {
     "first_hit_per_file": first_hit_per_file,
     "user_rule": user_rule,
     "user_udtf_rule": user_udtf_rule,
+    "literal_index_scan": literal_index_scan,
     "detector_errors": detector_errors,
     "scan_incremental": scan_incremental,
     "diff_changed_lines": diff_changed_lines,
