@@ -13,10 +13,10 @@ from dataclasses import dataclass
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
+from ..operators.joins import ALL_KEYS
 from ..operators.lines import file_key
 
 BUCKET_BYTES = 256 << 20
-_ALL_KEYS = "spark.sql.requireAllClusterKeysForCoPartition"
 
 
 @dataclass(frozen=True)
@@ -38,14 +38,14 @@ class Layout:
 
 @contextmanager
 def by_file(spark: SparkSession) -> Iterator[None]:
-    """Joins on the lines of a file use its bucket.
+    """Scans, and joins on the lines of a file, use its bucket.
 
     Spark exchanges both sides of a join on (file, line) by all of these unless it is told that the file
     will do.
     """
-    before = spark.conf.get(_ALL_KEYS)
-    spark.conf.set(_ALL_KEYS, "false")
+    before = spark.conf.get(ALL_KEYS)
+    spark.conf.set(ALL_KEYS, "false")
     try:
         yield
     finally:
-        spark.conf.set(_ALL_KEYS, before)
+        spark.conf.set(ALL_KEYS, before)
