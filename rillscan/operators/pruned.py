@@ -21,6 +21,7 @@ from pyspark.sql import functions as F
 
 from .. import fixed
 from . import retrieval
+from .joins import parted, partitions
 
 BLOCKS_PER_HALVING = 4
 CLOSE = 1e-8
@@ -32,6 +33,16 @@ class NoteIndex:
     """``postings``: ``term, block, note_ord, w, idf``, best written to a table and read from it."""
     postings: DataFrame
     notes: int
+    small: bool = False
+
+    def before(self, queries: DataFrame) -> "NoteIndex":
+        """The index as it meets these queries: sent to them if they are many and it is small."""
+        few = partitions(queries) is not None and self.postings.count() <= retrieval.SENT_POSTINGS
+        return NoteIndex(self.postings, self.notes, few)
+
+    def sent(self, rows: DataFrame) -> DataFrame:
+        """Rows made from the postings, no more than there are of these."""
+        return F.broadcast(rows) if self.small else rows
 
     @staticmethod
     def of(notes: DataFrame) -> "NoteIndex":
@@ -48,7 +59,8 @@ def _asked(queries: DataFrame, key: str, index: NoteIndex) -> DataFrame:
     """``key, term, part, most``: the share of a known word in its query's unit vector, and the most it can add."""
     words = index.postings.groupBy("term").agg(F.max("w").alias("greatest"), F.max("idf").alias("idf"))
     unknown = retrieval.idf(F.lit(0), index.notes)
-    weighed = retrieval.terms(queries.select(key, "text"), key).join(words, "term", "left").withColumn(
+    asked = parted(queries.select(key, "text"), partitions(queries), key)
+    weighed = retrieval.terms(asked, key).join(index.sent(words), "term", "left").withColumn(
         "wq", F.col("n") * F.coalesce("idf", unknown))
     norms = weighed.groupBy(key).agg(F.sqrt(F.sum(F.col("wq") * F.col("wq"))).alias("norm"))
     return weighed.where(F.col("idf").isNotNull()).join(norms, key).select(
@@ -59,7 +71,7 @@ def _asked(queries: DataFrame, key: str, index: NoteIndex) -> DataFrame:
 def _scores(pairs: DataFrame, asked: DataFrame, key: str, index: NoteIndex) -> DataFrame:
     """Whole scores of the pairs of a query and a note."""
     of_notes = index.postings.select("note_ord", "term", "w")
-    return pairs.join(of_notes, "note_ord").join(asked.select(key, "term", "part"), [key, "term"]).groupBy(
+    return pairs.join(index.sent(of_notes), "note_ord").join(asked.select(key, "term", "part"), [key, "term"]).groupBy(
         key, "note_ord").agg(F.sum(F.col("part") * F.col("w")).alias("score"))
 
 
@@ -67,7 +79,7 @@ def _heaviest(asked: DataFrame, key: str, index: NoteIndex, k: int) -> DataFrame
     """For each query the k heaviest notes of each of its words."""
     top = Window.partitionBy("term").orderBy(F.desc("w"), F.desc("note_ord"))
     best = index.postings.withColumn("place", F.row_number().over(top)).where(F.col("place") <= k)
-    return asked.select(key, "term").join(best.select("term", "note_ord"), "term").select(key, "note_ord").distinct()
+    return asked.select(key, "term").join(index.sent(best.select("term", "note_ord")), "term").select(key, "note_ord").distinct()
 
 
 def _reachable(asked: DataFrame, scored: DataFrame, key: str, index: NoteIndex, k: int) -> DataFrame:
@@ -80,20 +92,22 @@ def _reachable(asked: DataFrame, scored: DataFrame, key: str, index: NoteIndex,
         "*", F.sum("most").over(words.rowsBetween(Window.unboundedPreceding, 0)).alias("upto"),
         F.sum("most").over(Window.partitionBy(key)).alias("all")).join(bars, key).where(F.col("upto") >= F.col("bar") - CLOSE)
     blocks = index.postings.groupBy("term", "block").agg(F.max("w").alias("greatest"))
-    return bounds.join(blocks, "term").where(
+    return bounds.join(index.sent(blocks), "term").where(
         F.col("part") * F.col("greatest") + F.col("all") - F.col("most") >= F.col("bar") - CLOSE).select(key, "term", "block")
 
 
 def met(queries: DataFrame, key: str, index: NoteIndex, k: int = fixed.RETRIEVED_NOTES) -> DataFrame:
     """The postings that are read for each query after the bar is known: ``key, term, note_ord``."""
+    index = index.before(queries)
     asked = _asked(queries, key, index)
     scored = _scores(_heaviest(asked, key, index, k), asked, key, index)
     return _reachable(asked, scored, key, index, k).join(
-        index.postings.select("term", "block", "note_ord"), ["term", "block"]).select(key, "term", "note_ord")
+        index.sent(index.postings.select("term", "block", "note_ord")), ["term", "block"]).select(key, "term", "note_ord")
 
 
 def best_notes(queries: DataFrame, key: str, index: NoteIndex, k: int = fixed.RETRIEVED_NOTES) -> DataFrame:
     """The rows of :func:`retrieval.best_notes`: ``key, note_ord, score, rank``, the later note first on a tie."""
+    index = index.before(queries)
     asked = _asked(queries, key, index)
     pairs = met(queries, key, index, k).select(key, "note_ord").distinct()
     scored = _scores(pairs, asked, key, index).withColumn("score", F.round("score", 9)).where(F.col("score") > 0)
