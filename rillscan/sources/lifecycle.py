@@ -29,7 +29,7 @@ class LifecycleTable:
         """
         change = self.versions.change()
         known = self.versions.read("heads", change.number - 1)
-        rows = runs.select(*history.RUN, "ts")
+        rows = change.aside("added", runs.select(*history.RUN, "ts"))
         numbered = history.number_runs(rows)
         newest = rows.groupBy("repo").agg(F.max(F.struct("ts", "run_id")).alias("newest"), F.count(F.lit(1)).cast("int").alias("n"))
         if known is None:
@@ -44,8 +44,9 @@ class LifecycleTable:
         numbered = numbered.join(bounds.select("repo", "before"), "repo").select(
             *history.RUN, "ts", (F.col("run_ord") + F.col("before")).alias("run_ord"))
         numbered = change.append("runs", numbered)
+        found = change.aside("found", lifecycle.islands(numbered, log))  # the one look at the log
         changed, closed = lifecycle.merged(
-            self.versions.read("state", change.number - 1), lifecycle.islands(numbered, log),
+            self.versions.read("state", change.number - 1), found,
             bounds.select("repo", "before", "last"))
         change.append("closed", closed)
         change.upsert("state", changed, lifecycle.KEY)

@@ -94,6 +94,12 @@ class Change:
         n = self.spark.read.parquet(f"{self.versions.root}/data/{folder}").count()  # from the file footers
         return Row(name=name, bucket=-1, buckets=0, folder=folder, n=n)
 
+    def aside(self, name: str, rows: DataFrame) -> DataFrame:
+        """The rows from a folder that belongs to no version: for what a change reads several times."""
+        folder = f"{self.versions.root}/data/{self._folder(name)}"
+        rows.write.parquet(folder)
+        return self.spark.read.schema(rows.schema).parquet(folder)
+
     def append(self, name: str, rows: DataFrame) -> DataFrame:
         """Add rows as a batch and read them from there; many batches become one folder."""
         batch = self._written(name, rows.hint("rebalance"))
