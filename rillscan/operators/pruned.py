@@ -20,6 +20,7 @@ from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
 from .. import fixed
+from ..sources.shared import staged
 from . import retrieval
 from .joins import parted, partitions
 
@@ -33,16 +34,22 @@ class NoteIndex:
     """``postings``: ``term, block, note_ord, w, idf``, best written to a table and read from it."""
     postings: DataFrame
     notes: int
-    small: bool = False
+    small: int | None = None
+    """Where the index is sent to the queries: the number of their partitions."""
 
     def before(self, queries: DataFrame) -> "NoteIndex":
         """The index as it meets these queries: sent to them if they are many and it is small."""
-        few = partitions(queries) is not None and self.postings.count() <= retrieval.SENT_POSTINGS
-        return NoteIndex(self.postings, self.notes, few)
+        n = partitions(queries)
+        few = n is not None and self.postings.count() <= retrieval.SENT_POSTINGS
+        return NoteIndex(self.postings, self.notes, n if few else None)
+
+    def apart(self, rows: DataFrame, key: str) -> DataFrame:
+        """The rows of many queries as a step of their own, so that one task does not hold the tables of all steps."""
+        return rows if self.small is None else parted(staged(rows), self.small, key)
 
     def sent(self, rows: DataFrame) -> DataFrame:
         """Rows made from the postings, no more than there are of these."""
-        return F.broadcast(rows) if self.small else rows
+        return rows if self.small is None else F.broadcast(rows)
 
     @staticmethod
     def of(notes: DataFrame) -> "NoteIndex":
@@ -71,6 +78,12 @@ def _asked(queries: DataFrame, key: str, index: NoteIndex) -> DataFrame:
 def _scores(pairs: DataFrame, asked: DataFrame, key: str, index: NoteIndex) -> DataFrame:
     """Whole scores of the pairs of a query and a note."""
     of_notes = index.postings.select("note_ord", "term", "w")
+    if index.small is not None:
+        # the words of a query, no more than its text has, go to its pairs as a list: no row of a pair is exchanged
+        listed = asked.groupBy(key).agg(F.collect_list("term").alias("terms"), F.collect_list("part").alias("parts"))
+        at = F.array_position("terms", F.col("term"))
+        return pairs.join(listed, key).join(index.sent(of_notes), "note_ord").where(at > 0).groupBy(key, "note_ord").agg(
+            F.sum(F.get("parts", (at - 1).cast("int")) * F.col("w")).alias("score"))
     return pairs.join(index.sent(of_notes), "note_ord").join(asked.select(key, "term", "part"), [key, "term"]).groupBy(
         key, "note_ord").agg(F.sum(F.col("part") * F.col("w")).alias("score"))
 
@@ -100,7 +113,7 @@ def met(queries: DataFrame, key: str, index: NoteIndex, k: int = fixed.RETRIEVED
     """The postings that are read for each query after the bar is known: ``key, term, note_ord``."""
     index = index.before(queries)
     asked = _asked(queries, key, index)
-    scored = _scores(_heaviest(asked, key, index, k), asked, key, index)
+    scored = index.apart(_scores(_heaviest(asked, key, index, k), asked, key, index), key)
     return _reachable(asked, scored, key, index, k).join(
         index.sent(index.postings.select("term", "block", "note_ord")), ["term", "block"]).select(key, "term", "note_ord")
 
@@ -109,7 +122,7 @@ def best_notes(queries: DataFrame, key: str, index: NoteIndex, k: int = fixed.RE
     """The rows of :func:`retrieval.best_notes`: ``key, note_ord, score, rank``, the later note first on a tie."""
     index = index.before(queries)
     asked = _asked(queries, key, index)
-    pairs = met(queries, key, index, k).select(key, "note_ord").distinct()
+    pairs = index.apart(met(queries, key, index, k).select(key, "note_ord").distinct(), key)
     scored = _scores(pairs, asked, key, index).withColumn("score", F.round("score", 9)).where(F.col("score") > 0)
     best = Window.partitionBy(key).orderBy(F.desc("score"), F.desc("note_ord"))
     return scored.withColumn("rank", F.row_number().over(best)).where(F.col("rank") <= k).select(
