@@ -23,6 +23,8 @@ FOLD = 240
 """A paragraph is a line; a longer one is folded at the blanks before this many code points."""
 TABLES, CHECK = 3, 7
 RETRIES = 6
+PER_TASK = 1 << 16
+"""Digests of a task in tries after the first."""
 ROUNDS = 12
 """Each round peels the cells of one table; sketches that need more are retried larger."""
 
@@ -129,22 +131,29 @@ def differences(pairs: DataFrame) -> DataFrame:
     numbers differ): how many digests only one side holds, recovered from the sketches.
 
     Pairs that leave cells are tried again twice as wide; what the widest leaves, which no input
-    is expected to, is counted from the arrays.
+    is expected to, is counted from the arrays.  A later try has few pairs and deals them to as
+    many tasks as their sketches need: a task that writes costs three processes (``chmod``) where
+    Hadoop's native library is missing, whatever it writes.
     """
     spark, done, times = pairs.sparkSession, None, 1
+    tasks = partitions(spark)
     for _ in range(RETRIES):
-        dealt = pairs.repartition(partitions(spark), "pair")
+        dealt = pairs.repartition(tasks, "pair")
         cells = peeled(subtracted(dealt, times))
         judged = written(cells.groupBy("pair").agg(
+            F.max("w").alias("w"),
             F.count(F.when(~F.col("found"), 1)).alias("left"),
             F.count(F.when(F.col("found") & (F.col("n") > 0), 1)).alias("only_mine"),
             F.count(F.when(F.col("found") & (F.col("n") < 0), 1)).alias("only_theirs")))
-        good = judged.filter("left = 0").drop("left")
+        good = judged.filter("left = 0").drop("left", "w")
         done = good if done is None else done.union(good)
-        failed = judged.filter("left > 0").select("pair")
-        if failed.isEmpty():
+        failed = judged.filter("left > 0")
+        cells_left = failed.agg(F.sum("w")).first()[0]
+        if cells_left is None:
             return done
-        pairs, times = written(pairs.join(failed, "pair", "left_semi")), 2 * times
+        # a side of a pair has 2 * w / times digests at most
+        tasks = min(partitions(spark), max(2, -(-4 * cells_left // (times * PER_TASK))))
+        pairs, times = written(pairs.join(failed.select("pair"), "pair", "left_semi")), 2 * times
     return done.union(pairs.select(
         "pair", F.size(F.array_except("mine", "theirs")).cast("long"), F.size(F.array_except("theirs", "mine")).cast("long")))
 

@@ -68,6 +68,27 @@ def test_recovery_retries_and_the_last_resort(spark, monkeypatch):
         assert {k: got.get(k, (0, 0)) for k in want} == want
 
 
+def test_later_tries_have_the_tasks_that_their_pairs_need(spark, monkeypatch):
+    judged = []
+
+    def recorded(df):
+        if "left" in df.columns:
+            judged.append(df.rdd.getNumPartitions())
+        return written(df)
+
+    written = fingerprints.written
+    monkeypatch.setattr(fingerprints, "written", recorded)
+    pairs = [(k, [hash((k, x, 0)) for x in range(40)], [hash((k, x, 1)) for x in range(40)]) for k in range(200)]
+    df = spark.createDataFrame(pairs, "pair long, mine array<long>, theirs array<long>")
+    want = {k: (40, 40) for k, *_ in pairs}
+    assert {r.pair: (r.only_mine, r.only_theirs) for r in fingerprints.differences(df).collect()} == want
+    assert judged[0] == 8 and len(judged) > 1 and set(judged[1:]) == {2}
+    judged.clear()
+    monkeypatch.setattr(fingerprints, "PER_TASK", 3000)  # all 200 pairs of 80 digests fail at first
+    assert {r.pair: (r.only_mine, r.only_theirs) for r in fingerprints.differences(df).collect()} == want
+    assert judged[:2] == [8, 6]
+
+
 def test_no_python_in_the_plan(spark):
     plan = fingerprints.edited_versions(table(spark, [(1, prose(1, 9), "", "", 1)]))._jdf.queryExecution().toString()
     assert not re.search("Python|Pandas|Arrow", plan)
