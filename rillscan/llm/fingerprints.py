@@ -17,7 +17,8 @@ from collections.abc import Callable
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
-from .shared import partitions, written
+from .shared import partitions
+from .shared import written as staged
 
 FOLD = 240
 """A paragraph is a line; a longer one is folded at the blanks before this many code points."""
@@ -126,14 +127,23 @@ def _entry_of_row() -> Column:
     return F.struct("found", "cell", "n", "k", "c")
 
 
+def written(df: DataFrame) -> DataFrame:
+    """The rows as a table in the shared folder, in as many files as their size needs.
+
+    For the rows of a try, which are short and lie in many partitions: each file costs three
+    processes (``chmod``) where Hadoop's native library is missing, and a process shares all pages
+    of its executor until it is another program.
+    """
+    return staged(df.hint("rebalance"))
+
+
 def differences(pairs: DataFrame) -> DataFrame:
     """``pair, only_mine, only_theirs`` for rows ``pair, mine, theirs`` (digest arrays; the pair
     numbers differ): how many digests only one side holds, recovered from the sketches.
 
     Pairs that leave cells are tried again twice as wide; what the widest leaves, which no input
     is expected to, is counted from the arrays.  A later try has few pairs and deals them to as
-    many tasks as their sketches need: a task that writes costs three processes (``chmod``) where
-    Hadoop's native library is missing, whatever it writes.
+    many tasks as their sketches need.
     """
     spark, done, times = pairs.sparkSession, None, 1
     tasks = partitions(spark)
@@ -199,7 +209,7 @@ def edited_versions(docs: DataFrame, id_col: str = "doc_id", text_col: str = "te
     edited = pairs.select(
         "row.doc_id", n.cast("long").alias("n_chars"), F.col("row.digests").alias("own"), F.col("next.digests").alias("next"),
         F.concat(F.substring("row.text", 1, n - third), F.substring("next.text", 1, third)).alias("edited"))
-    versions = written(edited.select(
+    versions = staged(edited.select(
         F.monotonically_increasing_id().alias("row"), "doc_id", "n_chars", F.sha2("edited", 256).alias("edited_sha256"),
         "own", "next", digests(F.col("edited")).alias("new")))
     found = differences(versions.select("row", F.explode(F.array(

@@ -6,7 +6,7 @@ import pytest
 from helpers import awkward, prose, table
 from pyspark.sql import functions as F
 
-from rillscan.llm import fingerprints
+from rillscan.llm import fingerprints, shared
 
 
 def paragraphs(text):
@@ -89,6 +89,16 @@ def test_later_tries_have_the_tasks_that_their_pairs_need(spark, monkeypatch):
     assert judged[:2] == [8, 6]
 
 
+def test_a_try_writes_as_many_files_as_its_rows_need(spark, tmp_path, monkeypatch):
+    monkeypatch.setattr(shared, "shared_folder", lambda spark: str(tmp_path))
+    pairs = [(k, [hash((k, x, 0)) for x in range(40)], [hash((k, x, 1)) for x in range(40)]) for k in range(60)]
+    df = spark.createDataFrame(pairs, "pair long, mine array<long>, theirs array<long>")
+    found = fingerprints.differences(df)
+    files = [len(list(t.glob("*.parquet"))) for t in tmp_path.iterdir()]
+    assert len(files) > 2 and set(files) == {1}  # all fail at first; a try of 60 rows over 8 partitions wrote 8 files
+    assert {r.pair: (r.only_mine, r.only_theirs) for r in found.collect()} == {k: (40, 40) for k, *_ in pairs}
+
+
 def test_no_python_in_the_plan(spark):
     plan = fingerprints.edited_versions(table(spark, [(1, prose(1, 9), "", "", 1)]))._jdf.queryExecution().toString()
     assert not re.search("Python|Pandas|Arrow", plan)
