@@ -14,8 +14,9 @@ from pyspark.sql.utils import AnalysisException
 
 from ..operators import contents
 from ..operators.contents import KEY
+from ..operators.joins import partitions
 from ..rules import RuleSpec
-from .shared import work_folder
+from .shared import exchanges_dropped, staged, work_folder
 
 
 class ContentStore:
@@ -44,11 +45,12 @@ class ContentStore:
     def scan(self, sources: DataFrame, batch: str, rules: list[RuleSpec] | None = None) -> DataFrame:
         """The findings of ``sources``.  Contents that are not in the table are scanned and put there."""
         version = contents.rules_version(rules)
-        files = contents.keyed(sources, rules)
-        others = self.scanned(version)
-        new = contents.unscanned(files, None if others is None else others.where(F.col("batch") != batch))
+        files, others = contents.keyed(sources, rules), self.scanned(version)
+        named = staged(contents.names(files))
+        known = None if others is None else others.where(F.col("batch") != batch)
         folder = f"{self.root}/version={version}"
-        contents.findings_by_content(new, rules).write.mode("overwrite").parquet(f"{folder}/findings/batch={batch}")
-        new.select(KEY).write.mode("overwrite").parquet(f"{folder}/scanned/batch={batch}")
+        with exchanges_dropped(self.spark):
+            contents.findings_by_content(contents.unscanned(files, known, named), rules).write.mode("overwrite").parquet(f"{folder}/findings/batch={batch}")
+            contents.chosen(named, known).select(KEY).write.mode("overwrite").parquet(f"{folder}/scanned/batch={batch}")
         found = self._table(version, "findings").join(self.scanned(version), [KEY, "batch"], "left_semi").drop("batch")
-        return contents.on_files(files, found)
+        return contents.on_files(named, found, partitions(sources))

@@ -109,3 +109,13 @@ def test_only_names_are_grouped(spark, heads):
     plan = contents.unscanned(files)._jdf.queryExecution().executedPlan().toString()
     aggregates = [line for line in plan.splitlines() if "Aggregate" in line]
     assert aggregates and not any("content#" in line for line in aggregates)
+
+
+def test_files_of_one_name_and_several_contents(spark):
+    """Each content is scanned under the name that was chosen for it, and once."""
+    rows = [("r", "c1", "a.sql", "select * from t"), ("r", "c1", "a.sql", "select * from t"), ("r", "c1", "b.sql", "select * from u"),
+            ("r", "c1", "a.sql", "select * from u"), ("r", "c1", None, "select * from u"), (None, "c1", "d.sql", "select * from v")]
+    files = contents.keyed(spark.createDataFrame(rows, "repo string, commit_sha string, path string, content string"))
+    picked = contents.unscanned(files).select("path", "content").collect()
+    assert sorted(map(tuple, picked)) == [("a.sql", "select * from t"), ("a.sql", "select * from t"), ("a.sql", "select * from u")]
+    assert {r[contents.KEY] for r in contents.chosen(contents.names(files)).collect()} == {r[contents.KEY] for r in files.where("repo IS NOT NULL").collect()}
